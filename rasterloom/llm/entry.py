@@ -12,6 +12,7 @@ from rasterloom.llm.media import text_media
 from rasterloom.llm.packing import best_fit_packing
 from rasterloom.llm.quality import fit_voters, quality_scores
 from rasterloom.llm.sentencepieces import sentencepiece_round_trip
+from rasterloom.llm.simhash import simhash_components
 from rasterloom.llm.tokencounts import token_counts
 from rasterloom.llm.urlfilter import url_verdicts
 
@@ -22,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), 4, 4)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs.where(~fold("doc_id", 4).eqNullSafe(2)).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
@@ -61,6 +66,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
