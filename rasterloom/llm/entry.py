@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fold, table
 from rasterloom.llm.language import fit_language, identify_language
+from rasterloom.llm.lm import lm_scores
 from rasterloom.llm.media import text_media
 from rasterloom.llm.packing import best_fit_packing
 from rasterloom.llm.quality import fit_voters, quality_scores
@@ -51,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
+    "op7_lm": op7_lm,
     "op8_media": op8_media,
     "op9_tokencounts": op9_tokencounts,
     "op10_urlfilter": op10_urlfilter,
