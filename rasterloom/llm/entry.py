@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fold, table
+from rasterloom.llm.embeddings import embedding_components
 from rasterloom.llm.language import fit_language, identify_language
 from rasterloom.llm.lm import lm_scores
 from rasterloom.llm.media import text_media
@@ -39,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows to learn quality from: a label by document, without those held out."""
     known = labels.where(F.col("quality").isNotNull() & ~F.coalesce(fold("doc_id", 5) == 0, F.lit(True))).groupBy("doc_id").agg(F.max("quality").alias("label"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_embeddings": op5_embeddings,
     "op6_quality": op6_quality,
     "op7_lm": op7_lm,
     "op8_media": op8_media,
@@ -82,6 +88,22 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_embeddings": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reach AS (
+            SELECT vec_id, vec_id AS root FROM embeddings
+            UNION
+            SELECT links.v, reach.root FROM reach JOIN links ON links.u = reach.vec_id WHERE reach.root < links.v
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+        FROM embeddings e JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id
+    """,
     "op10_urlfilter": r"""
         WITH parts AS (
             SELECT page_id,
