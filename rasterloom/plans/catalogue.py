@@ -1,6 +1,239 @@
-"""Queries of the library's own operators, and the SQL that checks them."""
+"""Queries of the library's own operators over the test tables, and the SQL that checks them.
+
+The tables hold no images, so a mask stands for each supplier: its line items are pixels of a 640 x 480 image.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.functions import text as T
+from rasterloom.operators import cache, progress, raster, requests, workflow
+
+WIDTH, HEIGHT = 640, 480
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+PIXELS = "pixels AS (SELECT l_suppkey AS id, l_partkey % 640 AS x, l_orderkey % 480 AS y, (l_linenumber * 37) % 256 AS v FROM lineitem WHERE l_quantity < 3)"
+BOX = """SELECT id, greatest(0, min(x) - 16)::INTEGER AS x0, greatest(0, min(y) - 16)::INTEGER AS y0,
+    least(640, max(x) + 17)::INTEGER AS x1, least(480, max(y) + 17)::INTEGER AS y1 FROM pixels WHERE v > {} GROUP BY id"""
+
+
+def query(sql: str | None = None) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_quantity < 3")
+    return items.select(
+        F.col("l_suppkey").alias("id"), (F.col("l_partkey") % WIDTH).alias("x"), (F.col("l_orderkey") % HEIGHT).alias("y"), ((F.col("l_linenumber") * 37) % 256).alias("v")
+    )
+
+
+@query(f"WITH {PIXELS} {BOX.format(0)}")
+def mask_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.mask_boxes(mask_pixels(spark, sf_dir), WIDTH, HEIGHT)
+
+
+@query(f"""WITH {PIXELS}, box AS ({BOX.format(200)}), ids AS (SELECT DISTINCT id FROM pixels)
+    SELECT ids.id, coalesce(x0, 0)::INTEGER AS x, coalesce(y0, 0)::INTEGER AS y, coalesce(x1 - x0, 1)::INTEGER AS width, coalesce(y1 - y0, 1)::INTEGER AS height
+    FROM ids LEFT JOIN box ON box.id = ids.id""")
+def mask_bbox_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = mask_pixels(spark, sf_dir)
+    return raster.boxes_or_default(pixels.select("id").distinct(), raster.mask_boxes(pixels, WIDTH, HEIGHT, least=200))
+
+
+@query(f"""WITH {PIXELS}, gx AS (SELECT d::INTEGER AS dx, least(639, floor((d + 0.5) * 640 / 100))::BIGINT AS x FROM range(100) t(d)),
+    gy AS (SELECT d::INTEGER AS dy, least(479, floor((d + 0.5) * 480 / 75))::BIGINT AS y FROM range(75) t(d))
+    SELECT id, dx, dy, count(*) AS n, sum(v)::BIGINT AS total FROM pixels JOIN gx USING (x) JOIN gy USING (y) GROUP BY id, dx, dy""")
+def nearest_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = raster.resize_nearest(mask_pixels(spark, sf_dir), (WIDTH, HEIGHT), (100, 75))
+    return small.groupBy("id", F.col("x").alias("dx"), F.col("y").alias("dy")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("""SELECT l_orderkey, l_linenumber,
+    ((((l_orderkey % 256) * 19595 + (l_partkey % 256) * 38470 + (l_suppkey % 256) * 7471 + 32768) // 65536))::INTEGER AS grey FROM lineitem""")
+def luma_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g, b = (F.col(c) % 256 for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raster.luma(r, g, b).alias("grey"))
+
+
+@query(f"WITH {PIXELS} SELECT id, x, y, v, (255 - v) * CAST(100 AS DOUBLE) / 255 AS inverted FROM pixels")
+def alpha_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_pixels(spark, sf_dir).withColumn("inverted", raster.inverted_alpha(F.col("v")))
+
+
+@query(f"WITH {PIXELS} SELECT id, x, y, 0 AS r, 0 AS g, 0 AS b, v AS a FROM pixels")
+def alpha_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.alpha_mask(mask_pixels(spark, sf_dir))
+
+
+@query(f"""WITH {PIXELS}, box AS ({BOX.format(128)})
+    SELECT pixels.id, x - x0 AS x, y - y0 AS y, v FROM pixels JOIN box ON box.id = pixels.id WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1""")
+def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = mask_pixels(spark, sf_dir)
+    return raster.crop(pixels, raster.mask_boxes(pixels, WIDTH, HEIGHT, least=128))
+
+
+@query("""SELECT p_partkey, concat_ws(', ', nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END, ''), nullif(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END, '')) AS prompt FROM part""")
+def prompt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.merge_prompt(given, F.when(F.col("p_size") % 5 != 0, F.col("p_type"))).alias("prompt"))
+
+
+@query("SELECT event_id, coalesce(nullif(user_id % 5, 0), epoch(ts)::BIGINT) AS seed FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
+def seed_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", T.default_seed(F.col("user_id") % 5, F.col("ts")).alias("seed"))
+
+
+@query("SELECT page_id, replace(replace(url, '/', '\\'), '\\', '/') AS path FROM pages")
+def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.normal_path(F.replace("url", F.lit("/"), F.lit("\\"))).alias("path"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '[^/.][^/]*?(\.[^./]*)$', 1), ''), '.png') AS ext FROM pages""")
+def ext_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", T.extension(bare).alias("ext"))
+
+
+@query("""WITH log AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+    earlier AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY n) AS before FROM log)
+    SELECT e.event_id, e.user_id, e.before IS NOT NULL AND
+        (SELECT count(DISTINCT o.user_id) FROM log o WHERE o.n > e.before AND o.n < e.n) < 20 AS hit
+    FROM earlier e""")
+def cache_lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return cache.replay_accesses(log, "user_id", "ts", "event_id", 20).select("event_id", "user_id", "hit")
+
+
+@query("""SELECT doc_id, n_chars FROM (
+        SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS running
+        FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn <= 19
+    ) WHERE running <= 50000""")
+def cache_evict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return cache.kept_after_limits(docs, [F.desc("doc_id")], "n_chars", 20, 50_000)
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS last_access FROM events GROUP BY user_id")
+def cache_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", ["event_id"])
+
+
+GRAPH = "('a', 'c'), ('b', 'c'), ('c', 'd'), ('a', 'd'), ('d', 'f'), ('e', 'f')"
+GRAPH_SQL = f"edges(src, dst) AS (VALUES {GRAPH}), nodes AS (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)"
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(node_id, depth) AS (
+        SELECT node_id, 0 FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)
+        UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node_id)
+    SELECT node_id, max(depth) AS depth FROM walk GROUP BY node_id""")
+def dag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.sql(f"SELECT * FROM VALUES {GRAPH} AS t(src, dst)")
+    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    return workflow.depths(edges, nodes)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)")
+def dag_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.sql(f"SELECT * FROM VALUES {GRAPH} AS t(src, dst)")
+    return workflow.sinks(edges, edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct())
+
+
+@query("SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT s.user_id::VARCHAR AS prompt_id, s.ts, min(p.ts) AS done_at FROM (SELECT user_id, min(ts) AS ts FROM events WHERE event_type = 'signup' GROUP BY user_id) s
+    LEFT JOIN events p ON p.user_id = s.user_id AND p.event_type = 'purchase' AND p.ts >= s.ts GROUP BY s.user_id, s.ts""")
+def completion_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's first signup stands for a submitted run; purchases, for its end messages."""
+    events = table(spark, sf_dir, "events").withColumn("prompt_id", F.col("user_id").cast("string"))
+    submitted = events.where("event_type = 'signup'").groupBy("prompt_id").agg(F.min("ts").alias("ts"))
+    messages = events.where("event_type = 'purchase'").select("prompt_id", "ts", F.lit("executing").alias("type"), F.lit(None).cast("string").alias("node"))
+    return progress.completion(submitted, messages)
+
+
+@query("""SELECT event_id::VARCHAR AS prompt_id, CASE WHEN user_id % 4 <> 0 AND user_id % 4 <> 3 THEN 'f' || event_id END AS filename,
+    CASE WHEN user_id % 4 <> 0 AND user_id % 4 <> 3 THEN event_type END AS subfolder, CASE WHEN user_id % 4 <> 0 AND user_id % 4 <> 3 THEN 'output' END AS type,
+    CASE user_id % 4 WHEN 0 THEN 'no output images' WHEN 3 THEN 'empty list of images' END AS error FROM events""")
+def first_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories made of events: some runs have no images, some an empty list, some two nodes with images."""
+    image = F.concat(F.lit('{"filename":"f'), "event_id", F.lit('","subfolder":"'), "event_type", F.lit('","type":"output"}'))
+    first = F.when(F.col("user_id") % 4 == 0, F.lit('"9":{}')).when(F.col("user_id") % 4 == 3, F.lit('"9":{"images":[]}')).otherwise(F.concat(F.lit('"9":{"text":[1]},"5":{"images":['), image, F.lit('],"n":2},"1":{"images":[{"filename":"z","subfolder":"","type":"temp"}]}')))
+    history = F.concat(F.lit('{"'), "event_id", F.lit('":{"outputs":{'), first, F.lit('},"status":{"done":true}}}'))
+    return progress.first_images(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("prompt_id"), history.alias("history")))
+
+
+@query("SELECT 'last_sent_image.' || event_type AS name, max_by(event_id, ts) AS payload, max(ts) AS ts FROM events GROUP BY event_type")
+def debug_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return requests.last_sent(events.select(F.concat(F.lit("in/x."), "event_type").alias("path"), F.col("event_id").alias("payload"), "ts"))
+
+
+@query("SELECT event_id, '/' || event_type AS path FROM events WHERE user_id % 4 >= 3 AND event_type <> 'view'")
+def access_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log records with up to three arguments; views stand for health checks."""
+    path = F.concat(F.lit("/"), "event_type")
+    full = F.array(F.lit("host"), F.lit("GET"), F.when(F.col("event_type") == "view", "/health").otherwise(path))
+    log = table(spark, sf_dir, "events").select("event_id", path.alias("path"), F.slice(full, F.lit(1), (F.col("user_id") % 4).cast("int")).alias("args"))
+    return requests.access_lines(log).select("event_id", "path")
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS packed FROM documents")
+def base64_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.pack_base64(F.col("text").cast("binary")).alias("packed"))
+
+
+@query("SELECT page_id, html AS text FROM pages")
+def base64_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = T.pack_base64(F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", F.decode(T.unpack_base64(packed), "UTF-8").alias("text"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def source_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return cache.live(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), index, "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def source_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return cache.stale(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), index, "o_custkey")
+
+
+@query(f"""WITH {PIXELS}, one AS (SELECT id, x, y, max(v) AS v FROM pixels GROUP BY id, x, y)
+    SELECT id, x, y, CASE WHEN v / 255.0::DOUBLE > 0.5 THEN 0 ELSE v END AS v FROM one""")
+def composite_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Black where the mask is over a half, by a thresholded copy of the pixels as mask."""
+    pixels = mask_pixels(spark, sf_dir).groupBy("id", "x", "y").agg(F.max("v").alias("v"))
+    black = pixels.withColumn("v", F.lit(0))
+    return raster.composite(pixels, black, raster.threshold(pixels))
+
+
+@query("""SELECT user_id % 100 AS request_id, event_type AS stage, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS seconds FROM events GROUP BY ALL""")
+def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return requests.stage_times(events.select((F.col("user_id") % 100).alias("request_id"), F.col("event_type").alias("stage"), "ts"))
+
+
+@query("""SELECT event_id, CASE user_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 422 WHEN 2 THEN 404 WHEN 3 THEN 502 ELSE 500 END AS status_code FROM events""")
+def error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit(None), *[F.lit(x) for x in ("invalid", "not_found", "connection", "image")]), (F.col("user_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", requests.status_code(kind).alias("status_code"))
