@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,34 +66,23 @@ def bind(requests: DataFrame, template: str) -> DataFrame:
     lacks = [f"node {r['node_id']}" + (f" input {r['name']}" if r["name"] else "") for r in missing_bindings(found).orderBy("node_id", "name").collect()]
     if lacks:
         return requests.select("*", F.lit(None).cast("string").alias("workflow"), F.lit("template lacks " + ", ".join(lacks)).alias("error"))
-    document = F.from_json(F.lit(template), "map<string, string>")
-    text = lambda n: F.get_json_object(F.lit(template), f"$['{n}']['inputs']['text']")
+    document, marks = json.loads(template), {}
+    text = {n: document[n]["inputs"]["text"] for n in ("7", "8")}
+    for node, name, what in BINDINGS:
+        marks[what] = document[node]["inputs"][name] = uuid.uuid4().hex
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     bound = {
         "seed": F.col("seed").cast("string"),
-        "prompt": quoted(merge_prompt(F.col("prompt"), text("7"))),
-        "negative_prompt": quoted(merge_prompt(F.col("negative_prompt"), text("8"))),
+        "prompt": quoted(merge_prompt(F.col("prompt"), F.lit(text["7"]))),
+        "negative_prompt": quoted(merge_prompt(F.col("negative_prompt"), F.lit(text["8"]))),
         "source_path": quoted(normal_path(F.col("source_path"))),
         "mask_path": quoted(normal_path(F.col("mask_path"))),
     }
-
-    def with_input(node: Column, name: str, value: Column) -> Column:
-        """The node's JSON with one input set; all others keep their text and order."""
-        parts = F.from_json(node, "map<string, string>")
-        own = F.from_json(F.element_at(parts, "inputs"), "map<string, string>")
-        raw = lambda c: F.when(c.rlike(r'^(?:[\[{]|-?[0-9]|true$|false$|null$)'), c).otherwise(quoted(c))
-        kept = F.map_concat(F.map_filter(own, lambda k, _: k != name), F.create_map(F.lit(name), value))
-        inner = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"] == name, e["value"]).otherwise(raw(e["value"])))), ","), F.lit("}"))
-        outer = F.transform(F.map_entries(parts), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"] == "inputs", inner).otherwise(raw(e["value"]))))
-        return F.concat(F.lit("{"), F.array_join(outer, ","), F.lit("}"))
-
-    def node_json(key: Column, value: Column) -> Column:
-        for node, name, what in BINDINGS:
-            value = F.when(key == node, with_input(value, name, bound[what])).otherwise(value)
-        return value
-
-    entries = F.transform(F.map_entries(document), lambda e: F.concat(quoted(e["key"]), F.lit(":"), node_json(e["key"], e["value"])))
-    return requests.select("*", F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("workflow"), F.lit(None).cast("string").alias("error"))
+    # the document's text with a value at each mark: a projection of literals and five columns
+    parts = re.split("|".join(f'("{m}")' for m in marks.values()), json.dumps(document, ensure_ascii=False))
+    at = {f'"{m}"': what for what, m in marks.items()}
+    pieces = [bound[at[p]] if p in at else F.lit(p) for p in parts if p]
+    return requests.select("*", F.concat(*pieces).alias("workflow"), F.lit(None).cast("string").alias("error"))
 
 
 def depths(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
