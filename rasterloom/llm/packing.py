@@ -10,7 +10,9 @@ the pieces of that length, and ranks are counted in salted parts, since one leng
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,30 @@ def _word_table(path: str) -> ChunkTable:
     """Words between ASCII white space, which the tokenizer drops and no token crosses, to their ids as bytes."""
 
     def make() -> ChunkTable:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         model = Tokenizer.from_file(path)
         if model.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in model.encode(w, add_special_tokens=False).ids]:
             raise ValueError("tokens of this model depend on white space")
 
+        tokenize = model.model.tokenize
+
+        def of_letters(word: bytes) -> bytes:
+            """a-z are what normalising and splitting leave as they are, so the model's merges are all there is to do."""
+            return array("I", [t.id for t in tokenize(word.decode())]).tobytes()
+
+        marks = {m: np.array(model.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes() for m in (b".", b",")}
+
         def work(words: list[bytes]) -> list[tuple]:
-            found = model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [(np.array(e.ids, "<u4").tobytes(),) for e in found]
+            found: dict[bytes, bytes] = {}
+            for w in words:
+                if w.isalpha() and w.islower():
+                    found[w] = of_letters(w)
+                elif w[-1:] in marks and (stem := w[:-1]).isalpha() and stem.islower():
+                    found[w] = (found.get(stem) or of_letters(stem)) + marks[w[-1:]]  # tokens end where letters do
+            rest = [w for w in words if w not in found]
+            for w, e in zip(rest, model.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+                found[w] = array("I", e.ids).tobytes()
+            return [(found[w],) for w in words]
 
         return ChunkTable(work, 1)
 
