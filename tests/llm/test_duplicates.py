@@ -1,0 +1,149 @@
+"""Near-duplicates and links against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from rasterloom.llm import embeddings, neardup, simhash
+from rasterloom.llm.components import connected_components
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def slow_fingerprint(text, n=4):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+    parts = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(p, seed=42).intdigest() for p in parts]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprints(odd_docs, odd_texts):
+    texts = [t for t in odd_texts if len(t or "") < 10_000]
+    assert [simhash.fingerprint((t or "").encode()) for t in texts] == [slow_fingerprint(t) for t in texts]
+    long = next(t for t in odd_texts if len(t or "") > 100_000)
+    assert simhash.fingerprint(long.encode()) == slow_fingerprint(long)
+
+
+def test_golay():
+    words = np.arange(1 << 23)[:: 1 << 9]
+    index = simhash.golay_index(words)
+    _, errors = simhash._tables()
+    assert len(set(errors.tolist())) == 2048 and max(int(e).bit_count() for e in errors) == 3
+    assert index.max() < 4096
+    rng, rnd = np.random.default_rng(0), random.Random(0)
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rnd.sample(range(64), rnd.randrange(5)):
+            b[i] ^= np.uint64(1 << bit)
+    keys = []
+    for x in (a, b):
+        rows, found = simhash.golay_keys(x)
+        keys.append([set(found[rows == i]) for i in range(len(x))])
+    assert all(x & y for x, y in zip(*keys, strict=True))
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_links(spark, monkeypatch, block):
+    """A dense cluster, chains and strangers; small blocks cut every crowded key."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(1)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(8):
+        x = rnd.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            for bit in rnd.sample(range(64), rnd.choice([1, 3, 4, 4, 5])):
+                x ^= 1 << bit
+    centre = rnd.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(3))) for _ in range(80)}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash.fingerprint_links(df, 4).collect()
+    at = {x: i for i, x in enumerate(signed)}
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    assert roots(len(fps), [(at[r["u"]], at[r["v"]]) for r in found]) == want
+
+
+def test_simhash_components(odd_docs, no_docs):
+    rows = odd_docs.select("doc_id", "text").collect()
+    fps = [slow_fingerprint(r["text"]) for r in rows]
+    group = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least = {g: min((r["doc_id"] for r, h in zip(rows, group, strict=True) if h == g and r["doc_id"] is not None), default=None) for g in set(group)}
+    want = sorted((str(r["doc_id"]), f"{f:016x}", str(least[g])) for r, f, g in zip(rows, fps, group, strict=True))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash.simhash_components(odd_docs).collect()) == want
+    assert simhash.simhash_components(no_docs).collect() == []
+
+
+def test_near_duplicates(spark, odd_docs, no_docs):
+    rows = odd_docs.select("doc_id", "text").collect()
+    texts = [(r["text"] or "").encode() for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if neardup.similarity(texts[i], texts[j], 5) >= 0.8]
+    group = roots(len(rows), links)
+    least = {g: min((r["doc_id"] for r, h in zip(rows, group, strict=True) if h == g and r["doc_id"] is not None), default=None) for g in set(group)}
+    want = sorted((str(r["doc_id"]), str(least[g])) for r, g in zip(rows, group, strict=True))
+    assert sorted((str(r[0]), str(r[1])) for r in neardup.near_duplicates(odd_docs).collect()) == want
+    assert neardup.near_duplicates(no_docs).collect() == []
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 150) for i in range(50)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = roots(300, links)
+    assert all(found.get(i, i) == want[i] for i in range(300))
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CELL", 1)
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(300):
+        v = rng.normal(size=16) if i % 3 == 0 else np.array(rows[rng.integers(0, len(rows))][1]) + rng.normal(size=16) * rng.choice([0, 0.02, 0.06])
+        rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(0, 3)) if i % 3 == 0 else rows[-1][2]))
+    rows += [(300 + i, [float(np.float32(x * 3)) for x in rows[5][1]], rows[5][2]) for i in range(20)]
+    rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [float("nan")] * 16, 1), (404, [float("inf"), *[1.0] * 15], 1), (405, [None, *[1.0] * 15], 1), (406, rows[5][1], None), (407, [1.0, 2.0], 1), (407, [1.0, 2.0], 1), (None, [1.0, 2.0], 1)]
+    ok = [v is not None and bool(v) and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, lab in rows]
+    full = [np.pad(np.array(v), (0, 16 - len(v))) if k else np.zeros(16) for (_, v, _), k in zip(rows, ok, strict=True)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if ok[i] and ok[j] and rows[i][2] == rows[j][2] and full[i] @ full[j] / np.linalg.norm(full[i]) / np.linalg.norm(full[j]) >= 0.98]
+    group = roots(len(rows), links)
+    n = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in set(group)}
+    want = sorted((str(r[0]), int(n[i]), str(least[group[i]])) for i, r in enumerate(rows))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, vec string")
+    for reach in (1.0, embeddings.REACH):
+        found = embeddings.embedding_components(df, reach=reach).collect()
+        got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found)
+        if reach == 1.0:
+            assert got == want
+        else:
+            assert sum(r["n_links"] for r in found) >= 0.9 * n.sum()
+    assert embeddings.embedding_components(df.limit(0)).collect() == []
+    assert all(not r["n_links"] and r["kept"] for r in embeddings.embedding_components(df.where("vec_id in (400, 402, 406)")).collect())
+
+
+def test_multi_sequence():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(7), rng.random(5)
+    cells = embeddings.multi_sequence(a, b, 0.9)
+    totals = [a[i] + b[j] for i, j in cells]
+    assert totals == sorted(totals) and set(cells) == {(i, j) for i in range(7) for j in range(5) if a[i] + b[j] <= 0.9}
