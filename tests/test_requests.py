@@ -1,5 +1,6 @@
 import base64
 import json
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from rasterloom.config import Settings
 from rasterloom.functions import png
 from rasterloom.operators import progress, requests, workflow
 from rasterloom.schemas import INPAINT_REQUEST
-from rasterloom.streaming.progress import finished_runs, read_messages
+from rasterloom.streaming.progress import finished_runs, read_messages, runs_with_timeout
 
 TEMPLATE = {
     "1": {"inputs": {"name": "m.bin"}, "class_type": "Load", "_meta": {"title": "L"}},
@@ -116,3 +117,19 @@ def test_surface(spark):
     log = spark.createDataFrame([("INFO", "uvicorn.access", ["h", "GET", "/health"]), ("INFO", "uvicorn.access", ["h", "GET", "/health/x"]), ("INFO", "e", ["h"]), ("DEBUG", "e", None)], "level string, logger string, args array<string>")
     assert [r["args"][2] for r in requests.access_lines(log).collect()] == ["/health/x"]
     assert sorted(r["label"] for r in requests.labelled(log, {"uvicorn.access": "access"}).collect()) == ["access", "access", "app"]
+
+
+def test_time_limit(spark, tmp_path):
+    """A run without an end is reported once both watermarks have passed its limit."""
+    start = [("p", 0), ("q", 0)], [("later", 6000)], [("last", 12000)]
+    ends = [("p", 60)], [("x", 6000)], [("y", 12000)]
+    for name, parts in (("a", start), ("b", ends)):
+        for part in parts:
+            df = spark.createDataFrame(part, "prompt_id string, s int").select("prompt_id", F.timestamp_seconds(F.col("s") + 100_000).alias("ts"))
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time.sleep(0.05)
+    read = lambda n: spark.readStream.schema("prompt_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    q = runs_with_timeout(read("a"), read("b"), "5 minutes").writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = {r["prompt_id"]: r["done_at"] for r in spark.table("limited").collect()}
+    assert got["p"] is not None and got["q"] is None
