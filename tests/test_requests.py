@@ -10,6 +10,7 @@ from rasterloom.config import Settings
 from rasterloom.functions import png
 from rasterloom.operators import progress, requests, workflow
 from rasterloom.schemas import INPAINT_REQUEST
+from rasterloom.sources.backend import remote_backend, view_url
 from rasterloom.streaming.progress import finished_runs, read_messages, runs_with_timeout
 
 TEMPLATE = {
@@ -133,3 +134,30 @@ def test_time_limit(spark, tmp_path):
     q.awaitTermination(200)
     got = {r["prompt_id"]: r["done_at"] for r in spark.table("limited").collect()}
     assert got["p"] is not None and got["q"] is None
+
+
+def test_remote_backend(spark):
+    """Runs, refusals, runs without images or end, and a backend that is down, by a transport that plays them."""
+
+    def send(method, url, body):
+        if method == "POST":
+            prompt = json.loads(body)
+            assert len(prompt["client_id"]) == 36
+            case = prompt["prompt"]["case"]
+            if case == "down":
+                raise OSError("refused")
+            return (400, b"bad") if case == "refused" else (200, json.dumps({"prompt_id": case}).encode())
+        case = url.rpartition("/")[2]
+        if "/history/" in url:
+            images = {"good": [{"filename": "a b", "subfolder": "", "type": "output"}], "empty": []}.get(case)
+            return 200, json.dumps({} if case == "slow" else {case: {"outputs": {"1": {}} | ({"2": {"images": images}} if images is not None else {})}}).encode()
+        assert url.endswith("/view?filename=a+b&subfolder=&type=output")
+        return 200, b"image"
+
+    cases = ["good", "refused", "down", "empty", "none", "slow"]
+    ready = spark.createDataFrame([(c, json.dumps({"case": c, "text": "__client__"})) for c in cases], "request_id string, workflow string")
+    got = {r["request_id"]: r for r in remote_backend(Settings.of(spark), send, tries=2, pause=0.01)(ready).collect()}
+    assert bytes(got["good"]["result"]) == b"image" and got["good"]["failed"] is None
+    assert [got[c]["failed"] for c in cases[1:]] == ["backend refused the run: bad", "connection: refused", "empty list of images", "no output images", "run slow hasn't ended"]
+    row = spark.sql("SELECT 'a b' AS f, '' AS s, 'output' AS t").select(view_url("http://h:1", F.col("f"), F.col("s"), F.col("t"))).first()
+    assert row[0] == "http://h:1/view?filename=a+b&subfolder=&type=output"
