@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,17 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 2_000_000
 
 
+#: Rows that Arrow hands to Python at once in the queries here; long texts make large batches of its default of 10,000.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches of whole texts stay small in this session; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +35,15 @@ def fold(id_col: str, k: int) -> Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % k).cast("int")
 
 
+def hash_sample(rows: DataFrame, size: int, key: str, *ties: Column | str) -> DataFrame:
+    """The `size` rows whose key's hashes are lowest. Rows that can't be among them are filtered where they are read,
+    so about twice as many are moved, however many there are."""
+    n = rows.count()
+    if n > 4 * size:
+        rows = rows.where(F.xxhash64(key) < (2 * size * (1 << 64)) // n - (1 << 63))
+    return rows.orderBy(F.xxhash64(key), key, *ties).limit(size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,18 +64,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Written as a compressed table in the shared folder, and read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rasterloom/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def grouped(items: list, size=len, limit: int = GROUP_BYTES):
-    """Ranges (start, end) of items of about `limit` bytes together."""
-    start = total = 0
-    for i, x in enumerate(items):
-        total += size(x) if x is not None else 0
-        if total >= limit:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(items):
-        yield start, len(items)
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/rasterloom-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Removes what `written` has left in this application's folder; DataFrames that read it can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def grouped(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, list]]:
+    """A binary array in parts (start, values) of about `limit` bytes, so that Python holds few of them at once."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit)) + 1
+        yield start, texts[start:end].to_pylist()
+        start = end

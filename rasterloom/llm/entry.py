@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fold, table
+from rasterloom.llm.common import fold, hash_sample, table
 from rasterloom.llm.embeddings import embedding_components
 from rasterloom.llm.language import fit_language, identify_language
 from rasterloom.llm.lm import lm_scores
 from rasterloom.llm.media import text_media
 from rasterloom.llm.packing import best_fit_packing
-from rasterloom.llm.quality import fit_voters, quality_scores
+from rasterloom.llm.quality import SAMPLE, fit_voters, quality_scores
 from rasterloom.llm.sentencepieces import sentencepiece_round_trip
 from rasterloom.llm.simhash import simhash_components
 from rasterloom.llm.tokencounts import token_counts
@@ -45,9 +45,11 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn quality from: a label by document, without those held out."""
+    """Rows to learn quality from: a label by document, without those held out. At most SAMPLE labels, by the hash of
+    the id, are broadcast, so that no text is shuffled."""
     known = labels.where(F.col("quality").isNotNull() & ~F.coalesce(fold("doc_id", 5) == 0, F.lit(True))).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+    some = hash_sample(known, SAMPLE, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

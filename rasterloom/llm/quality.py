@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import hash_sample
 from rasterloom.llm.features import ngram_counts
 
 ORDERS, BITS, TOP = (1, 3), 11, 32
 #: Labelled rows that the model is fitted on, at most; the broadcast holds SAMPLE * DIMENSIONS numbers.
 SAMPLE, DIMENSIONS = 3000, 64
+ITERATIONS = 6
 NEIGHBOURS, POWER = 11, 16
 BLOCK = 256
 
@@ -55,6 +57,16 @@ class Voters(NamedTuple):
         return np.clip((weights * self.labels[nearest]).sum(1) / weights.sum(1), 0, 1)
 
 
+def leading_directions(x: np.ndarray, k: int) -> np.ndarray:
+    """Right singular vectors of the k largest singular values, by subspace iteration on a few more."""
+    wide = min(k + 16, *x.shape)
+    q = np.linalg.qr(x.T @ (x @ np.random.default_rng(1).normal(size=(x.shape[1], wide)).astype(np.float32)))[0]
+    for _ in range(ITERATIONS):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v[:k].T).astype(np.float32)
+
+
 def fit_voters(labelled: DataFrame, sample: int = SAMPLE) -> Voters:
     """From rows (id, text, label 0 or 1; others are left out), of which the first `sample` by the hash of the id count."""
 
@@ -64,14 +76,13 @@ def fit_voters(labelled: DataFrame, sample: int = SAMPLE) -> Voters:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["x", "label"])
 
     rows = labelled.where("label in (0, 1)").select("id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
-    picked = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "label").limit(sample).select("text", "label")
+    picked = hash_sample(rows, sample, "id", F.xxhash64("text"), "label").select("text", "label")
     found = picked.mapInArrow(run, "x binary, label int").collect()  # bounded by the sample
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(-1, (1 << BITS) + TOP + 1)
     if not len(x):
         return Voters(np.zeros(x.shape[1], np.float32), np.zeros((x.shape[1], 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0))
     mean = x.mean(0)
-    values, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
-    directions = vectors[:, np.argsort(values)[::-1][:DIMENSIONS]].astype(np.float32)
+    directions = leading_directions(x - mean, DIMENSIONS)
     z = (x - mean) @ directions
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     return Voters(mean, directions, z, np.array([r["label"] for r in found], float))
