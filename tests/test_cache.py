@@ -6,6 +6,8 @@ import time
 from collections import OrderedDict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rasterloom.operators import cache
@@ -123,3 +125,55 @@ def test_folder(spark, tmp_path):
     assert sorted(os.listdir(folder)) == ["a.jpg", "b.png"]
     with pytest.raises(Exception, match="plain file name"):
         write_blobs(spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary"), folder)
+
+
+class PlainCache:
+    """The described behaviour over a pretended folder, step by step."""
+
+    def __init__(self, files, size):
+        self.files, self.size, self.order, self.folder = files, size, OrderedDict(), {}
+
+    def get(self, key):
+        path = self.order.get(key)
+        if path is None:
+            return "miss"
+        if path not in self.folder:
+            del self.order[key]
+            return "stale"
+        self.order.move_to_end(key)
+        return "hit"
+
+    def add(self, key, extension, length):
+        while len(self.order) >= self.files:
+            if not self.order:
+                return "failed"
+            self.folder.pop(self.order.popitem(last=False)[1], None)
+        total = sum(self.folder.values())
+        while total > self.size and self.order:
+            path = self.order.popitem(last=False)[1]
+            if path not in self.folder:
+                break
+            total -= self.folder.pop(path)
+        self.folder[key + extension] = length
+        self.order[key] = key + extension
+        self.order.move_to_end(key)
+        return "added"
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.integers(0, 4), st.integers(0, 120),
+    st.lists(st.tuples(st.sampled_from(["get", "add", "lost"]), st.sampled_from("abcde"), st.sampled_from([".p", ".j"]), st.integers(0, 70)), max_size=40),
+)
+def test_any_sequence(files, size, ops):
+    state, plain = LruState(files, size), PlainCache(files, size)
+    for op, key, extension, length in ops:
+        got = state.apply(op, key, extension, length)
+        if op == "get":
+            assert got[0][1] == plain.get(key)
+        elif op == "add":
+            assert got[-1][1] == plain.add(key, extension, length)
+        elif key in plain.order:
+            plain.folder.pop(plain.order[key], None)
+        assert {k: p for k, (p, _) in state.entries.items()} == dict(plain.order) and list(state.entries) == list(plain.order)
+        assert state.disk == sum(plain.folder.values())
