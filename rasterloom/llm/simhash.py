@@ -7,7 +7,7 @@ word is within three bits of exactly one codeword. A fingerprint's keys for a pa
 codeword indices of the pair itself and of the pair with one bit turned, about ten distinct ones, and linked
 fingerprints share one. Distinct fingerprints are dealt by their keys and compared there; a key with many of them is
 cut into blocks, and pairs of blocks are compared by different tasks. A task emits for each fingerprint it could link
-the smallest one it is connected with there, never all pairs. Components follow from those edges.
+the centre of what it is connected with there, never all pairs. Components follow from those edges.
 """
 
 from __future__ import annotations
@@ -119,16 +119,23 @@ def _key_rows(fps: DataFrame) -> DataFrame:
 
 
 def _linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint that links connect it with), for distinct uint64 fingerprints in order."""
+    """(fingerprint, centre of what links connect it with), for distinct uint64 fingerprints in order. A centre is the
+    one nearest to the majority of its group's bits, so tasks that see parts of a dense group mostly agree on it."""
     out, left = [], fps
     while len(left) > 1:
-        first, front, left = left[0], [left[0]], left[1:]
+        group, front, left = [left[0]], [left[0]], left[1:]
         while front and len(left):
             near = np.bitwise_count(left ^ front.pop()) <= bits
             if near.any():
                 found, left = left[near], left[~near]
                 front.extend(found)
-                out.extend((x, first) for x in found)
+                group.extend(found)
+        if len(group) > 1:
+            members = np.sort(np.array(group, np.uint64))
+            counts = np.unpackbits(members.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            most = np.packbits(counts * 2 > len(members), bitorder="little").view("<u8")[0]
+            centre = members[np.bitwise_count(members ^ most).argmin()]
+            out.extend((x, centre) for x in members if x != centre)
     return out
 
 
@@ -165,8 +172,10 @@ def _compare(rows: DataFrame, bits: int) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """Edges (u, v) that connect all fingerprints (column fp, distinct) which differ in at most `bits` (4 or fewer) bits."""
-    keys = _key_rows(fps)
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK)
+    # each fingerprint becomes thirty rows: small partitions of them are worth a task
+    keys = _key_rows(fps.repartition(fps.sparkSession.sparkContext.defaultParallelism, "fp"))
+    # a written table has a size that Spark knows: usually so small that the keys needn't be moved for this join
+    crowded = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
     dealt = keys.join(crowded, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
