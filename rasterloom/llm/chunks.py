@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Bytes of chunks, with an allowance for each entry, that a worker's table holds.
-TABLE_BYTES = 120_000_000
-ENTRY_BYTES = 100
+#: Bytes of chunks and values, with what Python adds to each entry, that a worker's table holds.
+TABLE_BYTES = 100_000_000
+ENTRY_BYTES = 180
 
 
 class ChunkTable:

@@ -76,12 +76,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, end = _word_table(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in grouped(texts):
-                lists = [_words(x) if x else [] for x in texts[a:b]]
+            names = batch.column(0).to_pylist()
+            for start, texts in grouped(batch.column(1)):
+                lists = [_words(x) if x else [] for x in texts]
                 table.learn(lists)
                 out, ids_of = [], table.column(0)
-                for name, words in zip(names[a:b], lists, strict=True):
+                for name, words in zip(names[start : start + len(texts)], lists, strict=True):
                     ids = memoryview(b"".join(map(ids_of, words)) + end)
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -88,10 +88,9 @@ def sentencepiece_round_trip(docs: DataFrame, model_path: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = pieces(model_path), _table(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             out: list[tuple] = []
-            for a, b in grouped(texts):
-                lists = [model.chunks(x) if x else [] for x in texts[a:b]]
+            for _, texts in grouped(batch.column(1)):
+                lists = [model.chunks(x) if x else [] for x in texts]
                 table.learn(lists)
                 csv_of, decoded_of = table.column(0), table.column(1)
                 for chunks in lists:

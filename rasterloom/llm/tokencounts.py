@@ -114,17 +114,16 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = pieces(model_path), _table(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             out: list[tuple] = []
-            for a, b in grouped(texts):
-                lists = [model.chunks(x) if x else [] for x in texts[a:b]]
+            for _, texts in grouped(batch.column(1)):
+                lists = [model.chunks(x) if x else [] for x in texts]
                 table.learn(lists)
                 steps_of = table.column(0)
-                for text, chunks in zip(texts[a:b], lists, strict=True):
+                for text, chunks in zip(texts, lists, strict=True):
                     steps = b"".join(map(steps_of, chunks))
                     n = int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))
                     fit = max(0, len(steps) - 1) if n <= limit else int(np.flatnonzero(_counts(steps) <= limit)[-1])
-                    out.append((len(text or b""), n, n > limit, fit, steps))
+                    out.append((len(text or b""), n, n > limit, fit, steps if full else b""))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64()), ("steps", pa.binary()))[: 5 if full else 4]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=False))], ["id", *(n for n, _ in kinds)])
