@@ -15,8 +15,6 @@ bigram; for others only the second term is left, so a failure arc weighs 1 - s.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash

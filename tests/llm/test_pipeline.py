@@ -1,5 +1,3 @@
-import zlib
-
 import pandas as pd
 
 import __spark_entry__ as entry
