@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import hash_sample
 from rasterloom.llm.features import ngram_counts
 
 ORDERS, BITS = (2, 3, 4), 12
@@ -90,8 +91,8 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | N
             out = [_shares(x.as_py()).astype(np.float16).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["x", "label"])
 
-    rows = labelled.where("label is not null and text is not null").select("id", F.col("text").cast("binary").alias("text"), F.col("label").cast("string").alias("label"))
-    picked = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "label").limit(sample).select("text", "label")
+    rows = labelled.where("label is not null").select("id", F.col("text").cast("binary").alias("text"), F.col("label").cast("string").alias("label"))
+    picked = hash_sample(rows, sample, "id", F.xxhash64("text"), "label").where("text is not null").select("text", "label")
     found = picked.mapInArrow(run, "x binary, label string").collect()  # bounded by the sample
     if not found:
         return None
