@@ -106,16 +106,20 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+#: Bits of a key, and of the number of the kind of fingerprint that stands above it.
+KEY_BITS, KIND_BITS = 26, 6
+
+
 def _key_rows(fps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy()
+            kinds, all_fps = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
             for at in range(0, len(all_fps), 4096):
                 part = all_fps[at : at + 4096]
                 rows, keys = golay_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys | kinds[at : at + 4096][rows] << KEY_BITS), pa.array(part[rows])], ["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return fps.select("kind", "fp").mapInArrow(run, "key long, fp long")
 
 
 def _linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -140,20 +144,22 @@ def _linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _compare(rows: DataFrame, bits: int) -> DataFrame:
-    """Edges among rows (key, a, b, fp), which are dealt by key, a and b and in order of them and fp."""
+    """Edges (kind, u, v) among rows (group, fp), which are dealt by group and in order of it."""
 
     def edges(group: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(starts, len(group)))
         two = starts[sizes == 2]
         near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-        us, vs = list(fp[near + 1]), list(fp[near])
+        groups, us, vs = list(group[near]), list(fp[near + 1]), list(fp[near])
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             for u, v in _linked(np.unique(fp[at : at + n]), bits):
+                groups.append(group[at])
                 us.append(u)
                 vs.append(v)
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], ["u", "v"])
+            kinds = (np.array(groups, np.int64) >> KEY_BITS & (1 << KIND_BITS) - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs))], ["kind", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_group, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -167,11 +173,12 @@ def _compare(rows: DataFrame, bits: int) -> DataFrame:
         if len(held_group):
             yield from edges(held_group, held_fp)
 
-    return rows.select("group", "fp").mapInArrow(run, "u long, v long")
+    return rows.select("group", "fp").mapInArrow(run, "kind int, u long, v long")
 
 
 def fingerprint_links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints (column fp, distinct) which differ in at most `bits` (4 or fewer) bits."""
+    """Edges (kind, u, v) that connect all fingerprints of a kind (columns kind, from 0 to 63, and fp, distinct) which
+    differ in at most `bits` (4 or fewer) bits."""
     # each fingerprint becomes thirty rows: small partitions of them are worth a task
     keys = _key_rows(fps.repartition(fps.sparkSession.sparkContext.defaultParallelism, "fp"))
     # a written table has a size that Spark knows: usually so small that the keys needn't be moved for this join
@@ -182,8 +189,8 @@ def fingerprint_links(fps: DataFrame, bits: int = 4) -> DataFrame:
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.filter(other, lambda b: b != own), lambda b: (F.least(b, own) * F.col("blocks") + F.greatest(b, own)).cast("long"))
     )
-    # 26 bits of key, and the pair of blocks above them
-    rows = dealt.select(F.explode(pairs).alias("pair"), "key", "fp").select((F.call_function("shiftleft", F.col("pair"), F.lit(26)) + F.col("key")).alias("group"), "fp")
+    # the pair of blocks stands above the key
+    rows = dealt.select(F.explode(pairs).alias("pair"), "key", "fp").select((F.call_function("shiftleft", F.col("pair"), F.lit(KEY_BITS + KIND_BITS)) + F.col("key")).alias("group"), "fp")
     return _compare(rows.repartition("group").sortWithinPartitions("group"), bits).distinct()
 
 
@@ -196,7 +203,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col:
     """
     found = written(fingerprints(docs, shingle, id_col, text_col))
     distinct = found.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = checkpointed(connected_components(fingerprint_links(distinct.select("fp"), bits)))
+    roots = checkpointed(connected_components(fingerprint_links(distinct.select(F.lit(0).alias("kind"), "fp"), bits)))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only fingerprints with links need their group's smallest id looked up
     groups = labelled.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))

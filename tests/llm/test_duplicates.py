@@ -74,8 +74,10 @@ def test_links(spark, monkeypatch, block):
     fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(3))) for _ in range(80)}
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = simhash.fingerprint_links(df, 4).collect()
+    df = spark.createDataFrame([(k, x) for x in signed for k in (0, 5)], "kind int, fp long")
+    every = simhash.fingerprint_links(df, 4).collect()
+    found = [r for r in every if r["kind"] == 5]
+    assert sorted(r[1:] for r in every if r["kind"] == 0) == sorted(r[1:] for r in found)
     at = {x: i for i, x in enumerate(signed)}
     want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert roots(len(fps), [(at[r["u"]], at[r["v"]]) for r in found]) == want
