@@ -1,8 +1,8 @@
 """URL filters by a Bloom filter cascade, in DataFrame operations alone.
 
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with the rule's. So a
-url's candidate keys are the ends of its host at dots, each with the starts of its path at the lengths that rules
-have. For each verdict a cascade answers which candidates are listed: level 1 encodes the listed keys; level 2 those
+url's candidate keys are the ends of its host of as many labels as rules have, each with the starts of its path at the
+lengths that rules have. For each verdict a cascade answers which candidates are listed: level 1 encodes the listed keys; level 2 those
 keys of the corpus that level 1 lets through wrongly; level 3 the listed keys that level 2 lets through; and so on
 until a level lets nothing through wrongly. As the levels were built over every candidate key of the corpus itself,
 the depth at which a key first fails tells exactly whether it is listed. The first level has so many bits that it
@@ -33,14 +33,15 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://([^/?#]*)([^?#]*)", 2), F.lit(""))
 
 
-def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Array of the keys that rules for this url can have; longest host and path first."""
+def candidates(host: Column, path: Column, label_counts: set[int], path_lengths: set[int]) -> Column:
+    """Array of the keys that rules for this url can have: hosts of as many labels, and paths as long, as rules have;
+    longest host and path first."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    starts = F.filter(F.array(*[F.when(F.char_length(path) >= k, F.substring(path, 1, k)) for k in sorted(path_lengths, reverse=True)]), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
-    return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
+    hosts = [F.when(n >= k, F.array_join(F.slice(labels, n - k + 1, F.lit(k)), ".")) for k in sorted(label_counts, reverse=True)]
+    starts = [F.when(F.char_length(path) >= k, F.substring(path, 1, k)) for k in sorted(path_lengths, reverse=True)]
+    keys = [F.concat(h, p) for h in hosts for p in starts]  # null where either is
+    return F.when(host != "", F.array_compact(F.array(*keys))).otherwise(F.array().cast("array<string>")) if keys else F.array().cast("array<string>")
 
 
 class Level(NamedTuple):
@@ -104,14 +105,16 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_
     rules of equal length the one with the longer host wins. A url that is null or has no `://` has an empty host and
     path and the default verdict. Rows with equal or null ids are kept; other columns of pages are not carried.
     """
-    lengths = [r["n"] for r in rules.select(F.char_length("path").alias("n")).where("n is not null").distinct().collect()]
+    # as many rows as there are kinds of rules
+    shapes = rules.where("host is not null and path is not null").select(F.size(F.split("host", "\\.")).alias("labels"), F.char_length("path").alias("length")).distinct().collect()
+    counts, lengths = ({r[c] for r in shapes} for c in ("labels", "length"))
     parts = pages.select(F.col(id_col).cast("long").alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    universe = parts.select(candidates(F.col("host"), F.col("path"), lengths).alias("keys"))
+    universe = parts.select(candidates(F.col("host"), F.col("path"), counts, lengths).alias("keys"))
     n = universe.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
     keys = universe.select(F.explode("keys").alias("key"))
     listed = rules.select("verdict", F.concat("host", "path").alias("key"))
     allow, block = (cascade(listed.where(F.col("verdict") == v).select("key"), keys, n) for v in ("allow", "block"))
-    fits = F.filter(candidates(F.col("host"), F.col("path"), lengths), lambda k: member(k, allow) | member(k, block))
+    fits = F.filter(candidates(F.col("host"), F.col("path"), counts, lengths), lambda k: member(k, allow) | member(k, block))
     longest = F.aggregate(fits, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.char_length(b) > F.char_length(a)), b).otherwise(a))
     judged = parts.withColumn("rule", longest)
     return judged.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(member(F.col("rule"), allow), "allow").otherwise("block"))
