@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Bytes of chunks and values, with what Python adds to each entry, that a worker's table holds.
-TABLE_BYTES = 100_000_000
+TABLE_BYTES = 160_000_000
 ENTRY_BYTES = 180
 
 
