@@ -38,7 +38,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts and of texts that share 0.8 of their five-word shingles or more, as
-    SimHash finds them: that with the group's smallest id. Rows without an id stay."""
+    min-wise hashes find them: that with the group's smallest id. Rows without an id stay."""
     small_batches(spark)
     found = written(near_duplicates(docs, 5, 0.8))
     again = found.where("doc_id <> component_id").select("doc_id").distinct()

@@ -1,11 +1,11 @@
-"""Near-duplicate texts by SimHash fingerprints of their words, verified by the similarity of their shingles.
-
-A text's fingerprint over its distinct words, each counted once, moves far less with a few edits than one over
-shingles: texts that share 0.8 of their five-word shingles differ in four bits or fewer half of the time, and of three
-fingerprints with seeds of their own one does in over nine of ten cases. A fourth fingerprint, over the shingles, adds
-long texts of few words with small edits. Golay keys find the links of each fingerprint; what they propose counts only
-if the shingles are similar enough. A dense group proposes many pairs for each text, so each is first compared with the
-one text that most of its connected group's proposals name, and by all its proposals only if that one isn't similar.
+"""Near-duplicate texts by min-wise hashes of their shingles, verified by the similarity of their shingles.
+
+Two texts agree in a min-wise hash as often as their sets of shingles overlap (Jaccard), whatever edit made one of the
+other. A text has BANDS keys of ROWS hashes each, and texts that share a key are compared: of pairs at a similarity of
+0.8, three in a million share none. Every pair of texts of a key is compared unless the two are connected already. So
+that a dense group proposes few pairs, each text is first compared with one central text of its most crowded key; all
+pairs of a key whose texts are still in different groups follow, crowded keys in blocks. What is proposed counts only
+if the shingles are similar enough.
 """
 
 from __future__ import annotations
@@ -20,25 +20,19 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import checkpointed, written
 from rasterloom.llm.components import connected_components
-from rasterloom.llm.simhash import STRIDE, fingerprint, fingerprint_links
 
-SEEDS = (1, 2, 3)
-#: Bits in which the word fingerprints of a pair may differ, all seeds together. Texts at a similarity of 0.8 differ in
-#: 13 on average, with a spread of 4; strangers, which one fingerprint in a large corpus links by chance, in over 60.
-APART = 28
-
-
-def word_fingerprints(text: bytes, seeds: tuple[int, ...] = SEEDS) -> list[int]:
-    """A fingerprint for each seed: bits set in over half of the XXH64 values of the distinct words, A-Z in lower case."""
-    words = list(set(text.lower().split()))
-    out, digest = [], xxhash.xxh64_intdigest
-    for seed in seeds:
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(words), STRIDE):
-            values = np.array([digest(w, seed) for w in words[at : at + STRIDE]], "<u8")
-            counts += np.unpackbits(values.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(words), bitorder="little").view("<i8")[0]))
-    return out
+#: A pair of similarity J shares no key with probability (1 - J ** ROWS) ** BANDS.
+BANDS, ROWS = 32, 5
+HASHES = BANDS * ROWS
+#: Odd multipliers: each makes another order of the hashes of shingles.
+ORDERS = np.random.default_rng(1).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+#: Standard deviations below its mean at which the number of equal hashes of a pair is too small for the pair to be read.
+SPREADS = 6
+#: Rounds in which texts are compared with a central one only; no result depends on it.
+STARS = 2
+#: Texts of a key that a task compares with each other at once.
+BLOCK = 1024
+STRIDE = 4096
 
 
 def shingles(text: bytes, size: int) -> set:
@@ -53,18 +47,95 @@ def similarity(a: bytes, b: bytes, size: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def signature(text: bytes, size: int) -> bytes:
+    """A byte of each of the min-wise hashes of the shingles."""
+    parts = list(map(b" ".join, shingles(text, size)))
+    values = np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, len(parts))
+    least = np.full(HASHES, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(values), STRIDE):
+        np.minimum(least, (ORDERS[:, None] * values[at : at + STRIDE]).min(1), out=least)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, f0, f1, ...): h names a text; the last fingerprint is over shingles."""
+    """(id, h, sig): h names a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(2)]
-            words = np.array([word_fingerprints(x) for x in texts], np.int64).reshape(-1, len(SEEDS))
-            parts = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f) for f in (*words.T, parts))], ["id", "h", *names])
+            found = pa.array([signature(x.as_py(), shingle) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "h", "sig"])
+
+    return docs.mapInArrow(run, "id long, h long, sig binary")
 
-    names = [f"f{k}" for k in range(len(SEEDS) + 1)]
-    return docs.mapInArrow(run, "id long, h long, " + ", ".join(f"{x} long" for x in names))
+
+def _matrix(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _key_rows(distinct: DataFrame) -> DataFrame:
+    """(key, h): a band's number stands above its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(np.int64)
+            keys = (parts << np.arange(ROWS) * 8).sum(axis=2) | np.arange(BANDS) << 8 * ROWS
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "h"])
+
+    return distinct.select("h", "sig").mapInArrow(run, "key long, h long")
+
+
+def _pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, p, q, block, h, comp, sig), which are dealt and in order of the first three: of texts
+    of blocks p and q whose comp differs and whose signatures may be those of similar texts. A pair comes of the first
+    key that it shares only."""
+    enough = HASHES * least - SPREADS * (HASHES * least * (1 - least)) ** 0.5
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        band = t["key"][0].as_py() >> 8 * ROWS
+        block, h, comp, sig = t["block"].to_numpy(), t["h"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"])
+        x, y = np.flatnonzero(block == t["p"][0].as_py()), np.flatnonzero(block == t["q"][0].as_py())
+        equal = np.zeros((len(x), len(y)), np.uint8)
+        if len(x) * len(y) <= 4096:
+            equal = (sig[x][:, None] == sig[y][None]).sum(axis=2)
+        else:
+            for k in range(HASHES):
+                equal += sig[x, k][:, None] == sig[y, k]
+        near = (equal >= enough) & (comp[x][:, None] != comp[y])
+        if t["p"][0] == t["q"][0]:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(i), STRIDE):
+            u, v = x[i[at : at + STRIDE]], y[j[at : at + STRIDE]]
+            first = (sig[u] == sig[v]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            a.append(h[u[first]])
+            b.append(h[v[first]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, p, q = (batch.column(c).to_numpy() for c in ("key", "p", "q"))
+            starts = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            bounds = [0, *starts.tolist(), len(k)]
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                part = pa.Table.from_batches([batch.slice(start, end - start)])
+                if held and any(held[0][c][0] != part[c][0] for c in ("key", "p", "q")):
+                    yield pa.concat_tables(held).combine_chunks()
+                    held = []
+                held.append(part)
+        if held:
+            yield pa.concat_tables(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            found = compare(group)
+            if found.num_rows:
+                yield found
+
+    return rows.select("key", "p", "q", "block", "h", "comp", "sig").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -80,39 +151,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _live(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, h, comp, n): rows of the keys whose n texts aren't all connected."""
+    rows = shared.withColumn("comp", F.col("h"))
+    if roots is not None:
+        rows = shared.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return rows.join(mixed, "key").select("key", "h", "comp", "n")
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """For each text, the pair (a, b) with the text of its most crowded key that shares keys with most others."""
+    scores = live.groupBy("h").agg(F.sum("n").alias("score"))
+    scored = live.join(scores, "h")
+    centres = scored.groupBy("key").agg(F.max_by(F.struct(F.col("h").alias("b"), F.col("comp").alias("other")), F.struct("score", "h")).alias("c"))
+    other = scored.join(centres.select("key", "c.*"), "key").where("comp <> other")
+    return other.groupBy(F.col("h").alias("a")).agg(F.max_by("b", F.struct("n", "key")).alias("b"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id and component_id, the smallest id of its group of equal or similar texts.
 
-    Groups are connected by pairs whose sets of shingles have a similarity (Jaccard) of `least` or more. A null text
-    counts as empty; empty texts are equal. Rows with equal ids are kept; null ids are never a component_id unless a
-    group has no other. Other columns are not carried.
+    Groups are connected by pairs whose sets of shingles have a similarity (Jaccard) of `least` or more, if they share
+    one of their keys. A null text counts as empty; empty texts are equal. Rows with equal ids are kept; null ids are
+    never a component_id unless a group has no other. Other columns are not carried.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     found = written(_signatures(rows, shingle))
-    distinct = found.groupBy("h").agg(F.min("id").alias("first"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(len(SEEDS) + 1)])
-    every = F.array(*[F.col(f"f{k}") for k in range(len(SEEDS) + 1)])
-    own = distinct.select("h", F.posexplode(every).alias("kind", "fp"))
-    leader = own.groupBy("kind", "fp").agg(F.min("h").alias("lead"))
-    equal = own.join(leader, ["kind", "fp"]).where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b"))
-    of = lambda c, name: leader.select("kind", F.col("fp").alias(c), F.col("lead").alias(name))
-    linked = fingerprint_links(leader.select("kind", "fp"), bits).join(of("u", "a"), ["kind", "u"]).join(of("v", "b"), ["kind", "v"]).select("a", "b")
-    pairs = equal.union(linked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    prints = lambda end: distinct.select(F.col("h").alias(end), F.array(*[f"f{k}" for k in range(len(SEEDS))]).alias(f"f{end}"))
-    apart = F.aggregate(F.arrays_zip("fa", "fb"), F.lit(0), lambda n, f: n + F.bit_count(f["fa"].bitwiseXOR(f["fb"])))
-    pairs = checkpointed(pairs.join(prints("a"), "a").join(prints("b"), "b").where(apart <= APART).select("a", "b"))
-    # written once: of all texts, those that any pair names
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    named = written(ends.groupBy("h").agg(F.count("*").alias("degree")))
-    texts = written(rows.hint("merge").join(named.select("h"), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
-    proposed_roots = checkpointed(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    nodes = named.join(proposed_roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    centres = nodes.groupBy("root").agg(F.max_by("h", F.struct("degree", "h")).alias("centre"))
-    likely = checkpointed(nodes.join(centres, "root").where("h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b")))
-    similar = checkpointed(_verified(likely, texts, shingle, least))
-    rest = likely.select(F.col("a").alias("h")).join(similar.select(F.col("u").alias("h")), "h", "left_anti")
-    others = pairs.join(rest.withColumnRenamed("h", "a"), "a", "left_semi").union(pairs.join(rest.withColumnRenamed("h", "b"), "b", "left_semi").select("a", "b")).distinct()
-    roots = checkpointed(connected_components(similar.union(_verified(others, texts, shingle, least))))
+    distinct = written(found.groupBy("h").agg(F.min("id").alias("first"), F.first("sig").alias("sig")))
+    keys = _key_rows(distinct)
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(keys.join(several, "key"))
+    # written once: of all texts, those that share a key
+    texts = written(rows.hint("merge").join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
+    similar, roots = None, None
+    for _ in range(STARS):
+        stars = checkpointed(_stars(_live(shared, roots)))
+        new = _verified(stars, texts, shingle, least)
+        similar = checkpointed(new if similar is None else similar.union(new))
+        roots = checkpointed(connected_components(similar))
+
+    live = _live(shared, roots).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("p"), F.greatest(b, own).alias("q")))
+    dealt = live.select("key", own.alias("block"), "h", "comp", F.explode(others).alias("o")).select("key", "o.*", "block", "h", "comp")
+    dealt = dealt.join(distinct.select("h", "sig"), "h").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    pairs = checkpointed(_pairs(dealt, least))
+    roots = checkpointed(connected_components(similar.union(_verified(pairs, texts, shingle, least))))
     labelled = distinct.select("h", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     groups = labelled.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     components = labelled.join(groups, "root", "left").select("h", F.coalesce("least", "first").alias("component_id"))
