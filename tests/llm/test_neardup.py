@@ -32,3 +32,22 @@ def test_chain(spark):
     rnd = random.Random(2)
     line = words(rnd, 200)
     assert set(components(spark, [line[i * 10 : i * 10 + 100] for i in range(10)]).values()) == {0}
+
+
+def test_every_shape_of_edit(spark):
+    rnd = random.Random(3)
+    edits = [
+        (100, lambda t: t + words(rnd, 20)),
+        (120, lambda t: t[:-20]),
+        (200, lambda t: t[:50] + words(rnd, 40) + t[50:]),
+        (300, lambda t: t[:100] + words(rnd, 25) + t[125:]),
+        (20, lambda t: t + words(rnd, 3)),
+        (9, lambda t: t + words(rnd, 1)),
+    ]
+    texts = []
+    for n, edit in edits:
+        for _ in range(15):
+            t = words(rnd, n)
+            texts += [t, edit(t)]
+    assert all(neardup.similarity(" ".join(x).encode(), " ".join(y).encode(), 5) >= 0.8 for x, y in zip(texts[::2], texts[1::2], strict=True))
+    assert components(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
