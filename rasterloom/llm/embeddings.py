@@ -28,7 +28,9 @@ from rasterloom.llm.components import connected_components
 SAMPLE, ROUNDS, FEWEST, MOST = 5000, 12, 4, 256
 #: Distinct vectors to a cell of a label, on average, that the number of codewords aims at.
 CELL = 5
-REACH = 0.4
+REACH = 1.0
+#: Added to the squared distance that linked vectors can have, for rounding.
+ROUNDING = 1e-9
 #: Members, and visitors, of a cell that a task compares at once.
 BLOCK = 1024
 
@@ -203,7 +205,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, reach: float =
     codewords = min(MOST, max(FEWEST, int((known["n"] / max(1, known["labels"]) / CELL) ** 0.5)))
     books = learn_codebooks(_unit(_matrix([bytes(r["v"]) for r in sample], dim)), codewords)
 
-    visits = written(_visits(distinct, books, dim, reach * reach * max(0.0, 2 - 2 * least)))
+    visits = written(_visits(distinct, books, dim, reach * reach * max(0.0, 2 - 2 * least) + ROUNDING))
     cells = visits.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b_n"), F.ceil(F.count_if("home") / BLOCK).cast("int").alias("a_n"))
     dealt = visits.join(cells.where("a_n > 0"), ["label", "cell"])
     block = lambda n, seed: F.pmod(F.xxhash64("vec", F.lit(seed)), F.col(n)).cast("int")
