@@ -37,10 +37,13 @@ def fold(id_col: str, k: int) -> Column:
 
 def hash_sample(rows: DataFrame, size: int, key: str, *ties: Column | str) -> DataFrame:
     """The `size` rows whose key's hashes are lowest. Rows that can't be among them are filtered where they are read,
-    so about twice as many are moved, however many there are."""
+    so about twice as many are moved, however many there are; where keys repeat or are null so often that too few rows
+    pass, all take part."""
     n = rows.count()
     if n > 4 * size:
-        rows = rows.where(F.xxhash64(key) < (2 * size * (1 << 64)) // n - (1 << 63))
+        low = rows.where(F.xxhash64(key) < (2 * size * (1 << 64)) // n - (1 << 63))
+        if low.count() >= size:
+            rows = low
     return rows.orderBy(F.xxhash64(key), key, *ties).limit(size)
 
 
