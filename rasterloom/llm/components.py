@@ -6,15 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import checkpointed
+from rasterloom.llm.common import forget, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of edges (u, v: long) but the roots themselves; a component's root is its smallest node.
 
-    Every step groups edges by a node with partial aggregates and joins on it; no node's neighbours are collected.
+    Every step groups edges by a node with partial aggregates and joins on it; no node's neighbours are collected. Each
+    step's edges are written for the next, which removes those before; the last table stays.
     """
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while (state := edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(1))), F.lit(0))).first()) != seen:
         seen = state
@@ -26,5 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before, edges = edges, written(small.distinct())
+        forget(before)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.written_at = edges.written_at
+    return out

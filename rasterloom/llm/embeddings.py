@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import checkpointed, written
+from rasterloom.llm.common import written
 from rasterloom.llm.components import connected_components
 
 #: Vectors that codebooks are learned from, at most; rounds of k-means; codewords of a half, at least and most.
@@ -213,10 +213,10 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, reach: float =
     as_visitor = F.transform(F.sequence(F.lit(0), F.col("a_n") - 1), lambda a: F.struct(a.alias("a"), block("b_n", 1).alias("b"), (F.col("home") & (a == block("a_n", 2))).alias("member"), F.lit(True).alias("visitor")))
     as_member = F.transform(F.filter(F.sequence(F.lit(0), F.col("b_n") - 1), lambda b: F.col("home") & (b != block("b_n", 1))), lambda b: F.struct(block("a_n", 2).alias("a"), b.alias("b"), F.lit(True).alias("member"), F.lit(False).alias("visitor")))
     placed = dealt.select("vec", "v", "n", "label", "cell", F.explode(F.concat(as_visitor, as_member)).alias("p")).select("vec", "v", "n", "label", "cell", "p.*")
-    found = checkpointed(_links(placed.repartition("label", "cell", "a", "b").sortWithinPartitions("label", "cell", "a", "b"), dim, least))
+    found = written(_links(placed.repartition("label", "cell", "a", "b").sortWithinPartitions("label", "cell", "a", "b"), dim, least))
 
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    roots = checkpointed(connected_components(found.select(F.col("vec").alias("u"), F.col("to").alias("v"))))
+    roots = connected_components(found.select(F.col("vec").alias("u"), F.col("to").alias("v")))
     named = same.select("vec", "label", "v", "first", "n").join(counts, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left").withColumn("root", F.coalesce("root", "vec"))
     least_id = named.groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(least_id, "root").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id"))

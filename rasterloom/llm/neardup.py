@@ -1,16 +1,22 @@
-"""Near-duplicate texts by min-wise hashes of their shingles, verified by the similarity of their shingles.
-
-Two texts agree in a min-wise hash as often as their sets of shingles overlap (Jaccard), whatever edit made one of the
-other. A text has BANDS keys of ROWS hashes each, and texts that share a key are compared: of pairs at a similarity of
-0.8, three in a million share none. Every pair of texts of a key is compared unless the two are connected already. So
-that a dense group proposes few pairs, each text is first compared with one central text of its most crowded key; all
-pairs of a key whose texts are still in different groups follow, crowded keys in blocks. What is proposed counts only
-if the shingles are similar enough.
+"""Near-duplicate texts: SimHash by Golay codes takes off the close copies, min-wise hashes find the rest, and the
+shingles of every pair that either proposes are compared exactly.
+
+SimHash alone can't give right results for texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8:
+their fingerprints differ in a bit with probability acos(2 J / (1 + J)) / pi, 0.15, so in ten of 64 bits, where Golay
+keys reach four. But copies with few changes, of which large groups consist, are within four bits by fingerprints of
+short shingles; they become one component each by a star around the group's centre, as in the operator `simhash`.
+
+Two texts agree in a min-wise hash as often as their sets of shingles overlap, whatever edit made one of the other. A
+text has BANDS keys of ROWS hashes each, and texts that share a key are compared: of pairs at a similarity of 0.8,
+three in a million share none. Every pair of texts of a key is compared unless the two are connected already. So that
+a dense group proposes few pairs, passes over some bands each compare texts with one centre of their key first, the
+text that agrees with most of its others; all pairs of a key whose texts are still in different groups follow,
+crowded keys in blocks. What is proposed counts only if the shingles are similar enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import checkpointed, written
+from rasterloom.llm.common import forget, free_name, written
 from rasterloom.llm.components import connected_components
+from rasterloom.llm.simhash import fingerprint, fingerprint_links
 
 #: A pair of similarity J shares no key with probability (1 - J ** ROWS) ** BANDS.
 BANDS, ROWS = 32, 5
@@ -27,9 +34,11 @@ HASHES = BANDS * ROWS
 #: Odd multipliers: each makes another order of the hashes of shingles.
 ORDERS = np.random.default_rng(1).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 #: Standard deviations below its mean at which the number of equal hashes of a pair is too small for the pair to be read.
-SPREADS = 6
-#: Rounds in which texts are compared with a central one only; no result depends on it.
-STARS = 2
+SPREADS = 4.5
+#: Words to a shingle, and bits that may differ, of the fingerprints; no result depends on them.
+FINGERPRINT_WORDS, FINGERPRINT_BITS = 2, 4
+#: Bands of each pass in which texts are compared with a central one only; no result depends on it.
+STARS = (range(4), range(4, 12), range(12, BANDS))
 #: Texts of a key that a task compares with each other at once.
 BLOCK = 1024
 STRIDE = 4096
@@ -58,30 +67,62 @@ def signature(text: bytes, size: int) -> bytes:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, sig): h names a text."""
+    """(id, h, fp, sig): h names a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([signature(x.as_py(), shingle) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "h", "sig"])
+            texts = [x.as_py() for x in batch.column(2)]
+            fps = np.array([fingerprint(x, FINGERPRINT_WORDS) for x in texts], np.uint64).view(np.int64)
+            found = pa.array([signature(x, shingle) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), found], ["id", "h", "fp", "sig"])
 
-    return docs.mapInArrow(run, "id long, h long, sig binary")
+    return docs.mapInArrow(run, "id long, h long, fp long, sig binary")
 
 
 def _matrix(signatures: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _key_rows(distinct: DataFrame) -> DataFrame:
-    """(key, h): a band's number stands above its hashes."""
+def _key_rows(distinct: DataFrame, bands: range) -> DataFrame:
+    """(key, h, comp) for each of the bands of rows (h, comp, sig); a band's number stands above its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(np.int64)
-            keys = (parts << np.arange(ROWS) * 8).sum(axis=2) | np.arange(BANDS) << 8 * ROWS
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "h"])
+            parts = _matrix(batch.column(2)).reshape(-1, BANDS, ROWS)[:, bands.start : bands.stop].astype(np.int64)
+            keys = (parts << np.arange(ROWS) * 8).sum(axis=2) | np.array(bands) << 8 * ROWS
+            h, comp = (pa.array(np.repeat(batch.column(c).to_numpy(), len(bands))) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), h, comp], ["key", "h", "comp"])
+
+    return distinct.select("h", "comp", "sig").mapInArrow(run, "key long, h long, comp long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (numbers)."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *starts.tolist(), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            part = pa.Table.from_batches([batch.slice(start, end - start)])
+            if held and any(held[0][c][0] != part[c][0] for c in keys):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _each_run(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, keys):
+            found = work(group)
+            if found.num_rows:
+                yield found
 
-    return distinct.select("h", "sig").mapInArrow(run, "key long, h long")
+    return run
 
 
 def _pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -112,30 +153,7 @@ def _pairs(rows: DataFrame, least: float) -> DataFrame:
             b.append(h[v[first]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, p, q = (batch.column(c).to_numpy() for c in ("key", "p", "q"))
-            starts = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            bounds = [0, *starts.tolist(), len(k)]
-            for start, end in zip(bounds, bounds[1:], strict=False):
-                part = pa.Table.from_batches([batch.slice(start, end - start)])
-                if held and any(held[0][c][0] != part[c][0] for c in ("key", "p", "q")):
-                    yield pa.concat_tables(held).combine_chunks()
-                    held = []
-                held.append(part)
-        if held:
-            yield pa.concat_tables(held).combine_chunks()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches):
-            found = compare(group)
-            if found.num_rows:
-                yield found
-
-    return rows.select("key", "p", "q", "block", "h", "comp", "sig").mapInArrow(run, "a long, b long")
+    return rows.select("key", "p", "q", "block", "h", "comp", "sig").mapInArrow(_each_run(["key", "p", "q"], compare), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -151,55 +169,127 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _live(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, h, comp, n): rows of the keys whose n texts aren't all connected."""
-    rows = shared.withColumn("comp", F.col("h"))
-    if roots is not None:
-        rows = shared.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return rows.join(mixed, "key").select("key", "h", "comp", "n")
+def _live(distinct: DataFrame, bands: range) -> DataFrame:
+    """(key, n, h, comp): rows of the bands' keys whose n texts aren't all connected."""
+    keys = _key_rows(distinct, bands)
+    mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return keys.join(mixed.select("key", "n"), "key")
 
 
-def _stars(live: DataFrame) -> DataFrame:
-    """For each text, the pair (a, b) with the text of its most crowded key that shares keys with most others."""
-    scores = live.groupBy("h").agg(F.sum("n").alias("score"))
-    scored = live.join(scores, "h")
-    centres = scored.groupBy("key").agg(F.max_by(F.struct(F.col("h").alias("b"), F.col("comp").alias("other")), F.struct("score", "h")).alias("c"))
-    other = scored.join(centres.select("key", "c.*"), "key").where("comp <> other")
-    return other.groupBy(F.col("h").alias("a")).agg(F.max_by("b", F.struct("n", "key")).alias("b"))
+def _stars(live: DataFrame, distinct: DataFrame) -> DataFrame:
+    """For each text of rows (key, n, h, comp), the pair (a, b) with the centre of its most crowded key: the text that
+    agrees best with what most texts of the key have, or of a block of them."""
 
+    def centre(t: pa.Table) -> pa.RecordBatch:
+        sig, h, comp = _matrix(t["sig"]), t["h"].to_numpy(), t["comp"].to_numpy()
+        most = np.array([np.bincount(sig[:, k]).argmax() for k in range(HASHES)], np.uint8)
+        agree = (sig == most).sum(axis=1)
+        k = np.lexsort((h, -agree))[0]
+        return pa.RecordBatch.from_pydict({"key": t["key"][:1].combine_chunks(), "b": pa.array([h[k]]), "other": pa.array([comp[k]]), "agree": pa.array([int(agree[k])])})
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id and component_id, the smallest id of its group of equal or similar texts.
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = live.withColumn("block", F.pmod(F.xxhash64("h"), blocks)).join(distinct.select("h", "sig"), "h")
+    dealt = rows.select("key", "block", "h", "comp", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
+    found = dealt.mapInArrow(_each_run(["key", "block"], centre), "key long, b long, other long, agree long")
+    centres = found.groupBy("key").agg(F.max_by(F.struct("b", "other"), F.struct("agree", "b")).alias("c")).select("key", "c.*")
+    return live.join(centres, "key").where("comp <> other").groupBy(F.col("h").alias("a")).agg(F.max_by("b", F.struct("n", "key")).alias("b"))
 
-    Groups are connected by pairs whose sets of shingles have a similarity (Jaccard) of `least` or more, if they share
-    one of their keys. A null text counts as empty; empty texts are equal. Rows with equal ids are kept; null ids are
-    never a component_id unless a group has no other. Other columns are not carried.
-    """
+
+def _close_copies(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (h, fp) with one fingerprint or close ones: each with one text that stands for it."""
+    leads = written(distinct.groupBy("fp").agg(F.min("h").alias("lead")))
+    links = written(fingerprint_links(leads.select(F.lit(0).alias("kind"), "fp"), FINGERPRINT_BITS).select("u", "v"))
+    # of the centres that tasks have linked a fingerprint with, the one linked most
+    popular = links.groupBy("v").agg(F.count("*").alias("n"))
+    stars = links.join(popular, "v").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    named = stars.join(leads.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u").join(leads.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v")
+    equal = distinct.join(leads, "fp").where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b"))
+    pairs = written(equal.union(named.select("a", "b")))
+    forget(leads, links)
+    return pairs
+
+
+def _labelled(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """distinct with comp, the root of each text's component."""
+    return distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
+
+
+def _groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Tables, written: (id, h) of each row; (h, first, comp) of each distinct text, by its smallest id and its group."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    found = written(_signatures(rows, shingle))
-    distinct = written(found.groupBy("h").agg(F.min("id").alias("first"), F.first("sig").alias("sig")))
-    keys = _key_rows(distinct)
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = written(keys.join(several, "key"))
-    # written once: of all texts, those that share a key
-    texts = written(rows.hint("merge").join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
-    similar, roots = None, None
-    for _ in range(STARS):
-        stars = checkpointed(_stars(_live(shared, roots)))
-        new = _verified(stars, texts, shingle, least)
-        similar = checkpointed(new if similar is None else similar.union(new))
-        roots = checkpointed(connected_components(similar))
-
-    live = _live(shared, roots).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    signed = written(_signatures(rows, shingle))
+    found = written(signed.select("id", "h"))
+    distinct = written(signed.groupBy("h").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("sig").alias("sig")))
+    forget(signed)
+    similar: list[DataFrame] = []
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+        return rows.hint("merge").join(named, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Components by all links found so far; pairs (written) go."""
+        texts = written(texts_of(pairs))
+        similar.append(written(_verified(pairs, texts, shingle, least)))
+        forget(pairs, texts)
+        all_links = similar[0]
+        for more in similar[1:]:
+            all_links = all_links.union(more)
+        return connected_components(all_links)
+
+    roots = verify(_close_copies(distinct))
+    for bands in STARS:
+        live = written(_live(_labelled(distinct, roots), bands))
+        pairs = written(_stars(live, distinct))
+        forget(live, roots)
+        roots = verify(pairs)
+
+    live = written(_live(_labelled(distinct, roots), range(BANDS)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("p"), F.greatest(b, own).alias("q")))
     dealt = live.select("key", own.alias("block"), "h", "comp", F.explode(others).alias("o")).select("key", "o.*", "block", "h", "comp")
     dealt = dealt.join(distinct.select("h", "sig"), "h").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = checkpointed(_pairs(dealt, least))
-    roots = checkpointed(connected_components(similar.union(_verified(pairs, texts, shingle, least))))
-    labelled = distinct.select("h", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    groups = labelled.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    components = labelled.join(groups, "root", "left").select("h", F.coalesce("least", "first").alias("component_id"))
-    return found.select("id", "h").join(components, "h").select(F.col("id").alias(id_col), "component_id")
+    pairs = written(_pairs(dealt, least))
+    forget(live, roots)
+    roots = verify(pairs)
+    groups = written(_labelled(distinct.select("h", "first"), roots))
+    forget(roots, distinct, *similar)
+    return found, groups
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id and component_id, the smallest id of its group of equal or similar texts.
+
+    Groups are connected by pairs whose sets of shingles have a similarity (Jaccard) of `least` or more, if they share
+    one of their keys. A null text counts as empty; empty texts are equal. Whole texts count, however long. Rows with
+    equal ids are kept; null ids are never a component_id unless a group has no other. Other columns are not carried;
+    an empty table gives no rows.
+    """
+    found, groups = _groups(docs, shingle, least, id_col, text_col)
+    # only texts of groups of several need their group's smallest id looked up
+    several = groups.where("h <> comp").select("comp").distinct()
+    least_id = groups.join(several, "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("least"))
+    named = groups.join(least_id, "comp", "left").select("h", F.coalesce("least", "first").alias("component_id"))
+    return found.join(named, "h").select(F.col("id").alias(id_col), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that stay: of each group of equal or similar texts, as `near_duplicates`
+    connects them, the row with the smallest id.
+
+    Rows are told apart by their text and id together: rows with one id but texts of different groups all stay, and of
+    rows equal in both, one stays. Null ids come last: such a row stays if its group has no other. A null text counts
+    as empty, so of null and empty texts one row stays. An empty table gives no rows.
+    """
+    found, groups = _groups(docs, shingle, least, id_col, text_col)
+    forget(found)
+    picked = groups.groupBy("comp").agg(F.min_by(F.struct("h", "first"), F.struct(F.col("first").isNull(), "first", "h")).alias("p")).select("p.*")
+    h, none, id_ = (free_name(docs, c) for c in ("h", "none", "id_"))
+    key = docs[id_col].cast("long")
+    rows = docs.withColumns({h: F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), none: key.isNull(), id_: F.coalesce(key, F.lit(0))})
+    # equal rows meet here, after each task has taken its own together
+    rows = rows.dropDuplicates([h, none, id_])
+    stay = picked.select(F.col("h").alias(h), F.col("first").isNull().alias(none), F.coalesce("first", F.lit(0)).alias(id_))
+    # what stays grows with the corpus: it is dealt like the documents, never broadcast
+    return rows.hint("merge").join(stay, [h, none, id_], "left_semi").select(*docs.columns)

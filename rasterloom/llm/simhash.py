@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import checkpointed, written
+from rasterloom.llm.common import written
 from rasterloom.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -203,7 +203,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col:
     """
     found = written(fingerprints(docs, shingle, id_col, text_col))
     distinct = found.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = checkpointed(connected_components(fingerprint_links(distinct.select(F.lit(0).alias("kind"), "fp"), bits)))
+    roots = connected_components(fingerprint_links(distinct.select(F.lit(0).alias("kind"), "fp"), bits))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only fingerprints with links need their group's smallest id looked up
     groups = labelled.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))

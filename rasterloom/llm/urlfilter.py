@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import checkpointed
+from rasterloom.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,10 +83,10 @@ def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> list[Lev
     if not n:
         return []
     levels = [_level(listed, n, 1, min(0.5, n / max(1, n_universe)))]
-    inside, outside = listed, checkpointed(universe.where(passes(F.col("key"), levels[0])).distinct().join(listed, "key", "left_anti"))
+    inside, outside = listed, written(universe.where(passes(F.col("key"), levels[0])).distinct().join(listed, "key", "left_anti"))
     while n := outside.count():
         levels.append(_level(outside, n, len(levels) + 1, 0.25))
-        inside, outside = outside, checkpointed(inside.where(passes(F.col("key"), levels[-1])))
+        inside, outside = outside, written(inside.where(passes(F.col("key"), levels[-1])))
     return levels
 
 

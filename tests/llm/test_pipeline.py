@@ -57,9 +57,21 @@ def test_stages(spark, tmp_path):
 
 
 def test_near_duplicates_keep_odd_rows(spark, odd_docs):
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_tokens")
-    kept = corpus_pipeline.without_near_duplicates(spark, docs, "").toPandas()
-    assert kept.doc_id.isna().sum() == 1 and kept.doc_id.dropna().is_unique
-    assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), "").count() == 0
+    """Rows with one id and different texts are different documents; clashing names don't matter."""
+    texts = {r["text"] or "" for r in odd_docs.collect()}
+    kept = corpus_pipeline.without_near_duplicates(spark, odd_docs, "").toPandas()
+    assert list(kept.columns) == odd_docs.columns
+    assert kept.doc_id.isna().sum() == 1
+    kept.text = kept.text.fillna("")
+    assert not kept.text.duplicated().any(), kept[kept.text.duplicated(keep=False)].values
+    assert set(kept.text) <= texts
+    assert sorted(kept.text[kept.doc_id == 8]) == sorted(r["text"] for r in odd_docs.where("doc_id = 8").collect())
+    assert corpus_pipeline.without_near_duplicates(spark, odd_docs.limit(0), "").count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Unique texts stay whatever ids they share; equal rows and copies become one row."""
+    one, two, three = ("w%d x%d y%d z%d v%d u%d" % ((i,) * 6) for i in range(3))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (2, three), (1, one), (None, one), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, one), (1, two), (2, three), (None, None)], docs.schema).collect()))
