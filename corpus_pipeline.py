@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import small_batches, table, written
 from rasterloom.llm.entry import labelled_quality
 from rasterloom.llm.language import fit_language, identify_language
-from rasterloom.llm.neardup import near_duplicates
+from rasterloom.llm.neardup import without_near_duplicates as drop_near_duplicates
 from rasterloom.llm.packing import best_fit_packing
 from rasterloom.llm.quality import fit_voters, quality_scores
 
@@ -38,16 +38,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts and of texts that share 0.8 of their five-word shingles or more, as
-    min-wise hashes find them: that with the group's smallest id. Rows without an id stay."""
+    SimHash and min-wise hashes propose them: that with the smallest id. Of rows without an id, those stay whose group
+    has no other."""
     small_batches(spark)
-    found = written(near_duplicates(docs, 5, 0.8))
-    again = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # what is dropped grows with the corpus: it is dealt like the documents, never broadcast
-    kept = docs.hint("merge").join(again, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # rows with the same id are one document
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    return drop_near_duplicates(docs, 5, 0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
