@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,3 +104,33 @@ def grouped(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, li
         end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit)) + 1
         yield start, texts[start:end].to_pylist()
         start = end
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (numbers or strings without nulls)."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *starts.tolist(), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            part = pa.Table.from_batches([batch.slice(start, end - start)])
+            if held and any(held[0][c][0] != part[c][0] for c in keys):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def each_run(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """A function of Arrow batches, dealt and in order of the keys, that works on each run of equal keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, keys):
+            found = work(group)
+            if found.num_rows:
+                yield found
+
+    return run

@@ -3,11 +3,15 @@
 Codebooks of the two halves of unit vectors, learned from a bounded sample, form a product grid of cells. Every
 distinct vector is indexed in the cell of its nearest codewords, and looks for others in its own cell and, in
 multi-sequence order, in further cells whose borders are near: the distance to a cell is measured to the planes half
-way between codewords, and cells are visited up to REACH of the largest distance that linked vectors can have. (With
-a reach of 1 no link can be missed; a difference in no particular direction moves a vector across such a plane far
-less, and the default finds all links of the test tables, measured against brute force.) Cells with many members or
-visitors are cut into blocks, and every visit compares blocks by exact cosines in double precision. Vectors that are
-equal number by number are one vector with a count.
+way between codewords. If two vectors are linked, their ways to each other's cells lie on both sides of the same
+planes, so the squares of the two distances add up to the squared distance of the vectors at most: one of the two
+finds the other if both visit cells up to REACH of the largest distance that linked vectors can have.
+
+Directions are rarely that unlucky, so the traversal stops earlier where that is known to suffice: a bounded set of
+queries, with ids divisible by QUERY_IDS, is compared with all vectors of its labels, and the reach is the least that
+finds TARGET of those links; with few links to judge by it is REACH, which misses none. Cells with many members or
+visitors are cut into blocks, and every visit compares blocks by exact cosines in double precision. A pair that only
+one of the two finds counts for both. Vectors that are equal number by number are one vector with a count.
 """
 
 from __future__ import annotations
@@ -21,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import written
+from rasterloom.llm.common import each_run, forget, written
 from rasterloom.llm.components import connected_components
 
 #: Vectors that codebooks are learned from, at most; rounds of k-means; codewords of a half, at least and most.
-SAMPLE, ROUNDS, FEWEST, MOST = 5000, 12, 4, 256
+SAMPLE, ROUNDS, FEWEST, MOST = 20_000, 12, 4, 1024
 #: Distinct vectors to a cell of a label, on average, that the number of codewords aims at.
 CELL = 5
-REACH = 1.0
+#: Share of the distance of linked vectors within which one of the two finds the other.
+REACH = 0.5**0.5
+#: Share of the queries' links that a shorter reach must find, and how many links there must be to judge it by.
+TARGET, ENOUGH = 0.999, 1000
+#: Queries at most, by hash, of the vectors with ids divisible by the second; steps of the reach that are told apart.
+QUERIES, QUERY_IDS, STEPS = 1000, 100, 128
 #: Added to the squared distance that linked vectors can have, for rounding.
 ROUNDING = 1e-9
 #: Members, and visitors, of a cell that a task compares at once.
@@ -43,15 +52,24 @@ class Codebooks(NamedTuple):
         """For each half: the nearest codeword, and the squared distance to each codeword's region (a lower bound)."""
         own, far = [], []
         for x, c in zip((unit[:, : self.cut], unit[:, self.cut :]), self.halves, strict=True):
-            d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+            size, at = (c * c).sum(1), np.arange(len(x))
+            d = (x * x).sum(1)[:, None] - 2 * x @ c.T + size
             o = d.argmin(1)
-            between = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-18))
-            m = np.maximum(0, d - d[np.arange(len(x)), o][:, None]) / (2 * between[o])
-            m[np.arange(len(x)), o] = 0
+            between = np.sqrt(np.maximum(size[:, None] + size - 2 * c @ c.T, 1e-18))
+            m = np.maximum(0, d - d[at, o][:, None]) / (2 * between[o])
+            m[at, o] = 0
             own.append(o)
             far.append(m * m)
         return own, far
 
+    def cell(self, own: list[np.ndarray]) -> np.ndarray:
+        return own[0] * len(self.halves[1]) + own[1]
+
+    def way(self, far: list[np.ndarray], cells: np.ndarray) -> np.ndarray:
+        """Squared distance of each row to each of these cells."""
+        i, j = np.divmod(cells, len(self.halves[1]))
+        return far[0][:, i] + far[1][:, j]
+
 
 def learn_codebooks(unit: np.ndarray, codewords: int, seed: int = 1) -> Codebooks:
     rng, cut, halves = np.random.default_rng(seed), unit.shape[1] // 2, []
@@ -84,10 +102,14 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int,
     return out
 
 
-def _matrix(data: list[bytes], dim: int) -> np.ndarray:
+def _matrix(data: pa.ChunkedArray | pa.Array, dim: int, kind: str) -> np.ndarray:
+    """Raw vectors as rows of doubles, filled up with zeros."""
+    data = data.to_pylist()
+    if all(len(x) == dim * np.dtype(kind).itemsize for x in data):
+        return np.frombuffer(b"".join(data), kind).reshape(-1, dim).astype(np.float64)
     out = np.zeros((len(data), dim))
     for i, x in enumerate(data):
-        v = np.frombuffer(x, np.float64)
+        v = np.frombuffer(x, kind)
         out[i, : len(v)] = v
     return out
 
@@ -97,8 +119,61 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _visits(vectors: DataFrame, books: Codebooks, dim: int, reach: float) -> DataFrame:
-    """A row for each vector and cell that it visits; home marks its own."""
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosine of each row of x with each of y is `least` or more."""
+    x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
+    return x @ y.T / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((y * y).sum(1)) >= least
+
+
+def _needed(distinct: DataFrame, books: Codebooks, dim: int, kind: str, least: float) -> list[int]:
+    """How many links of the queries need each step of the squared reach, of all up to that of REACH."""
+    picked = distinct.where("query").orderBy(F.xxhash64("vec"), "vec").limit(QUERIES).select("vec", "label", "v").collect()
+    by_label: dict[str, list] = {}
+    for r in picked:
+        by_label.setdefault(r["label"], []).append((r["vec"], bytes(r["v"])))
+    asked = {k: (np.array([i for i, _ in x]), _matrix(pa.array([v for _, v in x]), dim, kind)) for k, x in by_label.items()}
+    held = distinct.sparkSession.sparkContext.broadcast((books, asked))  # QUERIES vectors and 2 * MOST codewords at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, queries = held.value
+        found = np.zeros(STEPS, np.int64)
+        known = {k: (i, x, *b.margins(_unit(x))) for k, (i, x) in queries.items()}
+        for batch in batches:
+            labels = np.array(batch.column(1).to_pylist())
+            for label in set(labels.tolist()) & set(known):
+                part = batch.filter(pa.array(labels == label))
+                q_id, q, q_own, q_far = known[label]
+                for at in range(0, part.num_rows, BLOCK):
+                    some = part.slice(at, BLOCK)
+                    x = _matrix(some.column(2), dim, kind)
+                    near = _near(q, x, least) & (q_id[:, None] != some.column(0).to_numpy())
+                    if near.any():
+                        own, far = b.margins(_unit(x))
+                        way = np.minimum(b.way(q_far, b.cell(own)), b.way(far, b.cell(q_own)).T)[near]
+                        found += np.bincount(np.minimum((way / (1 - least + ROUNDING) * STEPS).astype(int), STEPS - 1), minlength=STEPS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(found)], ["step", "n"])
+
+    counts = distinct.select("vec", "label", "v").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    out = [0] * STEPS
+    for r in counts:
+        out[r["step"]] = r["n"]
+    return out
+
+
+def fitted_reach(needed: list[int], least: float, target: float = TARGET) -> tuple[float, float]:
+    """The squared reach that finds `target` of the queries' links, and the share of them that it finds."""
+    total, found = sum(needed), 0
+    if total < ENOUGH:
+        return 1 - least, 1.0
+    for step, n in enumerate(needed):
+        found += n
+        if found >= target * total:
+            break
+    return (1 - least) * (step + 1) / STEPS, found / total
+
+
+def _visits(vectors: DataFrame, books: Codebooks, dim: int, kind: str, reach: float) -> DataFrame:
+    """A row for each vector and cell that it visits; own is the cell that it is a member of."""
     held = vectors.sparkSession.sparkContext.broadcast(books)  # 2 * MOST codewords at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,120 +181,131 @@ def _visits(vectors: DataFrame, books: Codebooks, dim: int, reach: float) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                own, far = b.margins(_unit(_matrix(part.column(1).to_pylist(), dim)))
-                rows, cells, home = [], [], []
+                own, far = b.margins(_unit(_matrix(part.column(1), dim, kind)))
+                rows, cells, home = [], [], b.cell(own)
                 for i in range(part.num_rows):
-                    mine = own[0][i] * len(b.halves[1]) + own[1][i]
-                    found = [x * len(b.halves[1]) + y for x, y in multi_sequence(far[0][i], far[1][i], reach)]
-                    found = list({int(mine): None} | dict.fromkeys(found))
-                    rows += [i] * len(found)
-                    cells += found
-                    home += [True] + [False] * (len(found) - 1)
+                    x, y = (np.flatnonzero(f[i] <= reach) for f in far)
+                    for p, q in multi_sequence(far[0][i][x], far[1][i][y], reach):
+                        rows.append(i)
+                        cells.append(x[p] * len(b.halves[1]) + y[q])
                 taken = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(home, pa.bool_())], [*taken.schema.names, "cell", "home"])
-
-    return vectors.select("vec", "v", "label", "n").mapInArrow(run, "vec long, v binary, label string, n long, cell int, home boolean")
-
-
-def _links(rows: DataFrame, dim: int, least: float) -> DataFrame:
-    """Rows (vec, links, to) from rows (vec, v, n, member, visitor, label, cell, a, b), which are dealt and in order of
-    the last four: for each visitor the vectors, with their counts, that it links, and edges that connect them."""
-
-    def compare(group: list[dict]) -> Iterator[tuple[int, int, int]]:
-        members, visitors = [r for r in group if r["member"]], [r for r in group if r["visitor"]]
-        if not members or not visitors:
-            return
-        m_id, v_id = (np.array([r["vec"] for r in x]) for x in (members, visitors))
-        x, y = (_matrix([r["v"] for r in z], dim) for z in (visitors, members))
-        x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-        near = x @ y.T / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((y * y).sum(1)) >= least
-        near &= v_id[:, None] != m_id
-        linked = near @ np.array([r["n"] for r in members])
-        left = linked > 0
-        tied: dict[int, int] = {}
-        while left.any():
-            front = np.zeros(len(left), bool)
-            front[np.argmax(left)] = True
-            v_in, m_in = np.zeros(len(left), bool), np.zeros(len(m_id), bool)
-            while front.any():
-                v_in |= front
-                new = near[front].any(0) & ~m_in
-                m_in |= new
-                front = near[:, new].any(1) & ~v_in
-            ids = np.concatenate([v_id[v_in], m_id[m_in]])
-            for i in ids.tolist():
-                tied[i] = min(int(ids.min()), tied.get(i, i))
-            left &= ~v_in
-        for i in np.flatnonzero(linked):
-            yield int(v_id[i]), int(linked[i]), tied[int(v_id[i])]
-        for i in set(tied) - set(v_id.tolist()):
-            yield i, 0, tied[i]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[dict]]:
-            key, group = None, []
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if (own := (r["label"], r["cell"], r["a"], r["b"])) != key:
-                        if group:
-                            yield group
-                        key, group = own, []
-                    group.append(r)
-            if group:
-                yield group
-
-        for group in groups():
-            if out := list(compare(group)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["vec", "links", "to"])
-
-    return rows.mapInArrow(run, "vec long, links long, to long")
-
-
-def embedding_components(vectors: DataFrame, least: float = 0.98, reach: float = REACH, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(home[rows], pa.int32())], [*taken.schema.names, "cell", "own"])
+
+    return vectors.select("vec", "v", "label", "n").mapInArrow(run, "vec long, v binary, label string, n long, cell int, own int")
+
+
+def _tied(near: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links: the smallest id of what they are connected with."""
+    to_left, to_right = left_ids.copy(), right_ids.copy()
+    left = near.any(axis=1)
+    while left.any():
+        front = np.zeros(len(left), bool)
+        front[np.argmax(left)] = True
+        rows, columns = np.zeros(len(left), bool), np.zeros(len(right_ids), bool)
+        while front.any():
+            rows |= front
+            new = near[front].any(axis=0) & ~columns
+            columns |= new
+            front = near[:, new].any(axis=1) & ~rows
+        least = min(left_ids[rows].min(), right_ids[columns].min())
+        to_left[rows], to_right[columns] = least, least
+        left &= ~rows
+    return to_left, to_right
+
+
+def _links(rows: DataFrame, books: Codebooks, dim: int, kind: str, least: float, reach: float) -> DataFrame:
+    """Rows (vec, links, to) from rows (vec, v, n, own, member, visitor, label, cell, a, b), which are dealt and in
+    order of the last four: the vectors, with their counts, that are linked here, and edges that connect them."""
+    held = rows.sparkSession.sparkContext.broadcast(books)
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        b, cell = held.value, t["cell"][0].as_py()
+        member, visitor = (np.flatnonzero(t[c].to_numpy()) for c in ("member", "visitor"))
+        vec, n, own = (t[c].to_numpy() for c in ("vec", "n", "own"))
+        out = [np.zeros(0, np.int64)] * 3
+        if len(member) and len(visitor):
+            x = _matrix(t["v"], dim, kind)
+            v_id, m_id = vec[visitor], vec[member]
+            near = _near(x[visitor], x[member], least) & (v_id[:, None] != m_id)
+            if near.any():
+                to_visitor, to_member = _tied(near, v_id, m_id)
+                # a member that doesn't visit the visitor's cell won't find the pair there
+                only = near & (own[visitor] != cell)[:, None]
+                if only.any():
+                    _, far = b.margins(_unit(x[member]))
+                    only &= ~(b.way(far, own[visitor]) <= reach).T
+                linked, back = near @ n[member], n[visitor] @ only
+                v, m = linked > 0, (back > 0) | (to_member != m_id)
+                out = [np.concatenate(c) for c in ((v_id[v], m_id[m]), (linked[v], back[m]), (to_visitor[v], to_member[m]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["vec", "links", "to"])
+
+    return rows.mapInArrow(each_run(["label", "cell", "a", "b"], compare), "vec long, links long, to long")
+
+
+def embedding_components(
+    vectors: DataFrame, least: float = 0.98, reach: float | None = None, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+) -> DataFrame:
     """A row for each row of vectors: id, n_links (others linked directly), component_id (smallest id reachable) and kept.
 
-    Only vectors with equal labels are compared. Vectors that are null, empty or zero, or hold null or infinite
-    numbers or NaN, and those without a label, link with nothing. Shorter vectors count as filled up with zeros. Rows
-    with equal ids are kept, and count as others of each other; null ids are never a component_id unless a component
-    has no other. Other columns are not carried.
+    reach: how far vectors visit cells, as a share of the largest distance that linked vectors can have; by default
+    what finds `target` of the queries' links, REACH at most. Only vectors with equal labels are compared. Vectors
+    that are null, empty or zero, or hold null or infinite numbers or NaN, and those without a label, link with
+    nothing. Shorter vectors count as filled up with zeros. Rows with equal ids are kept, and count as others of each
+    other; null ids are never a component_id unless a component has no other. Distinct vectors are named by 64-bit
+    hashes. Other columns are not carried; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    element = vectors.schema[vector_col].dataType.elementType.typeName()
+    kind, stored = ("<f4", "array<float>") if element == "float" else ("<f8", "array<double>")
+    v = F.col(vector_col).cast(stored)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = v.isNotNull() & F.col(label_col).isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v")))
-    same = rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    same = same.withColumn("vec", F.xxhash64("label", "v"))  # names a distinct vector here
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
+    rows = rows.withColumn("vec", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
+    asked = F.bool_or(F.coalesce(F.col("id") % QUERY_IDS == 0, F.lit(False)))
+    same = rows.where("v is not null").groupBy("vec", "label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"), asked.alias("query"))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(2), batch.column(3)], ["vec", "v", "label", "n"])
+            data = [np.array(x, kind).tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *batch.columns[1:]], batch.schema.names)
 
-    distinct = written(same.select("vec", "v", "label", "n").mapInArrow(raw, "vec long, v binary, label string, n long"))
+    names = "vec long, label string, n long, first long, query boolean"
+    distinct = written(same.select("v", "vec", "label", "n", "first", "query").mapInArrow(raw, f"v binary, {names}"))
     known = distinct.agg(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("bytes"), F.approx_count_distinct("label").alias("labels")).first()
     if not known["n"]:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = known["bytes"] // 8
-    sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("v").collect()
+    dim = known["bytes"] // np.dtype(kind).itemsize
     codewords = min(MOST, max(FEWEST, int((known["n"] / max(1, known["labels"]) / CELL) ** 0.5)))
-    books = learn_codebooks(_unit(_matrix([bytes(r["v"]) for r in sample], dim)), codewords)
-
-    visits = written(_visits(distinct, books, dim, reach * reach * max(0.0, 2 - 2 * least) + ROUNDING))
-    cells = visits.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b_n"), F.ceil(F.count_if("home") / BLOCK).cast("int").alias("a_n"))
-    dealt = visits.join(cells.where("a_n > 0"), ["label", "cell"])
+    size = min(SAMPLE, max(1000, 20 * codewords))
+    sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(size).select("v").collect()
+    books = learn_codebooks(_unit(_matrix(pa.array([bytes(r["v"]) for r in sample]), dim, kind)), codewords)
+    if reach is None:
+        squared = fitted_reach(_needed(distinct, books, dim, kind, least), least, target)[0]
+    else:
+        squared = reach * reach * max(0.0, 2 - 2 * least)
+    squared += ROUNDING
+
+    visits = written(_visits(distinct, books, dim, kind, squared))
+    home = F.col("cell") == F.col("own")
+    cells = visits.groupBy("label", "cell").agg(F.count("*").alias("n_b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("b_n"), F.ceil(F.count_if(home) / BLOCK).cast("int").alias("a_n"))
+    dealt = visits.join(cells.where("a_n > 0 and n_b > 1").drop("n_b"), ["label", "cell"])
     block = lambda n, seed: F.pmod(F.xxhash64("vec", F.lit(seed)), F.col(n)).cast("int")
     # a visitor meets every block of members; a member, every block of visitors; where the two meet, one row is both
-    as_visitor = F.transform(F.sequence(F.lit(0), F.col("a_n") - 1), lambda a: F.struct(a.alias("a"), block("b_n", 1).alias("b"), (F.col("home") & (a == block("a_n", 2))).alias("member"), F.lit(True).alias("visitor")))
-    as_member = F.transform(F.filter(F.sequence(F.lit(0), F.col("b_n") - 1), lambda b: F.col("home") & (b != block("b_n", 1))), lambda b: F.struct(block("a_n", 2).alias("a"), b.alias("b"), F.lit(True).alias("member"), F.lit(False).alias("visitor")))
-    placed = dealt.select("vec", "v", "n", "label", "cell", F.explode(F.concat(as_visitor, as_member)).alias("p")).select("vec", "v", "n", "label", "cell", "p.*")
-    found = written(_links(placed.repartition("label", "cell", "a", "b").sortWithinPartitions("label", "cell", "a", "b"), dim, least))
+    as_visitor = F.transform(F.sequence(F.lit(0), F.col("a_n") - 1), lambda a: F.struct(a.alias("a"), block("b_n", 1).alias("b"), (home & (a == block("a_n", 2))).alias("member"), F.lit(True).alias("visitor")))
+    as_member = F.transform(F.filter(F.sequence(F.lit(0), F.col("b_n") - 1), lambda b: home & (b != block("b_n", 1))), lambda b: F.struct(block("a_n", 2).alias("a"), b.alias("b"), F.lit(True).alias("member"), F.lit(False).alias("visitor")))
+    placed = dealt.select("vec", "v", "n", "own", "label", "cell", F.explode(F.concat(as_visitor, as_member)).alias("p")).select("vec", "v", "n", "own", "label", "cell", "p.*")
+    found = written(_links(placed.repartition("label", "cell", "a", "b").sortWithinPartitions("label", "cell", "a", "b"), books, dim, kind, least, squared))
+    forget(visits)
 
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("vec").alias("u"), F.col("to").alias("v")))
-    named = same.select("vec", "label", "v", "first", "n").join(counts, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left").withColumn("root", F.coalesce("root", "vec"))
-    least_id = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = named.join(least_id, "root").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id"))
-    all_rows = rows.withColumn("vec", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).select("id", "vec").join(named, "vec", "left")
+    named = distinct.select("vec", "first", "n").join(counts, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left").withColumn("root", F.coalesce("root", "vec"))
+    # only vectors with links need their component's smallest id looked up
+    several = named.where("vec <> root").select("root").distinct()
+    least_id = named.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(least_id, "root", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
+    named = written(named)
+    forget(distinct, found, roots)
+    all_rows = rows.select("id", "vec").join(named, "vec", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return all_rows.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

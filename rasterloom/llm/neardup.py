@@ -16,7 +16,7 @@ crowded keys in blocks. What is proposed counts only if the shingles are similar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import forget, free_name, written
+from rasterloom.llm.common import each_run, forget, free_name, written
 from rasterloom.llm.components import connected_components
 from rasterloom.llm.simhash import fingerprint, fingerprint_links
 
@@ -96,35 +96,6 @@ def _key_rows(distinct: DataFrame, bands: range) -> DataFrame:
     return distinct.select("h", "comp", "sig").mapInArrow(run, "key long, h long, comp long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys (numbers)."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
-        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        bounds = [0, *starts.tolist(), batch.num_rows]
-        for start, end in zip(bounds, bounds[1:], strict=False):
-            part = pa.Table.from_batches([batch.slice(start, end - start)])
-            if held and any(held[0][c][0] != part[c][0] for c in keys):
-                yield pa.concat_tables(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
-def _each_run(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, keys):
-            found = work(group)
-            if found.num_rows:
-                yield found
-
-    return run
-
-
 def _pairs(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of rows (key, p, q, block, h, comp, sig), which are dealt and in order of the first three: of texts
     of blocks p and q whose comp differs and whose signatures may be those of similar texts. A pair comes of the first
@@ -153,7 +124,7 @@ def _pairs(rows: DataFrame, least: float) -> DataFrame:
             b.append(h[v[first]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return rows.select("key", "p", "q", "block", "h", "comp", "sig").mapInArrow(_each_run(["key", "p", "q"], compare), "a long, b long")
+    return rows.select("key", "p", "q", "block", "h", "comp", "sig").mapInArrow(each_run(["key", "p", "q"], compare), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -190,7 +161,7 @@ def _stars(live: DataFrame, distinct: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = live.withColumn("block", F.pmod(F.xxhash64("h"), blocks)).join(distinct.select("h", "sig"), "h")
     dealt = rows.select("key", "block", "h", "comp", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-    found = dealt.mapInArrow(_each_run(["key", "block"], centre), "key long, b long, other long, agree long")
+    found = dealt.mapInArrow(each_run(["key", "block"], centre), "key long, b long, other long, agree long")
     centres = found.groupBy("key").agg(F.max_by(F.struct("b", "other"), F.struct("agree", "b")).alias("c")).select("key", "c.*")
     return live.join(centres, "key").where("comp <> other").groupBy(F.col("h").alias("a")).agg(F.max_by("b", F.struct("n", "key")).alias("b"))
 

@@ -1,8 +1,21 @@
 import numpy as np
+import pytest
 
 from rasterloom.llm import embeddings
 
 
+def brute(rows):
+    unit = np.array([r / np.linalg.norm(r) for r in rows])
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    return near.sum(1).tolist()
+
+
+def links(spark, rows, **options):
+    docs = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    return {r["vec_id"]: r["n_links"] for r in embeddings.embedding_components(docs, **options).collect()}
+
+
 def test_default_reach_counts_every_link(spark, monkeypatch):
     """A third of the vectors in one drifting group, cut by many cells' borders: n_links of both ends, as by brute force."""
     monkeypatch.setattr(embeddings, "CELL", 0.01)
@@ -10,10 +23,31 @@ def test_default_reach_counts_every_link(spark, monkeypatch):
     centre = rng.normal(size=16)
     drift = rng.normal(size=16)
     rows = [centre + drift * i / 100 + rng.normal(size=16) * 0.06 for i in range(100)] + [rng.normal(size=16) for _ in range(200)]
-    unit = np.array([r / np.linalg.norm(r) for r in rows])
-    near = unit @ unit.T >= 0.98
-    np.fill_diagonal(near, False)
-    docs = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
-    found = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_components(docs).collect()}
-    assert near.sum() > 100
-    assert found == dict(enumerate(near.sum(1).tolist()))
+    found, want = links(spark, rows), brute(rows)
+    assert sum(want) > 100
+    assert found == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("dim", [2, 4, 8, 64])
+def test_recall(spark, monkeypatch, dim):
+    """Random unit vectors, each with a partner at a cosine of 0.98 to 0.99; the reach is judged by few links, too."""
+    monkeypatch.setattr(embeddings, "ENOUGH", 10)
+    rng = np.random.default_rng(dim)
+    one = rng.normal(size=(800, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    away = rng.normal(size=one.shape)
+    away -= (away * one).sum(1, keepdims=True) * one
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.98, 0.99, (800, 1)))
+    rows = np.concatenate([one, one * np.cos(angle) + away * np.sin(angle)])
+    found, want = links(spark, rows), brute(rows)
+    assert all(found[i] <= n for i, n in enumerate(want))
+    assert sum(found.values()) >= 0.95 * sum(want)
+
+
+def test_fitted_reach():
+    assert embeddings.fitted_reach([3, 2], 0.98) == (1 - 0.98, 1.0)
+    steps = [0] * embeddings.STEPS
+    steps[0], steps[9], steps[100] = 9000, 999, 1
+    squared, recall = embeddings.fitted_reach(steps, 0.98, 0.999)
+    assert np.isclose(squared, 0.02 * 10 / embeddings.STEPS) and np.isclose(recall, 0.9999)
