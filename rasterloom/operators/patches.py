@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rasterloom.functions import png
@@ -80,3 +83,40 @@ def patches(image: Column, mask: Column, pad: int = PAD) -> Column:
         return frame.astype(dict.fromkeys(["x", "y", "width", "height"], "Int32"))
 
     return run(image, mask)
+
+
+def to_images(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(id, content): grey PNG images of pixels (id, x, y, v), 0 where there is none and the largest where there are
+    several. An image's pixels meet in one row, of width * height numbers at most."""
+
+    @pandas_udf("binary")
+    def draw(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for at, v in zip(places, values, strict=True):
+            image = np.zeros(width * height, np.uint8)
+            image[at] = v
+            out.append(png.encode(image.reshape(height, width)))
+        return pd.Series(out)
+
+    inside = pixels.where(f"x between 0 and {width - 1} and y between 0 and {height - 1}")
+    single = inside.groupBy("id", (F.col("y") * width + F.col("x")).cast("long").alias("at")).agg(F.max("v").cast("int").alias("v"))
+    listed = single.groupBy("id").agg(F.collect_list(F.struct("at", "v")).alias("p"))
+    return listed.select("id", draw(F.col("p.at"), F.col("p.v")).alias("content"))
+
+
+def image_pixels(images: DataFrame, content: str = "content") -> DataFrame:
+    """Pixels (id, x, y, r, g, b, a) of images (id, PNG bytes); bytes that can't be decoded have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(1)):
+                try:
+                    rgba = png.decode(data.as_py() or b"")
+                except ValueError:
+                    continue
+                y, x = np.divmod(np.arange(rgba.shape[0] * rgba.shape[1]), rgba.shape[1])
+                ids = batch.column(0).take(pa.array(np.full(len(x), k)))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in (x, y, *rgba.reshape(-1, 4).T))], ["id", "x", "y", "r", "g", "b", "a"])
+
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", content).mapInArrow(run, f"id {kind}, x int, y int, r int, g int, b int, a int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.text import merge_prompt, normal_path
 from rasterloom.schemas import WORKFLOW
+from rasterloom.scratch import forget, written
 
 #: Where a template binds a request: (node, input, what). Fixed values of the served template's layout.
 BINDINGS = (("28", "seed", "seed"), ("7", "text", "prompt"), ("8", "text", "negative_prompt"), ("30", "image", "source_path"), ("47", "image", "mask_path"))
@@ -85,19 +86,24 @@ def bind(requests: DataFrame, template: str) -> DataFrame:
     return requests.select("*", F.concat(*pieces).alias("workflow"), F.lit(None).cast("string").alias("error"))
 
 
-def depths(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
-    """(node_id, depth): the longest path from a root, by recursion in SQL; a graph with a cycle doesn't end and raises
-    at Spark's limit of levels."""
-    found_edges.select("src", "dst").distinct().createOrReplaceTempView("__workflow_edges")
-    found_nodes.select("node_id").createOrReplaceTempView("__workflow_nodes")
-    return found_nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(node_id, depth) AS (
-            SELECT node_id, 0 FROM __workflow_nodes WHERE node_id NOT IN (SELECT dst FROM __workflow_edges)
-            UNION ALL
-            SELECT e.dst, w.depth + 1 FROM walk w JOIN __workflow_edges e ON e.src = w.node_id
-        )
-        SELECT node_id, max(depth) AS depth FROM walk GROUP BY node_id
-    """)
+def depths(found_edges: DataFrame, found_nodes: DataFrame, most: int = 1000) -> DataFrame:
+    """(node_id, depth): the longest path from a root, level by level. A level holds each node once, however many paths
+    lead to it; a graph with a cycle, or deeper than `most`, raises."""
+    pairs = written(found_edges.select("src", "dst").distinct())
+    level = written(found_nodes.select("node_id").distinct().join(pairs.select(F.col("dst").alias("node_id")), "node_id", "left_anti"))
+    levels, depth = [level], 0
+    while level.limit(1).count():
+        depth += 1
+        if depth > most:
+            raise ValueError(f"the graph has a cycle, or is deeper than {most}")
+        level = written(level.join(pairs, level["node_id"] == pairs["src"]).select(F.col("dst").alias("node_id")).distinct())
+        levels.append(level)
+    reached = levels[0].withColumn("depth", F.lit(0))
+    for k, one in enumerate(levels[1:-1], 1):
+        reached = reached.union(one.withColumn("depth", F.lit(k)))
+    out = written(reached.groupBy("node_id").agg(F.max("depth").alias("depth")))
+    forget(pairs, *levels)
+    return out
 
 
 def sinks(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:

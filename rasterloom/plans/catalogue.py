@@ -7,17 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterloom import config
 from rasterloom.functions import text as T
-from rasterloom.operators import cache, progress, raster, requests, workflow
+from rasterloom.operators import cache, patches, progress, raster, requests, workflow
 
 WIDTH, HEIGHT = 640, 480
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-PIXELS = "pixels AS (SELECT l_suppkey AS id, l_partkey % 640 AS x, l_orderkey % 480 AS y, (l_linenumber * 37) % 256 AS v FROM lineitem WHERE l_quantity < 3)"
+PIXELS = "pixels AS (SELECT l_suppkey AS id, l_partkey % 640 AS x, l_orderkey % 480 AS y, (l_linenumber * 37) % 256 AS v FROM lineitem)"
 BOX = """SELECT id, greatest(0, min(x) - 16)::INTEGER AS x0, greatest(0, min(y) - 16)::INTEGER AS y0,
     least(640, max(x) + 17)::INTEGER AS x1, least(480, max(y) + 17)::INTEGER AS y1 FROM pixels WHERE v > {} GROUP BY id"""
 
@@ -37,8 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_quantity < 3")
-    return items.select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("id"), (F.col("l_partkey") % WIDTH).alias("x"), (F.col("l_orderkey") % HEIGHT).alias("y"), ((F.col("l_linenumber") * 37) % 256).alias("v")
     )
 
@@ -134,24 +134,28 @@ def cache_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", ["event_id"])
 
 
-GRAPH = "('a', 'c'), ('b', 'c'), ('c', 'd'), ('a', 'd'), ('d', 'f'), ('e', 'f')"
-GRAPH_SQL = f"edges(src, dst) AS (VALUES {GRAPH}), nodes AS (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)"
+PART_GRAPH = """edges(src, dst) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3),
+    nodes AS (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)"""
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, walk(node_id, depth) AS (
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each part points to those with half and a third of its number: many paths lead to the low ones."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    edges = parts.where("src >= 2").selectExpr("src", "src div 2 AS dst").union(parts.where("src >= 3").selectExpr("src", "src div 3 AS dst"))
+    return edges, edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE {PART_GRAPH}, walk(node_id, depth) AS (
         SELECT node_id, 0 FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)
-        UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node_id)
+        UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node_id)
     SELECT node_id, max(depth) AS depth FROM walk GROUP BY node_id""")
 def dag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.sql(f"SELECT * FROM VALUES {GRAPH} AS t(src, dst)")
-    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
-    return workflow.depths(edges, nodes)
+    return workflow.depths(*part_graph(spark, sf_dir))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)")
+@query(f"WITH {PART_GRAPH} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)")
 def dag_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.sql(f"SELECT * FROM VALUES {GRAPH} AS t(src, dst)")
-    return workflow.sinks(edges, edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct())
+    return workflow.sinks(*part_graph(spark, sf_dir))
 
 
 @query("SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events")
@@ -237,3 +241,219 @@ def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit(None), *[F.lit(x) for x in ("invalid", "not_found", "connection", "image")]), (F.col("user_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", requests.status_code(kind).alias("status_code"))
+
+
+@query("""SELECT n_nationkey, '0.0.0.0' AS host, CASE WHEN n_nationkey % 2 = 1 THEN 5000 + n_nationkey ELSE 5000 END::BIGINT AS port, '127.0.0.1' AS backend_host, 5545::BIGINT AS backend_port,
+        dir AS cache_dir, 'workflow.json' AS workflow_file, 20::BIGINT AS max_cache_files, mb AS max_cache_size_mb, dir || '/sources' AS source_dir, dir || '/sent' AS sent_dir,
+        mb * 1048576 AS max_cache_bytes, 'http://127.0.0.1:5545' AS http_url, 'ws://127.0.0.1:5545/ws' AS ws_url
+    FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '/data/' || n_name ELSE './cache' END AS dir, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey + 1 ELSE 2048 END::BIGINT AS mb FROM nation)""")
+def settings_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deployment for each nation, some of whose settings are given."""
+    nations = table(spark, sf_dir, "nation")
+    one = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("name"), value.cast("string").alias("value")))
+    key = F.col("n_nationkey")
+    given = F.array(one(key % 2 == 1, "port", key + 5000), one(key % 3 == 0, "cache_dir", F.concat(F.lit("/data/"), "n_name")), one(key % 5 == 0, "max_cache_size_mb", key + 1), one(key >= 0, "unknown", key))
+    return config.resolved(nations.select("n_nationkey", F.inline(F.array_compact(given))), "n_nationkey")
+
+
+@query("SELECT 'error' AS status, 'http://127.0.0.1:5545' AS url, false AS connected UNION ALL SELECT 'ok', 'http://127.0.0.1:5545', true")
+def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backend that answers and one that doesn't."""
+    settings = config.Settings()
+    return requests.health(spark, settings, lambda url: 1 // 0).union(requests.health(spark, settings, len))
+
+
+SOURCES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@query(f"SELECT unnest(string_split('{SOURCES}', ' ')) AS source_id")
+def folder_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the test tables as a cache's folder: a source for each file's stem."""
+    return cache.blob_index(spark, sf_dir).select("source_id")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS prompt, CASE WHEN user_id % 4 = 0 THEN 'blur, low quality, distortion, watermark' ELSE '' END AS negative_prompt,
+        CASE WHEN user_id % 5 = 0 THEN 0 ELSE user_id END AS seed,
+        CASE WHEN user_id % 7 = 0 AND user_id % 3 = 0 THEN 'missing: source_id, prompt' WHEN user_id % 7 = 0 THEN 'missing: source_id' WHEN user_id % 3 = 0 THEN 'missing: prompt' END AS invalid
+    FROM events""")
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id")
+    sent = table(spark, sf_dir, "events").select(
+        "event_id", F.when(user % 7 != 0, F.lit("s")).alias("source_id"), F.when(user % 3 != 0, F.col("event_type")).alias("prompt"),
+        F.when(user % 4 != 0, F.lit("")).alias("negative_prompt"), F.lit("AAAA").alias("mask_image_base64"), F.when(user % 5 != 0, user).alias("seed"),
+    )
+    return requests.with_defaults(sent).select("event_id", "prompt", "negative_prompt", "seed", "invalid")
+
+
+@query("""SELECT page_id::VARCHAR AS source_id, 'cached' AS status, 'cache/sources/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.jpeg' ELSE '.png' END AS path, strlen(html)::BIGINT AS length FROM pages""")
+def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads; a third has a name with an extension."""
+    sent = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("source_id"), F.when(F.col("page_id") % 3 == 0, "a.b/photo.x.jpeg").when(F.col("page_id") % 3 == 1, "a.b/photo").alias("filename"), F.col("html").cast("binary").alias("content")
+    )
+    return requests.uploads(sent, "cache/sources").select("source_id", "status", "path", F.octet_length("content").cast("long").alias("length"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'server' WHEN user_id % 3 = 1 THEN 'engine' ELSE 'app' END AS label FROM events WHERE event_type IN ('click', 'error', 'view')""")
+def log_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log records: clicks are infos, errors errors, views warnings, all else is below."""
+    level = F.when(F.col("event_type") == "click", "INFO").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARNING").otherwise("DEBUG")
+    logger = F.when(F.col("user_id") % 3 == 0, "uvicorn").when(F.col("user_id") % 3 == 1, "core").otherwise("other")
+    log = table(spark, sf_dir, "events").select("event_id", level.alias("level"), logger.alias("logger"))
+    return requests.labelled(log, {"uvicorn": "server", "core": "engine"}).select("event_id", "label")
+
+
+@query("SELECT r_regionkey AS id, x::INTEGER AS x, y::INTEGER AS y, 7 AS v FROM region, range(8) a(x), range(5) b(y)")
+def blank_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.blank(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id")), 8, 5, 7)
+
+
+@query(f"WITH {PIXELS} SELECT id, x, y, 255 - v AS v FROM pixels")
+def invert_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.invert(mask_pixels(spark, sf_dir))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS type, CASE WHEN event_id % 5 = 0 OR user_id % 2 = 0 THEN NULL ELSE user_id::VARCHAR END AS node,
+        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'p' || event_id END AS prompt_id FROM events WHERE event_id % 7 <> 0""")
+def message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of a socket: some are binary and have no text, some aren't JSON, some have no node."""
+    node = F.when(F.col("user_id") % 2 == 0, "null").otherwise(F.concat(F.lit('"'), "user_id", F.lit('"')))
+    text = F.concat(F.lit('{"type":"'), "event_type", F.lit('","data":{"node":'), node, F.lit(',"prompt_id":"p'), "event_id", F.lit('","more":[1]}}'))
+    frames = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 5 == 0, "hello").otherwise(text).alias("value"))
+    return progress.parse_messages(frames).drop("value")
+
+
+TEMPLATE = """{"28": {"class_type": "KSampler", "inputs": {"seed": 1, "model": ["4", 0]}, "_meta": {"title": "s"}}, "7": {"class_type": "Text", "inputs": {"text": "base", "clip": ["4", 1]}},
+    "8": {"class_type": "Text", "inputs": {"text": "", "clip": ["4", 1]}}, "30": {"class_type": "Load", "inputs": {"image": "x"}}, "47": {"class_type": "Load", "inputs": {}}, "4": {"class_type": "Model", "inputs": {"name": "é"}}}"""
+
+
+@query("""SELECT event_id, user_id % 3 AS seed, CASE WHEN user_id % 4 = 0 THEN 'base' ELSE 'a "' || event_type || '", base' END AS prompt, event_type AS negative_prompt,
+        'in/s' || user_id || '.png' AS source_path, 'mask_' || event_id || '.png' AS mask_path, 'é' AS kept, '4' AS model FROM events""")
+def workflow_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each event, bound into a template and read back from the document's JSON."""
+    asked = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") % 3).alias("seed"), F.when(F.col("user_id") % 4 == 0, "").otherwise(F.concat(F.lit('a "'), "event_type", F.lit('"'))).alias("prompt"), F.col("event_type").alias("negative_prompt"),
+        F.concat(F.lit("in\\s"), "user_id", F.lit(".png")).alias("source_path"), F.concat(F.lit("mask_"), "event_id", F.lit(".png")).alias("mask_path"),
+    )
+    at = lambda path: F.get_json_object("workflow", f"$.{path}")
+    return workflow.bind(asked, TEMPLATE).select(
+        "event_id", at("28.inputs.seed").cast("long").alias("seed"), at("7.inputs.text").alias("prompt"), at("8.inputs.text").alias("negative_prompt"),
+        at("30.inputs.image").alias("source_path"), at("47.inputs.image").alias("mask_path"), at("4.inputs.name").alias("kept"), at("28.inputs.model[0]").alias("model"),
+    )
+
+
+def order_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document (o, text) for each order: a node for each line item, which takes an output of the one before it."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("k"))
+    link = F.when(F.col("k") > 1, F.concat(F.lit(',"from":["n'), F.col("k") - 1, F.lit('", '), F.col("l_partkey") % 3, F.lit("]"))).otherwise("")
+    node = F.concat(F.lit('"n'), "k", F.lit('":{"class_type":"'), "l_returnflag", F.lit('","inputs":{"part":'), "l_partkey", link, F.lit('},"_meta":{"title":"t'), "k", F.lit('"}}'))
+    listed = items.groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(F.struct("k", node.alias("j")))).alias("js"))
+    return listed.select("o", F.concat(F.lit("{"), F.array_join("js.j", ","), F.lit("}")).alias("text"))
+
+
+ITEMS = "items AS (SELECT l_orderkey AS o, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)"
+
+
+@query(f"WITH {ITEMS} SELECT o, (k - 1)::INTEGER AS pos, 'n' || k AS node_id, l_returnflag AS class_type, 't' || k AS title FROM items")
+def workflow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.nodes(order_workflows(spark, sf_dir), keys=("o",)).drop("inputs")
+
+
+@query(f"WITH {ITEMS} SELECT o, 'n' || (k - 1) AS src, (l_partkey % 3)::INTEGER AS slot, 'n' || k AS dst, 'from' AS input_name FROM items WHERE k > 1")
+def workflow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.edges(workflow.nodes(order_workflows(spark, sf_dir), keys=("o",)), ("o",))
+
+
+@query(f"WITH {ITEMS} SELECT o, 'n' || k AS node_id, 'part' AS name, l_partkey::VARCHAR AS value FROM items")
+def workflow_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.literals(workflow.nodes(order_workflows(spark, sf_dir), keys=("o",)), ("o",))
+
+
+@query("SELECT * FROM (VALUES ('7', 'text'), ('30', NULL)) t(node_id, name)")
+def missing_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a template lacks in which one text and one node are missing."""
+    broken = TEMPLATE.replace('"text": "base", ', "").replace('"30"', '"31"')
+    return workflow.missing_bindings(workflow.nodes(spark.range(1).select(F.lit(broken).alias("text"))))
+
+
+SMALL_WIDTH, SMALL_HEIGHT = 96, 64
+#: A mask for each nation, whose pixels are its customers, and an image of a slanted gradient.
+SMALL_PIXELS = """dots AS (SELECT c_nationkey AS id, (c_nationkey * 5) % 70 + c_custkey % 20 AS x, (c_nationkey * 3) % 50 + c_custkey % 11 AS y, 1 + c_custkey % 255 AS v FROM customer),
+    masks AS (SELECT id, x, y, max(v) AS v FROM dots GROUP BY ALL),
+    boxes AS (SELECT id, greatest(0, min(x) - 16) AS x0, greatest(0, min(y) - 16) AS y0, least(96, max(x) + 17) AS x1, least(64, max(y) + 17) AS y1 FROM masks GROUP BY id)"""
+
+
+def nation_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = F.col("c_nationkey"), F.col("c_custkey")
+    dots = table(spark, sf_dir, "customer").select(nation.alias("id"), (nation * 5 % 70 + customer % 20).alias("x"), (nation * 3 % 50 + customer % 11).alias("y"), (1 + customer % 255).alias("v"))
+    return patches.to_images(dots, SMALL_WIDTH, SMALL_HEIGHT)
+
+
+def nation_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster.blank(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), SMALL_WIDTH, SMALL_HEIGHT)
+    return patches.to_images(cells.withColumn("v", (F.col("x") + F.col("y") + F.col("id")) % 256), SMALL_WIDTH, SMALL_HEIGHT)
+
+
+@query(f"WITH {SMALL_PIXELS} SELECT id, x::INTEGER AS x, y::INTEGER AS y, 0 AS r, 0 AS g, 0 AS b, v::INTEGER AS a FROM masks")
+def alpha_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as PNG images, as the alpha of black PNG images, and decoded."""
+    made = nation_masks(spark, sf_dir).select("id", patches.alpha_masks(F.col("content")).alias("m"))
+    return patches.image_pixels(made.select("id", "m.content")).where("a > 0")
+
+
+@query(f"""WITH {SMALL_PIXELS} SELECT b.id, x0::INTEGER AS x, y0::INTEGER AS y, (x1 - x0)::INTEGER AS width, (y1 - y0)::INTEGER AS height,
+        (SELECT sum((gx + gy + b.id) % 256) FROM range(96) s(gx), range(64) t(gy) WHERE gx >= x0 AND gx < x1 AND gy >= y0 AND gy < y1)::BIGINT AS colour,
+        (SELECT sum(v) FROM masks m WHERE m.id = b.id)::BIGINT AS mask
+    FROM boxes b""")
+def patch_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mask covers of an image, by the bytes of both, and the sums of the two patches' pixels."""
+    both = nation_images(spark, sf_dir).withColumnRenamed("content", "image").join(nation_masks(spark, sf_dir), "id")
+    cut = both.select("id", patches.patches(F.col("image"), F.col("content")).alias("p")).select("id", "p.*")
+    part = lambda c: patches.image_pixels(cut.select("id", T.unpack_base64(F.col(c)).alias("content"))).groupBy("id").agg(F.sum("r").alias(c))
+    return cut.select("id", "x", "y", "width", "height").join(part("color").withColumnRenamed("color", "colour"), "id").join(part("mask"), "id")
+
+
+@query(f"""WITH {SMALL_PIXELS}, judged AS (SELECT c_custkey AS request_id, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 422 WHEN c_nationkey % 4 = 1 THEN 404 WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 500
+        WHEN c_custkey % 17 = 0 THEN 502 ELSE 200 END AS status_code FROM customer)
+    SELECT request_id, status_code, CASE WHEN status_code = 200 THEN x0 ELSE -1 END::INTEGER AS x, CASE WHEN status_code = 200 THEN y0 ELSE -1 END::INTEGER AS y,
+        CASE WHEN status_code = 200 THEN x1 - x0 ELSE -1 END::INTEGER AS width, CASE WHEN status_code = 200 THEN y1 - y0 ELSE -1 END::INTEGER AS height FROM judged JOIN boxes ON id = c_nationkey""")
+def inpaint_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each customer, from validation to patch: prompts are missing, sources aren't cached, masks aren't
+    base64 or no images, the backend can't be reached; else it returns the nation's image. -1 stands where there is no patch."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    packed = nation_masks(spark, sf_dir).select(F.col("id").alias("c_nationkey"), T.pack_base64(F.col("content")).alias("good"))
+    asked = table(spark, sf_dir, "customer").join(packed, "c_nationkey").select(
+        k.alias("request_id"), F.concat(F.lit("n"), nation).alias("source_id"), F.when(k % 7 != 0, F.lit("p")).alias("prompt"), F.lit(None).cast("string").alias("negative_prompt"),
+        F.when(k % 11 == 0, "!AAAAA").when(k % 13 == 0, "AAAA").otherwise(F.col("good")).alias("mask_image_base64"), F.lit(0).cast("long").alias("seed"), F.timestamp_seconds(k).alias("ts"),
+    )
+    cached = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 1").select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.lit("in/x.png").alias("path"))
+    echo = requests.echo_backend(nation_images(spark, sf_dir).select(F.concat(F.lit("n"), "id").alias("source_id"), "content"))
+
+    def backend(ready: DataFrame) -> DataFrame:
+        down = F.col("request_id") % 17 == 0
+        return echo(ready).select("request_id", F.when(~down, F.col("result")).alias("result"), F.when(down, "connection: refused").otherwise(F.col("failed")).alias("failed"))
+
+    return requests.inpaint(asked, cached, TEMPLATE, backend).select("request_id", "status_code", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query("""WITH RECURSIVE ops AS (SELECT (user_id % 40)::VARCHAR AS cache_id, event_id AS seq, 's' || (event_id * 7 % 9) AS source_id, event_type IN ('click', 'view') AS is_get,
+        row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events),
+    run(cache_id, n, seq, op, source_id, held, gone, outcome) AS (
+        SELECT DISTINCT cache_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR FROM ops
+        UNION ALL
+        SELECT o.cache_id, o.n, o.seq, CASE WHEN is_get THEN 'get' ELSE 'add' END, o.source_id,
+            CASE WHEN is_get AND NOT list_contains(held, o.source_id) THEN held
+                 ELSE list_append(list_filter(CASE WHEN NOT is_get AND len(held) >= 4 THEN held[2:] ELSE held END, lambda s: s <> o.source_id), o.source_id) END,
+            CASE WHEN NOT is_get AND len(held) >= 4 THEN held[:1] ELSE [] END,
+            CASE WHEN NOT is_get THEN 'added' WHEN list_contains(held, o.source_id) THEN 'hit' ELSE 'miss' END
+        FROM run r JOIN ops o ON o.cache_id = r.cache_id AND o.n = r.n + 1)
+    SELECT cache_id, seq, op, source_id, outcome FROM run WHERE n > 0
+    UNION ALL SELECT cache_id, seq, op, gone[1], 'evicted_count' FROM run WHERE n > 0 AND len(gone) > 0""")
+def cache_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups and inserts of forty caches of four files, and what each insert evicts."""
+    op = F.when(F.col("event_type").isin("click", "view"), "get").otherwise("add")
+    ops = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 40).cast("string").alias("cache_id"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("s"), F.col("event_id") * 7 % 9).alias("source_id"),
+        F.lit(".png").alias("extension"), F.lit(10).cast("long").alias("length"),
+    )
+    return cache.replay(ops, 4, 1_000_000).drop("path")

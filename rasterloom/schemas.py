@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
+#: Fixed value of the service's protocol, as are the field names below.
 NEGATIVE_PROMPT = "blur, low quality, distortion, watermark"
 
 INPAINT_REQUEST = "source_id string, prompt string, negative_prompt string, mask_image_base64 string, seed bigint"
-UPLOAD_REQUEST = "source_id string, filename string, content binary"
-UPLOAD_RESPONSE = "status string, path string"
 PATCH = "x int, y int, width int, height int, color string, mask string"
-HEALTH = "status string, url string, connected boolean"
-CACHE_ENTRY = "source_id string, path string, length bigint, last_access timestamp"
 CACHE_OPERATION = "cache_id string, seq bigint, op string, source_id string, extension string, length bigint"
 CACHE_EVENT = "cache_id string, seq bigint, op string, source_id string, outcome string, path string"
 WORKFLOW = "map<string, struct<class_type: string, inputs: map<string, string>, _meta: struct<title: string>>>"
-EDGE = "src string, slot int, dst string, input_name string"
 PROGRESS = "type string, data struct<node: string, prompt_id: string>"
 IMAGE_REF = "struct<filename: string, subfolder: string, type: string>"
-ACCESS_LOG = "ts timestamp, level string, logger string, args array<string>"
