@@ -33,7 +33,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs.where(~fold("doc_id", 4).eqNullSafe(2)).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
     found = identify_language(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     voters = fit_voters(labelled_quality(docs, table(spark, sf_dir, "labels")))
     found = quality_scores(docs.select("doc_id", "text"), voters, 0.3)
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

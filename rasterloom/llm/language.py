@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from rasterloom.llm.common import hash_sample
+from rasterloom.llm.common import free_name, hash_sample
 from rasterloom.llm.features import ngram_counts
 
 ORDERS, BITS = (2, 3, 4), 12
@@ -100,12 +101,15 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | N
     return train(x, [r["label"] for r in found])
 
 
-def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def identify_language(
+    docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")
+) -> DataFrame:
     """A row for each row of docs: id, lang_pred, score (calibrated confidence) and rejected.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or no model could be learned; those and
-    texts under the model's threshold are rejected. keep: all columns of docs before the three (which replace columns
-    of those names). Rows with equal or null ids are kept.
+    texts under the model's threshold are rejected. keep: all columns of docs before the three, which are called by
+    `names` and replace columns of those names. Rows with equal or null ids are kept. Whole texts count, however long;
+    of equally likely languages the first by name is told. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -123,11 +127,11 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str
                 for i, k in zip(rows, p.argmax(1), strict=True):
                     lang[i] = m.languages[k]
             kept = [batch.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[:n], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[:n], *names])
 
     text = docs[text_col]
-    extra = [text.cast("binary").alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters")]
-    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score", "rejected")] if keep else [docs[id_col].cast("long").alias(id_col)]
+    extra = [text.cast("binary").alias(free_name(docs, "text_bytes")), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "has_letters"))]
+    kept = [docs[c] for c in docs.columns if c not in names] if keep else [docs[id_col].cast("long").alias(id_col)]
     rows = docs.select(*kept, *extra)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-2])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    kinds = StructType([*rows.schema[:-2], StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())])
+    return rows.mapInArrow(run, kinds)

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text to a block.
 BLOCK_BYTES = 12_000_000
-#: Share of the higher order for frequent contexts, and the count at which a context has half of it.
-SHARE, DOUBT = 0.3, 20.0
+#: Share of the higher order for frequent contexts, and the count at which a context has half of it: of 20 pairs of
+#: weights, those under which texts of the test tables that the counts leave out are likeliest.
+SHARE, DOUBT = 0.5, 10.0
 SEED = 42
 #: A token that no text holds, since tokens hold no white space.
 END = b"\n"
@@ -215,13 +216,19 @@ def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col:
 
     held_out: a SQL condition; rows where it is true are not learned from (null: they are). A null text counts as
     empty and has the end token alone. Rows with equal or null ids are kept; other columns are not carried. With
-    nothing to learn from, every token is unseen and has probability 1.
+    nothing to learn from, every token is unseen and has probability 1. Whole texts count: one longer than block_bytes
+    makes its block as large as itself. An empty table gives no rows. Words and bigrams that share a 64-bit hash would
+    count as one.
+
+    Every block asks every range of hashes, and there are as many ranges as the session has shuffle partitions, so
+    the rows of requests grow with the text alone, and a range's share of the counts as any shuffle partition's does.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = int(size // block_bytes) + 1
-    parts = blocks
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # by the text too: neither one id nor one length fills a block
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _request(key[0], list(pdf.text), pdf.held_out.to_numpy(bool), parts)

@@ -40,8 +40,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     top = fields[2] if len(fields) > 2 else 1
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * depth
+    if not n or not 0 < top < 1 << 16 or n > 16 * len(data):
+        raise ValueError("a Netpbm image of no such size or depth")
     if kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.uint16)
+        out = np.array([int(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]])
     elif kind == b"P1":
         out = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n], np.uint8) != ord("1")
     elif kind == b"P4":
@@ -52,10 +54,12 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
     if out.size != n:
         raise ValueError("too few samples")
+    if out.dtype != bool and not 0 <= int(out.min()) <= int(out.max()) <= top:
+        raise ValueError("a sample outside the image's range")
     if out.dtype == bool:
         out = out * np.uint8(255)
-    elif top <= 255:
-        out = out.astype(np.uint8, copy=False)
+    else:
+        out = out.astype(np.uint8 if top <= 255 else np.uint16, copy=False)
     return out.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
@@ -66,6 +70,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if bits not in (8, 24, 32) or packed not in (0, 3) or (packed == 3 and bits != 32):
         raise ValueError(f"BMP of {bits} bits, compression {packed}, is not read")
+    if width <= 0 or not height:
+        raise ValueError("a BMP image without pixels")
     row = (width * bits // 8 + 3) // 4 * 4
     raw = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
     raw = raw[::-1] if height > 0 else raw
@@ -96,7 +102,7 @@ def to_grey(image: np.ndarray) -> np.ndarray:
     """Luma by integer weights out of 256, for images with three channels."""
     if image.ndim == 2:
         return image
-    return ((image.astype(np.uint32) @ np.array([77, 150, 29], np.uint32) + 128) >> 8).astype(np.uint8)
+    return ((image.astype(np.uint32) @ np.array([77, 150, 29], np.uint32) + 128) >> 8).astype(image.dtype)
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -143,7 +149,7 @@ def media_tiles(images: DataFrame, id_col: str = "id", media_col: str = "media",
                 try:
                     grey = to_grey(decode(x or b""))
                     out.append((*grey.shape, to_npy(np.round(area_resize(grey, height, width)).astype(grey.dtype)), difference_hash(grey), None))
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, ArithmeticError, struct.error, IndexError) as e:
                     out.append((None, None, None, None, str(e)))
             if out:
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -159,7 +165,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The bytes, filled up with 255 to a positive multiple of 576, become the rows of a PGM of 24 samples a row; that
     is decoded, stored as an NPY tile and read back. payload_* describe what was read back, media_* the stored tile;
     feature is the difference hash; full adds media (binary). A null text counts as empty. Rows with equal or null
-    ids are kept; equal texts have equal values; other columns are not carried.
+    ids are kept; equal texts have equal values; other columns are not carried. Whole texts count, however long; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,8 +27,8 @@ from rasterloom.llm.common import grouped, written
 #: Shares of what the first document leaves, for the second of three, and for the second and third of four.
 SHARES = (0.5, 0.6, 0.7, 0.8, 0.9)
 SWEEPS = 12
-#: Pieces to a salted part of the ranking, on average over all lengths.
-PART = 512
+#: Pieces of one length to a salted part of the ranking.
+PART = 65_536
 
 
 def _word_table(path: str) -> ChunkTable:
@@ -194,13 +194,17 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     """A row for each piece of each document: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty and has the end id alone. Equal texts, equal ids and null ids are all packed, each
-    row for itself; full adds the pieces' ids. An empty table gives no rows. Other columns are not carried.
+    row for itself; full adds the pieces' ids. Whole texts count, however long. An empty table gives no rows. Other
+    columns are not carried.
     """
     pieces = written(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, full))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
-    parts = sum(histogram.values()) // PART + 1
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)))
+    # rows for the lengths that need several parts alone, of which there are as many as lengths at most
+    many = [(length, -(-n // PART)) for length, n in histogram.items() if n > PART]
+    parts = docs.sparkSession.createDataFrame(many, "length long, parts long")
+    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.coalesce("parts", F.lit(1)))
+    salted = pieces.join(F.broadcast(parts), "length", "left").withColumn("part", salt).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")

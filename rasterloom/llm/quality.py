@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rasterloom.llm.common import hash_sample
+from rasterloom.llm.common import free_name, hash_sample
 from rasterloom.llm.features import ngram_counts
 
 ORDERS, BITS, TOP = (1, 3), 11, 32
@@ -88,11 +89,13 @@ def fit_voters(labelled: DataFrame, sample: int = SAMPLE) -> Voters:
     return Voters(mean, directions, z, np.array([r["label"] for r in found], float))
 
 
-def quality_scores(docs: DataFrame, voters: Voters, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def quality_scores(docs: DataFrame, voters: Voters, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """A row for each row of docs: id, score (0 to 1, higher: likelier label 1), predicted (1 at the threshold or above).
 
     A null text counts as empty, and empty texts are scored like any other. keep: all columns of docs instead of the
-    id alone, before score and predicted (which replace columns of those names). Equal or null ids are kept.
+    id alone, before score and predicted, which are called by `names` and replace columns of those names. Equal or
+    null ids are kept. Whole texts count, however long; of voters at equal cosines any may vote. Without voters every
+    score is a half; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -105,10 +108,10 @@ def quality_scores(docs: DataFrame, voters: Voters, threshold: float = 0.3, id_c
                 score[at : at + BLOCK] = model.scores(x)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             predicted = pa.array((score >= threshold).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), predicted], [*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), predicted], [*batch.schema.names[:-1], *names])
 
-    kept = docs.drop("score", "predicted") if keep else docs.select(F.col(id_col).cast("long").alias(id_col))
-    text = docs[text_col].cast("binary").alias("__text")
-    rows = docs.select(*[docs[c] for c in kept.columns], text) if keep else docs.select(F.col(id_col).cast("long").alias(id_col), text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    text = docs[text_col].cast("binary").alias(free_name(docs, "text_bytes"))
+    kept = [docs[c] for c in docs.columns if c not in names] if keep else [docs[id_col].cast("long").alias(id_col)]
+    rows = docs.select(*kept, text)
+    kinds = StructType([*rows.schema[:-1], StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    return rows.mapInArrow(run, kinds)

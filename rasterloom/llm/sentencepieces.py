@@ -69,19 +69,12 @@ def _table(model_path: str) -> ChunkTable:
     return shared_table(("sentencepiece", model_path), lambda: ChunkTable(work, 2))
 
 
-def encode_text(model_path: str, text: str | None) -> list[int]:
-    """The ids of one text, by the table."""
-    model, table = pieces(model_path), _table(model_path)
-    chunks = model.chunks((text or "").encode())
-    table.learn([chunks])
-    return [int(i) for i in "".join(map(table.column(0), chunks)).split(",") if i]
-
-
 def sentencepiece_round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """A row for each row of docs: the id, n_tokens, and SHA-256 of the ids and of what they decode to.
 
     full adds ids (array of int) and decoded (string). A null text counts as empty; an empty text has no ids.
-    Rows with equal or null ids are kept as they are; other columns of docs are not carried.
+    Rows with equal or null ids are kept as they are; other columns of docs are not carried. Whole texts count,
+    however long; an empty table gives no rows.
     """
     extra = ", ids array<int>, decoded string" if full else ""
 

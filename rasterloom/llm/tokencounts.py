@@ -69,13 +69,22 @@ class PrefixCounts:
                 for start in range(end - 1, -1, -1):
                     kind = tails.get(token := chunk[start:end])
                     if kind is None and start < end - 1:
-                        raise ValueError(f"no token ends the prefix {chunk[:end]!r}")
+                        start = -1
+                        break
                     if kind is not False and (pairs[pair] if (pair := (last[start], token)) in pairs else self.fits(*pair)):
                         break
+                else:
+                    start = -1
+                if start < 0:  # no token fits the ones before: the library counts this chunk's prefixes
+                    whole = [0, *(len(self.tokens(chunk[:i])) for i in range(1, len(chunk) + 1))]
+                    out[k] = [b - a for a, b in zip(whole, whole[1:], strict=False)]
+                    last, count, previous = [""], [0], ""
+                    break
                 last.append(token)
                 count.append(count[start] + (1 if kind else len(token.encode())))
-            out[k] = [b - a for a, b in zip(count, count[1:], strict=False)]
-            previous = chunk
+            else:
+                out[k] = [b - a for a, b in zip(count, count[1:], strict=False)]
+                previous = chunk
         return out
 
 
@@ -109,6 +118,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     full adds steps (binary): for the mark before the text and for each character, how the count grows. A null
     text counts as empty, with no bytes and no tokens. Equal or null ids are kept; other columns are not carried.
+    Whole texts count, however long; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import written
+from rasterloom.llm.common import forget, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,20 +76,33 @@ def _level(keys: DataFrame, n: int, number: int, rate: float) -> Level:
     return Level(number, words, bits, hashes)
 
 
-def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> list[Level]:
-    """Levels that tell the listed keys from all others of the universe; both have one string column `key`, which may repeat."""
-    listed = listed.where("key is not null").distinct()
+def first_level(listed: DataFrame, n_universe: int) -> Level | None:
+    """Level 1 of a cascade that tells the listed keys (column `key`, distinct) from n_universe others; None for no keys."""
     n = listed.count()
-    if not n:
+    return _level(listed, n, 1, min(0.5, n / max(1, n_universe))) if n else None
+
+
+def with_further_levels(listed: DataFrame, first: Level | None, through: DataFrame) -> list[Level]:
+    """Level 1 and those that follow: through has all distinct keys of the universe that level 1 lets through."""
+    if first is None:
         return []
-    levels = [_level(listed, n, 1, min(0.5, n / max(1, n_universe)))]
-    inside, outside = listed, written(universe.where(passes(F.col("key"), levels[0])).distinct().join(listed, "key", "left_anti"))
+    levels, tables = [first], [written(through.join(listed, "key", "left_anti"))]
+    inside, outside = listed, tables[0]
     while n := outside.count():
         levels.append(_level(outside, n, len(levels) + 1, 0.25))
-        inside, outside = outside, written(inside.where(passes(F.col("key"), levels[-1])))
+        tables.append(written(inside.where(passes(F.col("key"), levels[-1]))))
+        inside, outside = outside, tables[-1]
+    forget(*tables)
     return levels
 
 
+def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> list[Level]:
+    """Levels that tell the listed keys from all others of the universe; both have one string column `key`, which may repeat."""
+    listed = listed.where("key is not null").distinct()
+    first = first_level(listed, n_universe)
+    return with_further_levels(listed, first, universe.where(passes(F.col("key"), first)).distinct() if first else universe)
+
+
 def member(key: Column, levels: list[Level]) -> Column:
     """Whether a key of the universe is listed: it is if the first level that it fails is an even one."""
     found = F.lit(len(levels) % 2 == 1)
@@ -103,17 +116,27 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_
 
     rules has string columns verdict (allow or block), host and path; a key listed under both counts as allow, and of
     rules of equal length the one with the longer host wins. A url that is null or has no `://` has an empty host and
-    path and the default verdict. Rows with equal or null ids are kept; other columns of pages are not carried.
+    path and the default verdict. Rows with equal or null ids are kept; other columns of pages are not carried. Urls
+    may be of any length; an empty table gives no rows.
+
+    The filters' words, about log2(candidates / listed keys) / 0.7 bits for each listed key, pass through the driver
+    and stand in the plan as literals, which bounds a list to some 100,000 keys; split longer ones by host first.
     """
     # as many rows as there are kinds of rules
     shapes = rules.where("host is not null and path is not null").select(F.size(F.split("host", "\\.")).alias("labels"), F.char_length("path").alias("length")).distinct().collect()
     counts, lengths = ({r[c] for r in shapes} for c in ("labels", "length"))
     parts = pages.select(F.col(id_col).cast("long").alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    universe = parts.select(candidates(F.col("host"), F.col("path"), counts, lengths).alias("keys"))
-    n = universe.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
-    keys = universe.select(F.explode("keys").alias("key"))
-    listed = rules.select("verdict", F.concat("host", "path").alias("key"))
-    allow, block = (cascade(listed.where(F.col("verdict") == v).select("key"), keys, n) for v in ("allow", "block"))
+    # an upper bound, so that pages needn't be parsed to be counted
+    n = pages.count() * max(1, len(counts)) * max(1, len(lengths))
+    listed = {v: written(rules.where(F.col("verdict") == v).select(F.concat("host", "path").alias("key")).where("key is not null").distinct()) for v in ("allow", "block")}
+    firsts = {v: first_level(x, n) for v, x in listed.items()}
+    # one pass over the pages gives what either first level lets through
+    key = F.col("key")
+    through = {v: passes(key, level) if level else F.lit(False) for v, level in firsts.items()}
+    keys = parts.select(F.explode(candidates(F.col("host"), F.col("path"), counts, lengths)).alias("key"))
+    passed = written(keys.select("key", *[c.alias(v) for v, c in through.items()]).where("allow or block").distinct())
+    allow, block = (with_further_levels(listed[v], firsts[v], passed.where(v).select("key")) for v in ("allow", "block"))
+    forget(passed, *listed.values())
     fits = F.filter(candidates(F.col("host"), F.col("path"), counts, lengths), lambda k: member(k, allow) | member(k, block))
     longest = F.aggregate(fits, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.char_length(b) > F.char_length(a)), b).otherwise(a))
     judged = parts.withColumn("rule", longest)
