@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches, table, written
+from rasterloom.llm.common import free_name, small_batches, table, written
 from rasterloom.llm.entry import labelled_quality
 from rasterloom.llm.language import fit_language, identify_language
 from rasterloom.llm.neardup import without_near_duplicates as drop_near_duplicates
@@ -25,15 +25,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, learned from labels, predicts as good; without labels, all of them."""
     small_batches(spark)
     voters = fit_voters(labelled_quality(docs, table(spark, sf_dir, "labels")))
-    judged = quality_scores(docs, voters, 0.3, keep=True)
-    return judged.where("predicted = 1").select(*docs.columns)
+    score, good = (free_name(docs, c) for c in ("score", "predicted"))
+    judged = quality_scores(docs, voters, 0.3, keep=True, names=(score, good))
+    return judged.where(F.col(good) == 1).select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier, learned from lang, doesn't reject."""
+    """Documents whose language the classifier, learned from lang, doesn't reject; without any to learn from, all of them."""
     small_batches(spark)
     model = fit_language(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
-    return identify_language(docs, model, keep=True).where("not rejected").select(*docs.columns)
+    if model is None:
+        return docs
+    language, score, rejected = (free_name(docs, c) for c in ("lang_pred", "score", "rejected"))
+    return identify_language(docs, model, keep=True, names=(language, score, rejected)).where(~F.col(rejected)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
