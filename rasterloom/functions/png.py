@@ -10,6 +10,8 @@ import numpy as np
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by colour type.
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: First column and row, and steps, of the seven passes of an interlaced image.
+INTERLACED = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -28,48 +30,58 @@ def encode(image: np.ndarray) -> bytes:
 
 
 def _unfilter(raw: bytes, height: int, width_bytes: int, step: int) -> np.ndarray:
-    """Rows without their filters; columns of a row depend on each other only for three of the five kinds."""
+    """Rows without their filters. A byte depends on those to the left, above and above left of it, so all places whose
+    row and column add up to the same number are worked out together."""
     data = np.frombuffer(raw, np.uint8, height * (width_bytes + 1)).reshape(height, width_bytes + 1)
-    out, above = np.zeros((height, width_bytes), np.uint8), np.zeros(width_bytes, np.uint8)
-    for y in range(height):
-        kind, row = data[y, 0], data[y, 1:].copy()
-        if kind == 1:
-            lanes = np.zeros(-(-width_bytes // step) * step, np.uint8)
-            lanes[:width_bytes] = row
-            row = np.cumsum(lanes.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:width_bytes]
-        elif kind == 2:
-            row = row + above
-        elif kind in (3, 4):
-            for i in range(width_bytes):
-                left = int(row[i - step]) if i >= step else 0
-                up = int(above[i])
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    corner = int(above[i - step]) if i >= step else 0
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                row[i] = (int(row[i]) + guess) & 255
-        elif kind:
-            raise ValueError(f"PNG filter {kind} is not known")
-        out[y] = above = row
-    return out
+    kinds, n = data[:, 0], -(-width_bytes // step)
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"PNG filter {kinds.max()} is not known")
+    rows = np.zeros((height, n * step), np.uint8)
+    rows[:, :width_bytes] = data[:, 1:]
+    out = np.zeros((height + 1, n + 1, step), np.int16)  # zeros stand above and to the left
+    if not kinds.any():
+        return rows[:, :width_bytes]
+    rows = rows.reshape(height, n, step)
+    for total in range(height + n - 1):
+        y = np.arange(max(0, total - n + 1), min(height - 1, total) + 1)
+        x, kind = total - y, kinds[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + up - corner
+        to_left, to_up, to_corner = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[y + 1, x + 1] = rows[y, x] + np.choose(kind, [0, left, up, (left + up) // 2, nearest]) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, -1)[:, :width_bytes]
+
+
+def _samples(rows: np.ndarray, height: int, width: int, n: int, depth: int, palette: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Samples as they stand, and as bytes."""
+    if depth == 16:
+        wide = rows.reshape(height, width, n, 2)
+        return wide.astype(np.uint16) @ np.array([256, 1], np.uint16), wide[..., 0]
+    if depth == 8:
+        v = rows.reshape(height, width, n)
+        return v, v
+    bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(height, width, depth)
+    keys = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[..., None]
+    return keys, keys if palette else (keys.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8)
 
 
 def decode(data: bytes) -> np.ndarray:
-    """RGBA, uint8 of (height, width, 4), of any PNG that isn't interlaced; of 16-bit samples, the upper byte."""
+    """RGBA, uint8 of (height, width, 4), of any PNG; of 16-bit samples, the upper byte."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG image")
     at, packed, palette, clear = 8, [], None, None
-    width = height = depth = kind = 0
+    width = height = depth = kind = interlaced = 0
     while at + 8 <= len(data):
         n, name = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + n]
         at += 12 + n
         if name == b"IHDR":
+            if n != 13:
+                raise ValueError("broken PNG header")
             width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", body)
-            if interlaced or kind not in SAMPLES:
-                raise ValueError("interlaced or unknown PNG")
+            if interlaced > 1 or kind not in SAMPLES or depth not in (1, 2, 4, 8, 16):
+                raise ValueError("unknown kind of PNG")
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif name == b"tRNS":
@@ -83,19 +95,22 @@ def decode(data: bytes) -> np.ndarray:
     except zlib.error as e:
         raise ValueError(f"broken PNG: {e}") from e
     n = SAMPLES[kind]
-    width_bytes = -(-width * n * depth // 8)
-    if not width or len(raw) < height * (width_bytes + 1):
-        raise ValueError("broken PNG: too few bytes")
-    rows = _unfilter(raw, height, width_bytes, max(1, n * depth // 8))
-    if depth == 16:
-        wide = rows.reshape(height, width, n, 2)
-        keys, v = wide.astype(np.uint16) @ np.array([256, 1], np.uint16), wide[..., 0]
-    elif depth == 8:
-        keys = v = rows.reshape(height, width, n)
-    else:
-        bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(height, width, depth)
-        keys = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[..., None]
-        v = keys if kind == 3 else (keys.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    passes = [p for p in INTERLACED if p[0] < width and p[1] < height] if interlaced else [(0, 0, 1, 1)]
+    if not width or not height or len(raw) > 1 << 31:
+        raise ValueError("broken PNG: no pixels, or too many")
+    keys = v = None
+    at = 0
+    for x0, y0, dx, dy in passes:
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        width_bytes = -(-w * n * depth // 8)
+        part = raw[at : at + h * (width_bytes + 1)]
+        if len(part) < h * (width_bytes + 1):
+            raise ValueError("broken PNG: too few bytes")
+        at += len(part)
+        some_keys, some = _samples(_unfilter(part, h, width_bytes, max(1, n * depth // 8)), h, w, n, depth, kind == 3)
+        if keys is None:
+            keys, v = (np.zeros((height, width, n), x.dtype) for x in (some_keys, some))
+        keys[y0::dy, x0::dx], v[y0::dy, x0::dx] = some_keys, some
     out = np.full((height, width, 4), 255, np.uint8)
     if kind == 3:
         if palette is None or int(keys.max(initial=0)) >= len(palette):

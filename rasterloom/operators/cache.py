@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from rasterloom.functions.text import stem
 from rasterloom.operators.lru import LruState
 from rasterloom.schemas import CACHE_EVENT
+from rasterloom.scratch import written
 
 #: Accesses to a slice of a log that a task replays.
 SLICE = 200_000
+#: Slices whose first states a task works out together.
+GROUP = 1000
 
 
 def blob_index(spark: SparkSession, directory: str) -> DataFrame:
@@ -72,29 +75,50 @@ def replay(operations: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     return ordered.mapInPandas(fold, CACHE_EVENT)  # rows stream by; a task holds the state of one cache
 
 
+def _after(state: list, keys: list, max_files: int) -> list:
+    """The most recent distinct keys, the latest last, after these (distinct, in order) were used."""
+    used = set(keys)
+    return ([k for k in state if k not in used] + keys)[-max_files:]
+
+
+def _starts(recent: DataFrame, key: str, max_files: int) -> DataFrame:
+    """(__slice, start): the cache at the start of each slice, from the last keys of each (__slice, key, last). Slices
+    are taken in groups: the driver sees max_files keys for each GROUP of them, and a task goes through one group."""
+    spark, kind = recent.sparkSession, recent.schema[key].dataType.simpleString()
+    grouped = recent.withColumn("__group", F.expr(f"__slice div {GROUP}"))
+    ends = grouped.groupBy("__group", key).agg(F.max("last").alias("last"))
+    rank = F.row_number().over(Window.partitionBy("__group").orderBy(F.desc("last")))
+    ends = ends.withColumn("rank", rank).where(F.col("rank") <= max_files).groupBy("__group").agg(F.sort_array(F.collect_list(F.struct("last", key))).alias("keys"))
+    states, state = [], []
+    for r in ends.orderBy("__group").collect():
+        states.append((r["__group"], state))
+        state = _after(state, [k[key] for k in r["keys"]], max_files)
+    before = spark.createDataFrame(states, f"__group long, start array<{kind}>")
+
+    def through(_: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        held, out = list(start.start.iloc[0]), []
+        for number, part in pdf.sort_values(["__slice", "order"]).groupby("__slice"):
+            out.append((number, held))
+            held = _after(held, part[key].tolist(), max_files)
+        return pd.DataFrame(out, columns=["__slice", "start"])
+
+    ordered = grouped.withColumn("order", -F.col("rank")).select("__group", "__slice", key, "order")
+    return ordered.groupBy("__group").cogroup(before.groupBy("__group")).applyInPandas(through, f"__slice int, start array<{kind}>")
+
+
 def replay_accesses(log: DataFrame, key: str, at: str, tie: str, max_files: int, slice_rows: int = SLICE) -> DataFrame:
     """The log's columns and hit: whether the key was in a cache of max_files keys that holds what was used last.
 
-    The log is cut by time into slices; what a slice leaves behind is its last max_files distinct keys, so the state
-    at the start of each follows from short summaries of those before it."""
-    rows = log.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")))
-    slices = max(1, rows.count() // slice_rows)
-    cuts = rows.approxQuantile("__at", [i / slices for i in range(1, slices)], 0.1 / slices) if slices > 1 else []
-    bound = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    cut = F.size(F.filter(bound, lambda c: c <= F.col("__at"))).cast("int") if cuts else F.lit(0)
-    rows = rows.withColumn("__slice", cut)
+    The log is cut into slices by time and tie together, so many accesses at one time are many slices; what a slice
+    leaves behind is its last max_files distinct keys, so the state at the start of each follows from short summaries
+    of those before it."""
+    timed = log.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")))
+    slices = max(1, log.count() // slice_rows)
+    # the slice of a row is settled where it is written
+    rows = written(timed.repartitionByRange(slices, "__at", tie).withColumn("__slice", F.spark_partition_id()))
     last = rows.groupBy("__slice", key).agg(F.max(F.struct("__at", tie)).alias("last"))
     recent = last.withColumn("rank", F.row_number().over(Window.partitionBy("__slice").orderBy(F.desc("last")))).where(F.col("rank") <= max_files)
-    states, state = [], []
-    current = None
-    for r in recent.select("__slice", key, "rank").orderBy("__slice", F.desc("rank")).toLocalIterator():
-        if r["__slice"] != current:
-            current = r["__slice"]
-            states.append((current, list(state)))
-        state = [k for k in state if k != r[key]] + [r[key]]
-        state = state[-max_files:]
-    kind = log.schema[key].dataType.simpleString()
-    starts = log.sparkSession.createDataFrame(states, f"__slice int, start array<{kind}>")
+    starts = _starts(recent, key, max_files)
 
     def run(group: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__at", tie])

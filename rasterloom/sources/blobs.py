@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql import functions as F
@@ -16,20 +18,29 @@ def read_blobs(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.format("binaryFile").load(directory)
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it: tasks reach every store that pyarrow does."""
+    if ":/" in path:
+        scheme, rest = path.split(":", 1)
+        return pafs.FileSystem.from_uri(f"file:///{rest.lstrip('/')}" if scheme == "file" else path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, directory: str):
         self.directory = directory
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.directory, exist_ok=True)
+        store, directory = _at(self.directory)
+        store.create_dir(directory, recursive=True)
         for row in iterator:
             name = row["name"]
             if os.path.basename(name) != name or name in ("", ".", ".."):
                 raise ValueError(f"{name!r} isn't a plain file name")
-            part = f"{self.directory}/.{name}.{os.getpid()}"
-            with open(part, "wb") as f:
+            part = f"{directory}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(bytes(row["content"]))
-            os.replace(part, f"{self.directory}/{name}")  # a task that runs again leaves the same file
+            store.move(part, f"{directory}/{name}")  # a task that runs again leaves the same file
         return WriterCommitMessage()
 
 
@@ -41,7 +52,7 @@ class BlobSink(DataSource):
         return "blobs"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
-        return _Writer(urlparse(self.options["path"]).path)
+        return _Writer(self.options["path"])
 
 
 def write_blobs(rows: DataFrame, directory: str) -> None:
@@ -50,9 +61,19 @@ def write_blobs(rows: DataFrame, directory: str) -> None:
     rows.groupBy("name").agg(F.first("content").alias("content")).write.format("blobs").mode("append").option("path", directory).save()
 
 
-def delete_blobs(spark: SparkSession, paths: DataFrame) -> None:
-    """Deletes the files of a column `path`, as far as they are there, by Hadoop's file systems."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in paths.select("path").distinct().toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(r["path"])
-        path.getFileSystem(conf).delete(path, False)
+def delete_blobs(spark: SparkSession, paths: DataFrame) -> int:
+    """Deletes the files of a column `path`, as far as they are there, in tasks; how many there were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = 0
+        for batch in batches:
+            for path in filter(None, batch.column(0).to_pylist()):
+                store, at = _at(path)
+                if store.get_file_info(at).is_file:
+                    store.delete_file(at)
+                    gone += 1
+        yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], ["gone"])
+
+    # dealt first, so that a path's task deletes it however the rows came about
+    dealt = paths.select("path").distinct().repartition("path")
+    return dealt.mapInArrow(run, "gone long").agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("n")).first()["n"]
