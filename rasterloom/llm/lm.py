@@ -211,6 +211,11 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """By id and text: neither one id nor one length fills a block."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+
+
 def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -227,8 +232,7 @@ def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col:
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = int(size // block_bytes) + 1
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # by the text too: neither one id nor one length fills a block
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    dealt = _dealt(rows, blocks)
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _request(key[0], list(pdf.text), pdf.held_out.to_numpy(bool), parts)

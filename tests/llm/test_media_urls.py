@@ -100,3 +100,18 @@ def test_cascade(spark):
     assert len(levels) > 1
     hits = universe.where(urlfilter.member(F.col("key"), levels)).collect()
     assert sorted(r["key"] for r in hits) == sorted(f"k{i * 61}" for i in range(300))
+
+
+def test_a_long_list(spark):
+    """A hundred thousand rules, a twentieth of which fit some url, against a plain look-up."""
+    rnd = random.Random(5)
+    hosts = [f"h{i}.t{i % 97}.org" for i in range(100_000)]
+    verdict = {h: "block" if i % 10 else "allow" for i, h in enumerate(hosts)}
+    rules = spark.createDataFrame([(verdict[h], h, "/") for h in hosts], "verdict string, host string, path string")
+    urls = [f"http://{rnd.choice(['', 'www.'])}{rnd.choice(hosts)}/x" if rnd.random() < 0.5 else f"http://z{i}.t{i % 97}.org/" for i in range(10_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = urlfilter.url_verdicts(pages, rules).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        host = r["host"].removeprefix("www.")
+        assert r["rule"] == (f"{host}/" if host in verdict else None) and r["verdict"] == verdict.get(host, "allow")

@@ -112,3 +112,15 @@ def test_packed_counts():
         assert (lm.unpack_counts(lm.pack_counts(counts)) == counts).all()
     near = np.arange(1000, dtype=np.uint64) * np.uint64(1 << 40) + np.uint64(1 << 63)
     assert lm.pack(near)[:1] == b"6" and (lm.unpack(lm.pack(near)) == near).all()
+
+
+def test_requests_grow_with_the_text_and_blocks_stay_even(spark):
+    """A block asks each range once, however many blocks there are; one id and one length spread over all blocks."""
+    texts = [f"a b c{i:05d}".encode() for i in range(600)]
+    for n in (1, 2, 4):
+        rows = sum(len(lm._request(k, texts[k::n], np.zeros(len(texts[k::n]), bool), 7)) for k in range(n))
+        assert rows == 7 * n
+    for one in ("cast(7 AS long)", "cast(null AS long)"):
+        docs = spark.range(100_000).selectExpr(f"{one} AS id", "cast(concat('word ', lpad(id, 6, '0')) AS binary) AS text")
+        sizes = [r["count"] for r in lm._dealt(docs, 20).groupBy("block").count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 1.1 * 100_000 / 20
