@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rasterloom import config
 from rasterloom.functions import text as T
 from rasterloom.operators import cache, patches, progress, raster, requests, workflow
+from rasterloom.sources import backend as remote
 
 WIDTH, HEIGHT = 640, 480
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,3 +458,17 @@ def cache_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".png").alias("extension"), F.lit(10).cast("long").alias("length"),
     )
     return cache.replay(ops, 4, 1_000_000).drop("path")
+
+
+@query("""SELECT event_id, '{"prompt":{"k":' || props || '},"client_id":"c' || user_id || '"}' AS payload FROM events""")
+def queue_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs are submitted with: a workflow for each event, a client for each user."""
+    document = F.concat(F.lit('{"k":'), "props", F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", remote.queue_payload(document, F.concat(F.lit("c"), "user_id")).alias("payload"))
+
+
+@query("""SELECT page_id, 'http://b:1/view?filename=' || url_encode(url) || '&subfolder=s%2F' || page_id || '&type=output' AS address FROM pages WHERE NOT contains(url, ' ')""")
+def view_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of result images whose names are urls, as far as these have no blanks."""
+    named = table(spark, sf_dir, "pages").where("not contains(url, ' ')")
+    return named.select("page_id", remote.view_url("http://b:1", F.col("url"), F.concat(F.lit("s/"), "page_id"), F.lit("output")).alias("address"))

@@ -1,8 +1,9 @@
 """A client of the image backend that runs where Spark deals the requests.
 
 The transport is a function (method, url, body) -> (status, bytes), given by the caller and sent to the executors; it
-raises OSError where the backend can't be reached. Waiting polls the run's history, which says whether it has ended,
-up to a limit of tries.
+raises OSError where the backend can't be reached. A function (url) -> messages, if given, opens the backend's socket
+before a run is submitted, and the run's end message is waited for there; text messages are JSON, others are passed
+over. Without one, waiting polls the run's history, up to a limit of tries.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlencode
 
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from rasterloom.config import Settings
 
 Transport = Callable[[str, str, bytes | None], tuple[int, bytes]]
+Listener = Callable[[str], Iterable[str | bytes]]
 
 
 def queue_payload(workflow: Column, client_id: Column) -> Column:
@@ -41,11 +43,21 @@ def _first_image(outputs: dict) -> dict:
     raise ValueError("no output images")
 
 
-def _execute(payload: str, base: str, send: Transport, tries: int, pause: float) -> bytes:
+def _ends(message: str | bytes, run: str) -> bool:
+    """Whether a message says that nothing of the run is executing any more."""
+    if not isinstance(message, str):
+        return False
+    found = json.loads(message)
+    return found["type"] == "executing" and found["data"]["node"] is None and found["data"].get("prompt_id") == run
+
+
+def _execute(payload: str, base: str, send: Transport, tries: int, pause: float, messages: Iterable[str | bytes] | None = None) -> bytes:
     status, body = send("POST", f"{base}/prompt", payload.encode())
     if status != 200:
         raise ValueError(f"backend refused the run: {body.decode(errors='replace')}")
     run = json.loads(body)["prompt_id"]
+    if messages is not None and not any(_ends(m, run) for m in messages):
+        raise ValueError(f"run {run}: the messages stopped before its end")
     for _ in range(tries):
         history = json.loads(send("GET", f"{base}/history/{run}", None)[1])
         if run in history:
@@ -60,9 +72,9 @@ def _execute(payload: str, base: str, send: Transport, tries: int, pause: float)
     return body
 
 
-def remote_backend(settings: Settings, send: Transport, tries: int = 600, pause: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+def remote_backend(settings: Settings, send: Transport, tries: int = 600, pause: float = 1.0, listen: Listener | None = None) -> Callable[[DataFrame], DataFrame]:
     """A backend for `requests.inpaint`: from (request_id, workflow, ...) to (request_id, result, failed)."""
-    base = settings.http_url
+    base, socket = settings.http_url, settings.ws_url
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = str(uuid.uuid4())
@@ -70,7 +82,8 @@ def remote_backend(settings: Settings, send: Transport, tries: int = 600, pause:
             out = []
             for r in pdf.itertuples(index=False):
                 try:
-                    out.append((r.request_id, _execute(client.join(r.payload.rsplit("__client__", 1)), base, send, tries, pause), None))
+                    messages = listen(f"{socket}?clientId={client}") if listen else None
+                    out.append((r.request_id, _execute(client.join(r.payload.rsplit("__client__", 1)), base, send, tries, pause, messages), None))
                 except OSError as e:
                     out.append((r.request_id, None, f"connection: {e}"))
                 except (ValueError, KeyError) as e:

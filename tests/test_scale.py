@@ -82,3 +82,33 @@ def test_settings_of_deployments(spark):
     plain = config.Settings()
     assert found["a"]["port"] == 7 and found["b"]["port"] == plain.port and found["b"]["http_url"] == plain.http_url and found["a"]["max_cache_bytes"] == plain.max_cache_bytes
     assert {k: found["b"][k] for k in ("source_dir", "sent_dir", "ws_url")} == {"source_dir": plain.source_dir, "sent_dir": plain.sent_dir, "ws_url": plain.ws_url}
+
+
+def test_runs_are_waited_for_by_messages(spark):
+    """The socket is open before a run is submitted; other runs' ends, progress and binary messages are passed over."""
+    import json
+
+    from rasterloom.sources.backend import remote_backend
+
+    def send(method, url, body):
+        if method == "POST":
+            return 200, json.dumps({"prompt_id": json.loads(body)["prompt"]["case"]}).encode()
+        if "/history/" in url:
+            case = url.rpartition("/")[2]
+            return 200, json.dumps({case: {"outputs": {"1": {"images": [{"filename": "f", "subfolder": "", "type": "output"}]}}}}).encode()
+        return 200, b"image"
+
+    def listen(url):
+        assert url.startswith("ws://") and len(url.rpartition("clientId=")[2]) == 36
+        yield b"binary"
+        for kind, node, run in (("status", None, None), ("executing", "3", "good"), ("executing", None, "other"), ("executing", None, "good")):
+            yield json.dumps({"type": kind, "data": {"node": node, "prompt_id": run}})
+        raise AssertionError("read past the end message of the good run")
+
+    def short(url):
+        return iter(())
+
+    ready = spark.createDataFrame([("a", json.dumps({"case": "good"}))], "request_id string, workflow string")
+    settings = config.Settings()
+    assert bytes(remote_backend(settings, send, listen=listen)(ready).first()["result"]) == b"image"
+    assert "messages stopped" in remote_backend(settings, send, listen=short)(ready).first()["failed"]
