@@ -4,7 +4,7 @@ Documents are encoded once and cut into pieces of at most the capacity. Only the
 most `capacity` entries whatever the corpus, reaches the driver. There, patterns of one to four lengths that fill a
 sequence exactly are enumerated, repeat counts are fitted to the histogram by non-negative least squares (coordinate
 descent, of a bounded number of sweeps) and rounded within what is there, and best fit decreasing, over lengths with
-their counts, packs the rest; of some ways to round, that with the fewest sequences is taken. The plan's size
+their counts, packs the rest; of some ways to choose and round, that with the fewest sequences is taken. The plan's size
 depends on the capacity alone, so it may be broadcast; each piece finds its place from its length and its rank among
 the pieces of that length, and ranks are counted in salted parts, since one length can hold a third of all pieces.
 """
@@ -29,8 +29,9 @@ from rasterloom.llm.common import grouped, written
 #: Shares of what the first document leaves, for the second of three, and for the second and third of four.
 SHARES = (0.5, 0.6, 0.7, 0.8, 0.9)
 SWEEPS = 12
-#: How repeat counts become whole numbers: the plan that needs the fewest sequences counts, the first of several. Small
-#: counts say little about a pattern, so leaving more to best fit can be better.
+#: How repeat counts become whole numbers. Small counts say little about a pattern, so leaving more to best fit can be
+#: better; so can keeping short pieces for long ones, by patterns of two lengths at most. Of the plans made with each,
+#: the one that needs the fewest sequences is taken, the first of several.
 ROUNDINGS = (round, math.floor, lambda x: math.floor(x / 2))
 #: Pieces of one length to a salted part of the ranking.
 PART = 65_536
@@ -175,20 +176,19 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    columns = patterns(capacity)
-    fitted = fit(counts, columns)
-    tried = []
-    for whole in ROUNDINGS:
-        chosen, left = [], counts.copy()
-        for p, x in zip(columns, fitted, strict=True):
-            if x >= 0.5:
+    columns, tried = patterns(capacity), []
+    for some in (columns, [p for p in columns if len(p) < 3]):
+        fitted = [(p, x) for p, x in zip(some, fit(counts, some), strict=True) if x >= 0.5]
+        for whole in ROUNDINGS:
+            chosen, left = [], counts.copy()
+            for p, x in fitted:
                 need = {v: p.count(v) for v in p}
                 if (n := min([whole(x), *(int(left[v]) // k for v, k in need.items())])) > 0:
                     chosen.append((tuple(need.items()), n))
                     for v, k in need.items():
                         left[v] -= n * k
-        chosen += best_fit({int(v): int(left[v]) for v in np.flatnonzero(left)}, capacity)
-        tried.append(chosen)
+            chosen += best_fit({int(v): int(left[v]) for v in np.flatnonzero(left)}, capacity)
+            tried.append(chosen)
     chosen = min(tried, key=lambda c: sum(n for _, n in c))
     slots, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
     for lengths, n in chosen:
