@@ -9,9 +9,11 @@ short shingles; they become one component each by a star around the group's cent
 Two texts agree in a min-wise hash as often as their sets of shingles overlap, whatever edit made one of the other. A
 text has BANDS keys of ROWS hashes each, and texts that share a key are compared: of pairs at a similarity of 0.8,
 three in a million share none. Every pair of texts of a key is compared unless the two are connected already. So that
-a dense group proposes few pairs, passes over some bands each compare texts with one centre of their key first, the
-text that agrees with most of its others; all pairs of a key whose texts are still in different groups follow,
-crowded keys in blocks. What is proposed counts only if the shingles are similar enough.
+a dense group proposes few pairs, two passes over some bands each compare texts with one centre of their key first,
+the text that agrees with most of its others, and one pass compares each text with that of its key which agrees
+with it most; all pairs of a key whose texts are still in different groups follow, crowded keys in blocks. Wide
+signatures tell most strangers of a key apart before their texts are read. What is proposed counts only if the
+shingles are similar enough.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from rasterloom.llm.simhash import fingerprint, fingerprint_links
 #: A pair of similarity J shares no key with probability (1 - J ** ROWS) ** BANDS.
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+#: Hashes of the signatures of texts that share a key, by which pairs are told apart before their texts are read.
+WIDE = 1024
 #: Odd multipliers: each makes another order of the hashes of shingles.
-ORDERS = np.random.default_rng(1).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+ORDERS = np.random.default_rng(1).integers(0, 1 << 31, WIDE, np.uint32) * np.uint32(2) + np.uint32(1)
 #: Standard deviations below its mean at which the number of equal hashes of a pair is too small for the pair to be read.
 SPREADS = 4.5
 #: Words to a shingle, and bits that may differ, of the fingerprints; no result depends on them.
 FINGERPRINT_WORDS, FINGERPRINT_BITS = 2, 4
-#: Bands of each pass in which texts are compared with a central one only; no result depends on it.
-STARS = (range(4), range(4, 12), range(12, BANDS))
+#: The first bands, whose keys' central texts are compared together with close copies, before those of all others.
+FIRST = 8
 #: Texts of a key that a task compares with each other at once.
 BLOCK = 1024
 STRIDE = 4096
@@ -56,13 +60,14 @@ def similarity(a: bytes, b: bytes, size: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def signature(text: bytes, size: int) -> bytes:
-    """A byte of each of the min-wise hashes of the shingles."""
+def signature(text: bytes, size: int, hashes: int = HASHES) -> bytes:
+    """A byte of each of the first `hashes` min-wise hashes of the shingles."""
     parts = list(map(b" ".join, shingles(text, size)))
     values = np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, len(parts))
-    least = np.full(HASHES, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(values), STRIDE):
-        np.minimum(least, (ORDERS[:, None] * values[at : at + STRIDE]).min(1), out=least)
+    least, orders = np.full(hashes, (1 << 32) - 1, np.uint32), ORDERS[:hashes, None]
+    step = STRIDE * HASHES // hashes
+    for at in range(0, len(values), step):
+        np.minimum(least, (orders * values[at : at + step]).min(1), out=least)
     return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
@@ -79,47 +84,76 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, fp long, sig binary")
 
 
-def _matrix(signatures: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, HASHES)
+def _wide(texts: DataFrame, shingle: int) -> DataFrame:
+    """(h, sig): wide signatures of rows (h, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([signature(x.as_py(), shingle, WIDE) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["h", "sig"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, sig binary")
+
+
+def _matrix(signatures: pa.Array, hashes: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, hashes)
 
-def _key_rows(distinct: DataFrame, bands: range) -> DataFrame:
-    """(key, h, comp) for each of the bands of rows (h, comp, sig); a band's number stands above its hashes."""
+
+def _enough(least: float, hashes: int) -> float:
+    return hashes * least - SPREADS * (hashes * least * (1 - least)) ** 0.5
+
+
+def _key_rows(distinct: DataFrame) -> DataFrame:
+    """(key, h) for each band of rows (h, sig); a band's number stands above its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = _matrix(batch.column(2)).reshape(-1, BANDS, ROWS)[:, bands.start : bands.stop].astype(np.int64)
-            keys = (parts << np.arange(ROWS) * 8).sum(axis=2) | np.array(bands) << 8 * ROWS
-            h, comp = (pa.array(np.repeat(batch.column(c).to_numpy(), len(bands))) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), h, comp], ["key", "h", "comp"])
-
-    return distinct.select("h", "comp", "sig").mapInArrow(run, "key long, h long, comp long")
+            parts = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(np.int64)
+            keys = (parts << np.arange(ROWS) * 8).sum(axis=2) | np.arange(BANDS) << 8 * ROWS
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "h"])
 
+    return distinct.select("h", "sig").mapInArrow(run, "key long, h long")
 
-def _pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, p, q, block, h, comp, sig), which are dealt and in order of the first three: of texts
-    of blocks p and q whose comp differs and whose signatures may be those of similar texts. A pair comes of the first
-    key that it shares only."""
-    enough = HASHES * least - SPREADS * (HASHES * least * (1 - least)) ** 0.5
 
+def _pairs(live: DataFrame, wide: DataFrame, least: float, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of texts of rows (key, n, h, comp) that share a key, whose comp differs and whose signatures may be
+    those of similar texts. A pair comes of the first key that it shares only. nearest: of each text's pairs in a key
+    (or in two of its blocks), only that with the most equal hashes, so pairs are as few as the rows."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("h"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("p"), F.greatest(b, own).alias("q")))
+    dealt = live.select("key", own.alias("block"), "h", "comp", F.explode(others).alias("o")).select("key", "o.*", "block", "h", "comp")
+    rows = dealt.join(wide, "h").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     def compare(t: pa.Table) -> pa.RecordBatch:
         band = t["key"][0].as_py() >> 8 * ROWS
-        block, h, comp, sig = t["block"].to_numpy(), t["h"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"])
+        block, h, comp, sig = t["block"].to_numpy(), t["h"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"], WIDE)
         x, y = np.flatnonzero(block == t["p"][0].as_py()), np.flatnonzero(block == t["q"][0].as_py())
         equal = np.zeros((len(x), len(y)), np.uint8)
         if len(x) * len(y) <= 4096:
-            equal = (sig[x][:, None] == sig[y][None]).sum(axis=2)
+            equal = (sig[x, :HASHES][:, None] == sig[y, :HASHES][None]).sum(axis=2)
         else:
             for k in range(HASHES):
                 equal += sig[x, k][:, None] == sig[y, k]
-        near = (equal >= enough) & (comp[x][:, None] != comp[y])
+        near = (equal >= _enough(least, HASHES)) & (comp[x][:, None] != comp[y])
         if t["p"][0] == t["q"][0]:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
+        equal = np.zeros(near.shape, np.int32)
+        for at in range(0, len(i), STRIDE):
+            u, v = i[at : at + STRIDE], j[at : at + STRIDE]
+            equal[u, v] = (sig[x[u]] == sig[y[v]]).sum(axis=1)
+        near &= equal >= _enough(least, WIDE)
+        if nearest and near.any():
+            value = np.where(near, equal, 0)
+            near = np.zeros_like(near)
+            near[np.arange(len(x)), value.argmax(axis=1)] = True
+            near[value.argmax(axis=0), np.arange(len(y))] = True
+            near &= value > 0
+        i, j = np.nonzero(near)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(i), STRIDE):
             u, v = x[i[at : at + STRIDE]], y[j[at : at + STRIDE]]
-            first = (sig[u] == sig[v]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            first = nearest | ((sig[u, :HASHES] == sig[v, :HASHES]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
             a.append(h[u[first]])
             b.append(h[v[first]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -140,11 +174,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _live(distinct: DataFrame, bands: range) -> DataFrame:
-    """(key, n, h, comp): rows of the bands' keys whose n texts aren't all connected."""
-    keys = _key_rows(distinct, bands)
-    mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return keys.join(mixed.select("key", "n"), "key")
+def _shared(distinct: DataFrame) -> DataFrame:
+    """(key, n, h): rows of the keys that n texts share."""
+    keys = _key_rows(distinct)
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _live(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, h, comp): rows of the keys whose texts aren't all known to be connected by labels (node, root)."""
+    rows = shared.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "n", "h", F.coalesce("root", "h").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return rows.join(mixed, "key")
 
 
 def _stars(live: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -180,11 +220,6 @@ def _close_copies(distinct: DataFrame) -> DataFrame:
     return pairs
 
 
-def _labelled(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """distinct with comp, the root of each text's component."""
-    return distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
-
-
 def _groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Tables, written: (id, h) of each row; (h, first, comp) of each distinct text, by its smallest id and its group."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -193,39 +228,35 @@ def _groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col:
     found = written(signed.select("id", "h"))
     distinct = written(signed.groupBy("h").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("sig").alias("sig")))
     forget(signed)
-    similar: list[DataFrame] = []
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-        return rows.hint("merge").join(named, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Components by all links found so far; pairs (written) go."""
-        texts = written(texts_of(pairs))
-        similar.append(written(_verified(pairs, texts, shingle, least)))
-        forget(pairs, texts)
-        all_links = similar[0]
-        for more in similar[1:]:
-            all_links = all_links.union(more)
-        return connected_components(all_links)
-
-    roots = verify(_close_copies(distinct))
-    for bands in STARS:
-        live = written(_live(_labelled(distinct, roots), bands))
-        pairs = written(_stars(live, distinct))
-        forget(live, roots)
-        roots = verify(pairs)
-
-    live = written(_live(_labelled(distinct, roots), range(BANDS)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("p"), F.greatest(b, own).alias("q")))
-    dealt = live.select("key", own.alias("block"), "h", "comp", F.explode(others).alias("o")).select("key", "o.*", "block", "h", "comp")
-    dealt = dealt.join(distinct.select("h", "sig"), "h").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = written(_pairs(dealt, least))
-    forget(live, roots)
-    roots = verify(pairs)
-    groups = written(_labelled(distinct.select("h", "first"), roots))
-    forget(roots, distinct, *similar)
+    shared, close = written(_shared(distinct)), _close_copies(distinct)
+    named = shared.select("h").union(close.select(F.col("a").alias("h"))).union(close.select("b")).distinct()
+    # written once: of all texts, those that something proposes
+    texts = written(rows.join(named, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
+    wide = written(_wide(texts, shingle))
+
+    in_first = F.col("key") < FIRST << 8 * ROWS
+    alone = distinct.select(F.col("h").alias("node"), F.col("h").alias("root")).limit(0)
+    pairs = written(close.union(_stars(_live(shared.where(in_first), alone), distinct).select("a", "b")).distinct())
+    forget(close)
+    stars = written(_verified(pairs, texts, shingle, least))
+    forget(pairs)
+    # what a text was found similar to stands for its group in the next pass
+    nearest = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    pairs = written(_stars(_live(shared.where(~in_first), nearest), distinct))
+    more = written(_verified(pairs, texts, shingle, least))
+    forget(pairs)
+    roots = connected_components(stars.union(more))
+    forget(stars, more)
+
+    for nearest in (True, False):
+        pairs = written(_pairs(_live(shared, roots), wide, least, nearest).distinct())
+        # a root stands for its group
+        trees = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        before, roots = roots, connected_components(trees.union(_verified(pairs, texts, shingle, least)))
+        forget(before, pairs)
+    named = distinct.select("h", "first").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    groups = written(named.select("h", "first", F.coalesce("root", "h").alias("comp")))
+    forget(shared, texts, wide, roots, distinct)
     return found, groups
 
 
