@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import free_name, small_batches, table, written
+from rasterloom.llm.common import forget, free_name, small_batches, table, written
 from rasterloom.llm.entry import labelled_quality
 from rasterloom.llm.language import fit_language, identify_language
 from rasterloom.llm.neardup import without_near_duplicates as drop_near_duplicates
@@ -60,6 +60,8 @@ STAGES = [("quality", good_quality), ("language", known_language), ("near_duplic
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
