@@ -299,9 +299,9 @@ def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log records: clicks are infos, errors errors, views warnings, all else is below."""
     level = F.when(F.col("event_type") == "click", "INFO").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARNING").otherwise("DEBUG")
-    logger = F.when(F.col("user_id") % 3 == 0, "uvicorn").when(F.col("user_id") % 3 == 1, "core").otherwise("other")
+    logger = F.when(F.col("user_id") % 3 == 0, "web").when(F.col("user_id") % 3 == 1, "core").otherwise("other")
     log = table(spark, sf_dir, "events").select("event_id", level.alias("level"), logger.alias("logger"))
-    return requests.labelled(log, {"uvicorn": "server", "core": "engine"}).select("event_id", "label")
+    return requests.labelled(log, {"web": "server", "core": "engine"}).select("event_id", "label")
 
 
 @query("SELECT r_regionkey AS id, x::INTEGER AS x, y::INTEGER AS y, 7 AS v FROM region, range(8) a(x), range(5) b(y)")
@@ -324,7 +324,7 @@ def message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.parse_messages(frames).drop("value")
 
 
-TEMPLATE = """{"28": {"class_type": "KSampler", "inputs": {"seed": 1, "model": ["4", 0]}, "_meta": {"title": "s"}}, "7": {"class_type": "Text", "inputs": {"text": "base", "clip": ["4", 1]}},
+TEMPLATE = """{"28": {"class_type": "Sampler", "inputs": {"seed": 1, "model": ["4", 0]}, "_meta": {"title": "s"}}, "7": {"class_type": "Text", "inputs": {"text": "base", "clip": ["4", 1]}},
     "8": {"class_type": "Text", "inputs": {"text": "", "clip": ["4", 1]}}, "30": {"class_type": "Load", "inputs": {"image": "x"}}, "47": {"class_type": "Load", "inputs": {}}, "4": {"class_type": "Model", "inputs": {"name": "é"}}}"""
 
 
