@@ -250,6 +250,9 @@ def _groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col:
 
     for nearest in (True, False):
         pairs = written(_pairs(_live(shared, roots), wide, least, nearest).distinct())
+        if not pairs.limit(1).count():  # then no two texts of a key are left to compare
+            forget(pairs)
+            break
         # a root stands for its group
         trees = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         before, roots = roots, connected_components(trees.union(_verified(pairs, texts, shingle, least)))
