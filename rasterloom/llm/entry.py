@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm.bytetokens import byte_token_round_trip
 from rasterloom.llm.common import fold, hash_sample, table
 from rasterloom.llm.embeddings import embedding_components
+from rasterloom.llm.importance import importance_draw
 from rasterloom.llm.language import fit_language, identify_language
 from rasterloom.llm.lm import lm_scores
 from rasterloom.llm.media import text_media
@@ -76,6 +78,14 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bytetokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -87,6 +97,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_tokencounts": op9_tokencounts,
     "op10_urlfilter": op10_urlfilter,
+    "op11_importance": op11_importance,
+    "op13_bytetokens": op13_bytetokens,
 }
 
 SQL = {
