@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.bytetokens import byte_token_round_trip
 from rasterloom.llm.common import fold, hash_sample, table
+from rasterloom.llm.conversations import damaged, repaired_conversations
 from rasterloom.llm.embeddings import embedding_components
 from rasterloom.llm.importance import importance_draw
 from rasterloom.llm.language import fit_language, identify_language
@@ -82,6 +83,11 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repaired_conversations(damaged(turns), ids=turns)
+
+
 def op13_bytetokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_tokencounts": op9_tokencounts,
     "op10_urlfilter": op10_urlfilter,
     "op11_importance": op11_importance,
+    "op12_conversations": op12_conversations,
     "op13_bytetokens": op13_bytetokens,
 }
 
