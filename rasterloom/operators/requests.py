@@ -15,6 +15,7 @@ from rasterloom.functions.text import default_seed, extension, unpack_base64
 from rasterloom.operators.patches import alpha_masks, patches
 from rasterloom.operators.workflow import bind
 from rasterloom.schemas import NEGATIVE_PROMPT
+from rasterloom.scratch import written
 
 REQUIRED = ("source_id", "prompt", "mask_image_base64")
 
@@ -67,9 +68,11 @@ def inpaint(requests: DataFrame, sources: DataFrame, template: str, backend: Cal
         .when(F.col("sent.error").isNotNull(), "mask").when(F.col("error").isNotNull(), "workflow")
     )
     detail = F.coalesce("invalid", F.when(F.col("source_path").isNull(), "source is not cached"), F.when(F.col("mask").isNull(), "incorrect padding"), "sent.error", "error")
-    judged = bound.withColumns({"kind": kind, "detail": F.when(kind.isNotNull(), detail)})
-    ready = judged.where("kind is null").select("request_id", "workflow", "source_id", F.col("sent.content").alias("mask"))
-    answered = judged.select("request_id", "mask", "kind", "detail").join(backend(ready), "request_id", "left")
+    # both are written: each mask is drawn once, and a lost executor submits no run again
+    judged = written(bound.select("request_id", "source_id", "mask", "workflow", F.when(kind.isNull(), F.col("sent.content")).alias("sent"), kind.alias("kind"), F.when(kind.isNotNull(), detail).alias("detail")))
+    ready = judged.where("kind is null").select("request_id", "workflow", "source_id", F.col("sent").alias("mask"))
+    answers = written(backend(ready))
+    answered = judged.select("request_id", "mask", "kind", "detail").join(answers, "request_id", "left")
     refused = F.when(F.col("failed").startswith("connection"), "connection").when(F.col("failed").isNotNull(), "backend")
     answered = answered.withColumns({"kind": F.coalesce("kind", refused), "detail": F.coalesce("detail", "failed")})
     cut = answered.withColumn("patch", F.when(F.col("kind").isNull(), patches(F.col("result"), F.col("mask"))))

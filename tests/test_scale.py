@@ -1,7 +1,11 @@
 """Cases that grow: many paths, many ends of a run, many accesses at one time, and interlaced or filtered images."""
 
+import json
+import os
+import pathlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +15,8 @@ from pyspark.sql import functions as F
 from rasterloom import config
 from rasterloom.functions import png
 from rasterloom.operators import cache, patches, progress, workflow
+from rasterloom.plans import catalogue
+from rasterloom.sources.backend import fetch_results, remote_backend, submit_runs
 
 
 def test_depths_of_a_ladder(spark):
@@ -84,31 +90,105 @@ def test_settings_of_deployments(spark):
     assert {k: found["b"][k] for k in ("source_dir", "sent_dir", "ws_url")} == {"source_dir": plain.source_dir, "sent_dir": plain.sent_dir, "ws_url": plain.ws_url}
 
 
-def test_runs_are_waited_for_by_messages(spark):
-    """The socket is open before a run is submitted; other runs' ends, progress and binary messages are passed over."""
-    import json
+IMAGE = {"outputs": {"1": {"images": [{"filename": "f", "subfolder": "", "type": "output"}]}}}
 
-    from rasterloom.sources.backend import remote_backend
+
+class Socket:
+    """A connection that notes when it was opened and plays messages."""
+
+    def __init__(self, url, messages, log):
+        self.messages, self.log = iter(messages), log
+        log(f"open {url.rpartition('clientId=')[2]}")
+
+    def recv(self):
+        return next(self.messages)
+
+    def close(self):
+        self.log("close")
+
+
+def test_runs_are_waited_for_by_messages(spark, tmp_path):
+    """The socket is open before a run is submitted, each request has its own client; other runs' ends, progress and
+    binary messages are passed over."""
+    folder = str(tmp_path)
+
+    def log(line):
+        with open(f"{folder}/calls", "a") as f:
+            f.write(line + "\n")
 
     def send(method, url, body):
         if method == "POST":
+            log("post " + json.loads(body)["client_id"])
             return 200, json.dumps({"prompt_id": json.loads(body)["prompt"]["case"]}).encode()
         if "/history/" in url:
-            case = url.rpartition("/")[2]
-            return 200, json.dumps({case: {"outputs": {"1": {"images": [{"filename": "f", "subfolder": "", "type": "output"}]}}}}).encode()
+            return 200, json.dumps({url.rpartition("/")[2]: IMAGE}).encode()
         return 200, b"image"
 
-    def listen(url):
-        assert url.startswith("ws://") and len(url.rpartition("clientId=")[2]) == 36
-        yield b"binary"
-        for kind, node, run in (("status", None, None), ("executing", "3", "good"), ("executing", None, "other"), ("executing", None, "good")):
-            yield json.dumps({"type": kind, "data": {"node": node, "prompt_id": run}})
-        raise AssertionError("read past the end message of the good run")
+    def connect(url):
+        assert url.startswith("ws://")
+        frames = [("status", None, None), ("executing", "3", "good"), ("executing", None, "other"), ("executing", None, "good"), ("executing", None, "better")]
+        return Socket(url, [b"binary", *(json.dumps({"type": kind, "data": {"node": node, "prompt_id": run}}) for kind, node, run in frames)], log)
 
-    def short(url):
-        return iter(())
+    def lazy(url):
+        log("open " + url)
+        yield "{}"
 
-    ready = spark.createDataFrame([("a", json.dumps({"case": "good"}))], "request_id string, workflow string")
+    ready = spark.createDataFrame([("a", json.dumps({"case": "good"})), ("b", json.dumps({"case": "better"}))], "request_id string, workflow string").coalesce(1)
     settings = config.Settings()
-    assert bytes(remote_backend(settings, send, listen=listen)(ready).first()["result"]) == b"image"
-    assert "messages stopped" in remote_backend(settings, send, listen=short)(ready).first()["failed"]
+    assert {bytes(r["result"]) for r in remote_backend(settings, send, connect=connect)(ready).collect()} == {b"image"}
+    calls = (tmp_path / "calls").read_text().split("\n")
+    clients = [c.split()[1] for c in calls if c.startswith("open")]
+    assert len(set(clients)) == 2 and calls[:4] == [f"open {clients[0]}", f"post {clients[0]}", f"open {clients[1]}", f"post {clients[1]}"] and calls.count("close") == 2
+    assert "messages stopped" in remote_backend(settings, send, connect=lambda url: Socket(url, [], log))(ready).first()["failed"]
+    (tmp_path / "calls").write_text("")
+    with pytest.raises(Exception, match="open connection"):
+        remote_backend(settings, send, connect=lazy)(ready).collect()
+    assert (tmp_path / "calls").read_text() == ""  # nothing was submitted to a socket that isn't open
+
+
+def test_a_hundred_runs_at_once(spark, tmp_path):
+    """One task submits all of its runs before it asks for any, and takes about as long as one of them."""
+    folder = str(tmp_path)
+
+    def send(method, url, body):
+        case = json.loads(body)["prompt"]["case"] if method == "POST" else url.rpartition("/")[2]
+        if method == "POST":
+            (pathlib.Path(folder) / case).write_text(str(time.time() + 1))
+            return 200, json.dumps({"prompt_id": case}).encode()
+        if "/history/" in url:
+            assert len(os.listdir(folder)) == 100
+            return 200, json.dumps({case: IMAGE} if time.time() > float((pathlib.Path(folder) / case).read_text()) else {}).encode()
+        return 200, b"image"
+
+    ready = spark.createDataFrame([(i, json.dumps({"case": f"c{i}"})) for i in range(100)], "request_id int, workflow string").coalesce(1)
+    found = remote_backend(config.Settings(), send, pause=0.1)(ready).collect()
+    assert len(found) == 100 and all(bytes(r["result"]) == b"image" for r in found)
+
+
+def test_steps_without_waiting(spark):
+    def send(method, url, body):
+        if method == "POST":
+            case = json.loads(body)["prompt"]["case"]
+            if case == "down":
+                raise OSError("refused")
+            return (200, json.dumps({"prompt_id": case}).encode()) if case != "bad" else (400, b"no")
+        case = url.rpartition("/")[2]
+        if "/history/" in url:
+            return 200, json.dumps({} if case == "slow" else {case: IMAGE}).encode()
+        return 200, b"image"
+
+    ready = spark.createDataFrame([(c, json.dumps({"case": c})) for c in ("good", "slow", "bad", "down")], "request_id string, workflow string")
+    sent = submit_runs(ready, config.Settings(), send).cache()
+    got = {r["request_id"]: r for r in sent.collect()}
+    assert [got[c]["prompt_id"] for c in ("good", "slow", "bad", "down")] == ["good", "slow", None, None] and len({r["client_id"] for r in got.values()}) == 4
+    assert (got["bad"]["failed"], got["down"]["failed"]) == ("backend refused the run: no", "connection: refused") and all(r["ts"] for r in got.values())
+    found = {r["request_id"]: r for r in fetch_results(sent.where("prompt_id is not null"), config.Settings(), send).collect()}
+    assert bytes(found["good"]["result"]) == b"image" and found["slow"]["failed"] == "run slow hasn't ended" and len(found) == 2
+
+
+def test_inpaint_draws_masks_once(spark, small):
+    """The final plan reads what was written: of the functions on bytes only the patches' is left in it."""
+    found = catalogue.inpaint_responses(spark, small)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
