@@ -30,6 +30,53 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     })
 
 
+#: Fields of a request's body, their types, and what stands for those that may be left out.
+FIELDS = {"source_id": ("string", None), "prompt": ("string", None), "negative_prompt": ("string", NEGATIVE_PROMPT), "mask_image_base64": ("string", None), "seed": ("int", 0)}
+
+
+def _problem(name: str, body: Column) -> Column:
+    """What is wrong with a field of a body (variant); null if nothing is. An explicit null isn't a missing field."""
+    kind, default = FIELDS[name]
+    value = F.try_variant_get(body, f"$.{name}", "variant")
+    found, text = F.schema_of_variant(value), F.try_variant_get(body, f"$.{name}", "string")
+    if kind == "string":
+        wrong = F.when(found != "STRING", "string_type")
+    else:
+        number = found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        whole = F.coalesce(F.rint(text.try_cast("double")) == text.try_cast("double"), F.lit(False))
+        wrong = (
+            F.when(number & ~whole, "int_from_float").when(number | (found == "BOOLEAN"), None).when((found == "STRING") & ~text.rlike(r"^\s*[+-]?\d+\s*$"), "int_parsing")
+            .when(found != "STRING", "int_type")
+        )
+        wrong = F.when(wrong.isNull() & found.isNotNull() & _whole_number(body, name).isNull(), "int_range").otherwise(wrong)
+    return F.when(value.isNull() & found.isNull(), F.lit("missing") if default is None else F.lit(None).cast("string")).otherwise(wrong)
+
+
+def _whole_number(body: Column, name: str) -> Column:
+    text = F.trim(F.try_variant_get(body, f"$.{name}", "string"))
+    return F.when(text == "true", 1).when(text == "false", 0).otherwise(F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,9)").try_cast("bigint"), text.try_cast("double").try_cast("bigint"))).cast("bigint")
+
+
+def validated(bodies: DataFrame, key: str = "request_id", text: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Raw JSON bodies (key, text, and others) as requests (the other columns, and schemas.INPAINT_REQUEST), and the
+    rejected fields (key, field, problem).
+
+    Bodies with a rejected field are no requests. Absent fields have their default, or are missing; a null or a value
+    of another type is a problem of its field. Whole numbers may come as text, as 3.0 or as booleans; those beyond 64
+    bits are rejected. What isn't JSON, or no object, has a problem without a field. Of unknown fields nothing is
+    said."""
+    parsed = bodies.withColumn("__body", F.try_parse_json(text))
+    kind = F.schema_of_variant("__body")
+    whole = F.when(F.col("__body").isNull(), "json_invalid").when(~kind.startswith("OBJECT"), "model_type")
+    each = F.array_compact(F.array(*[F.when((p := _problem(n, F.col("__body"))).isNotNull(), F.struct(F.lit(n).alias("field"), p.alias("problem"))) for n in FIELDS]))
+    problems = F.when(whole.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("field"), whole.alias("problem")))).otherwise(each)
+    judged = parsed.withColumn("__problems", problems)
+    value = lambda n: _whole_number(F.col("__body"), n) if FIELDS[n][0] == "int" else F.try_variant_get("__body", f"$.{n}", "string")
+    fields = [F.coalesce(value(n), F.lit(default).cast("bigint" if k == "int" else "string")).alias(n) for n, (k, default) in FIELDS.items()]
+    accepted = judged.where(F.size("__problems") == 0).select(*[c for c in bodies.columns if c != text], *fields)
+    return accepted, judged.select(key, F.explode("__problems").alias("p")).select(key, "p.field", "p.problem")
+
+
 def uploads(requests: DataFrame, directory: str) -> DataFrame:
     """(source_id, status, path, content) of uploads: where each source is kept."""
     path = F.concat(F.lit(directory + "/"), "source_id", extension(F.col("filename")))

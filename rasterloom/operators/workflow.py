@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.text import merge_prompt, normal_path
@@ -86,23 +87,87 @@ def bind(requests: DataFrame, template: str) -> DataFrame:
     return requests.select("*", F.concat(*pieces).alias("workflow"), F.lit(None).cast("string").alias("error"))
 
 
-def depths(found_edges: DataFrame, found_nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """(node_id, depth): the longest path from a root, level by level. A level holds each node once, however many paths
-    lead to it; a graph with a cycle, or deeper than `most`, raises."""
-    pairs = written(found_edges.select("src", "dst").distinct())
-    level = written(found_nodes.select("node_id").distinct().join(pairs.select(F.col("dst").alias("node_id")), "node_id", "left_anti"))
-    levels, depth = [level], 0
-    while level.limit(1).count():
-        depth += 1
-        if depth > most:
-            raise ValueError(f"the graph has a cycle, or is deeper than {most}")
-        level = written(level.join(pairs, level["node_id"] == pairs["src"]).select(F.col("dst").alias("node_id")).distinct())
-        levels.append(level)
-    reached = levels[0].withColumn("depth", F.lit(0))
-    for k, one in enumerate(levels[1:-1], 1):
-        reached = reached.union(one.withColumn("depth", F.lit(k)))
-    out = written(reached.groupBy("node_id").agg(F.max("depth").alias("depth")))
-    forget(pairs, *levels)
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Written, and the number of its rows, which the same job counts."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def _twice(step: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs that a way of the one and a way of the other connect."""
+    return step.join(other.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
+
+
+def _powers(pairs: DataFrame, nodes: int) -> tuple[list[DataFrame], bool]:
+    """Pairs (src, dst) with a way of exactly 1, 2, 4, ... edges, as long as there are any; and whether there is one of
+    as many edges as there are nodes, so that one goes round in a circle."""
+    step, n = _counted(pairs)
+    powers, length = [], 1
+    while n:
+        powers.append(step)
+        if length >= nodes:
+            return powers, True
+        step, n = _counted(_twice(step, step))
+        length *= 2
+    forget(step)
+    return powers, False
+
+
+def depths(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
+    """(node_id, depth): the longest path from a root; a graph with a cycle raises. For nodes and edges (src, dst).
+
+    Ways of 1, 2, 4, ... edges are worked out from each other; then, from the longest down, every node goes back by
+    them as far as it can. So the rounds are twice the depth's binary digits, however deep the graph is."""
+    nodes = written(found_nodes.select("node_id").distinct())
+    powers, circle = _powers(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct(), max(1, nodes.count()))
+    if circle:
+        forget(nodes, *powers)
+        raise ValueError("the graph has a cycle")
+    # at: where ways of the node's length so far begin
+    front = nodes.select("node_id", F.col("node_id").alias("at"), F.lit(0).alias("depth"))
+    made = [nodes]
+    for k in range(len(powers) - 1, -1, -1):
+        back = front.join(powers[k].select(F.col("dst").alias("at"), "src"), "at").select("node_id", F.col("src").alias("at"), (F.col("depth") + (1 << k)).alias("depth"))
+        both = front.union(back).groupBy("node_id", "at").agg(F.max("depth").alias("depth"))
+        longest = F.max("depth").over(Window.partitionBy("node_id"))
+        front = written(both.withColumn("most", longest).where("depth = most").drop("most"))
+        made.append(front)
+    out = front.groupBy("node_id").agg(F.max("depth").alias("depth"))
+    if not powers:
+        return out
+    out = written(out)
+    forget(*powers, *made)
+    return out
+
+
+def reach(found_edges: DataFrame) -> DataFrame:
+    """(src, dst) of all nodes that a path of one edge or more leads between. A round joins the pairs so far with
+    themselves and doubles the length of the paths that are known."""
+    pairs, n = _counted(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    while n:
+        more, m = _counted(pairs.union(_twice(pairs, pairs)).distinct())
+        forget(pairs)
+        pairs = more
+        if m == n:
+            break
+        n = m
+    return pairs
+
+
+def cycles(found_edges: DataFrame) -> DataFrame:
+    """(node_id) of the nodes that are on a cycle. First all that no long way leads to or from are trimmed, by ways of
+    1, 2, 4, ... edges; what stays lies on cycles or between them, and of that the closure tells who reaches itself."""
+    pairs = written(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    nodes = pairs.select(F.col("src").alias("node_id")).union(pairs.select("dst")).distinct().count()
+    powers, circle = _powers(pairs, max(1, nodes))
+    if not circle:
+        forget(*powers)
+        return pairs.select(F.col("src").alias("node_id")).limit(0)
+    core = powers[-1].select(F.col("src").alias("node_id")).intersect(powers[-1].select(F.col("dst").alias("node_id")))
+    inside = pairs.join(core.withColumnRenamed("node_id", "src"), "src", "left_semi").join(core.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    out = written(reach(inside).where("src = dst").select(F.col("src").alias("node_id")))
+    forget(pairs, *powers)
     return out
 
 
@@ -113,3 +178,102 @@ def sinks(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
 def dangling(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
     """Edges whose producer isn't in the document."""
     return found_edges.join(found_nodes.select(F.col("node_id").alias("src")), "src", "left_anti")
+
+
+def _is_text(value: Column) -> Column:
+    """Whether a variant is a string."""
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def quoted(c: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def _member(key: Column, raw: Column, typed: Column) -> Column:
+    """One member of an object: raw is the value's JSON, but for strings, which the variant tells, their content."""
+    value = F.when(_is_text(typed), quoted(raw)).otherwise(F.coalesce(raw, F.lit("null")))
+    return F.concat(quoted(key), F.lit(":"), value)
+
+
+def _object(members: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is worked out once however often body names it, in functions of arrays too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parsed(text: Column, kind: str) -> Column:
+    """A JSON object twice: members as their JSON, but strings as their content; and as variants, which tell these."""
+    return F.struct(F.from_json(text, kind.format("string")).alias("raw"), F.from_json(text, kind.format("variant")).alias("typed"))
+
+
+def rewritten(text: Column, changes: Column) -> Column:
+    """A workflow document's JSON with other inputs. changes: map of nodes to maps of inputs to JSON values. Everything
+    else, its order included, stays; inputs that a node lacks come last, nodes that the document lacks are passed
+    over. Null for what isn't a document: an object of objects."""
+
+    def inputs_of(old: Column, new: Column) -> Column:
+        kept = F.transform(F.map_entries(old["raw"]), lambda e: F.coalesce(F.concat(quoted(e["key"]), F.lit(":"), F.try_element_at(new, e["key"])), _member(e["key"], e["value"], old["typed"][e["key"]])))
+        more = F.filter(F.map_entries(new), lambda e: ~F.array_contains(F.map_keys(old["raw"]), e["key"]))
+        return _object(F.concat(kept, F.transform(more, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))))
+
+    def fields_of(node: Column, fields: Column, typed: Column, new: Column) -> Column:
+        def one(f: Column) -> Column:
+            changed = F.concat(F.lit('"inputs":'), _with(_parsed(f["value"], "map<string, {}>"), lambda old: inputs_of(old, new)))
+            return F.when((f["key"] == "inputs") & f["value"].startswith("{") & new.isNotNull(), changed).otherwise(_member(f["key"], f["value"], typed[f["key"]]))
+
+        return _object(F.transform(F.map_entries(fields), one))
+
+    def document(found: Column) -> Column:
+        return _object(F.transform(F.map_entries(found["raw"]), lambda n: F.concat(quoted(n["key"]), F.lit(":"), fields_of(n["key"], n["value"], found["typed"][n["key"]], F.try_element_at(changes, n["key"])))))
+
+    return _with(_parsed(text, "map<string, map<string, {}>>"), document)
+
+
+def lacking(text: Column, bindings: tuple = BINDINGS) -> Column:
+    """Array of (node_id, name): what a request needs and the document lacks. Of nodes without inputs name is null;
+    texts that are read before they are replaced must be there. Null for what isn't a document."""
+
+    def tests(found: Column) -> Column:
+        out = []
+        for node, name, what in bindings:
+            inputs_ = F.try_element_at(F.try_element_at(found, F.lit(node)), F.lit("inputs"))
+            names = F.json_object_keys(inputs_)
+            gone = F.struct(F.lit(node).alias("node_id"), F.lit(None).cast("string").alias("name"))
+            needs = what in ("prompt", "negative_prompt")
+            out.append(F.when(names.isNull(), gone).when(F.lit(needs) & ~F.array_contains(names, name), F.struct(F.lit(node).alias("node_id"), F.lit(name).alias("name"))))
+        return F.when(found.isNotNull(), F.array_distinct(F.array_compact(F.array(*out))))
+
+    return _with(F.from_json(text, "map<string, map<string, string>>"), tests)
+
+
+def missing_in_templates(templates: DataFrame, key: str = "template_id", text: str = "text", bindings: tuple = BINDINGS) -> DataFrame:
+    """(key, node_id, name) of everything that templates lack."""
+    return templates.select(key, F.explode(lacking(F.col(text), bindings)).alias("m")).select(key, "m.node_id", "m.name")
+
+
+def bind_templates(requests: DataFrame, templates: DataFrame, key: str = "template_id", text: str = "text", bindings: tuple = BINDINGS) -> DataFrame:
+    """requests (key, source_path, mask_path, prompt, negative_prompt, seed, and others) with workflow, the document of
+    the request's own template with the request bound into it, and error: no such template, no document, or what it
+    lacks. templates: a row for each key."""
+    judged = templates.select(key, F.col(text).alias("__text"), lacking(F.col(text), bindings).alias("__lacks"))
+    rows = requests.join(judged.withColumn("__known", F.lit(True)), key, "left")
+    where = {what: (node, name) for node, name, what in bindings}
+    own = lambda what: F.get_json_object("__text", f"$['{where[what][0]}'].inputs['{where[what][1]}']")
+    values = {
+        "seed": F.col("seed").cast("string"), "prompt": quoted(merge_prompt(F.col("prompt"), own("prompt"))), "negative_prompt": quoted(merge_prompt(F.col("negative_prompt"), own("negative_prompt"))),
+        "source_path": quoted(normal_path(F.col("source_path"))), "mask_path": quoted(normal_path(F.col("mask_path"))),
+    }
+    by_node: dict[str, list[Column]] = {}
+    for node, name, what in bindings:
+        by_node.setdefault(node, []).extend([F.lit(name), values[what]])
+    changes = F.create_map(*[x for node, pairs in by_node.items() for x in (F.lit(node), F.create_map(*pairs))])
+    one = lambda m: F.concat(F.lit("node "), m["node_id"], F.coalesce(F.concat(F.lit(" input "), m["name"]), F.lit("")))
+    error = (
+        F.when(F.col("__known").isNull(), "no such template").when(F.col("__lacks").isNull(), "template is no document")
+        .when(F.size("__lacks") > 0, F.concat(F.lit("template lacks "), F.array_join(F.array_sort(F.transform("__lacks", one)), ", ")))
+    )
+    return rows.withColumn("error", error).withColumn("workflow", F.when(F.col("error").isNull(), rewritten(F.col("__text"), changes))).select(*[c for c in requests.columns], "workflow", "error")

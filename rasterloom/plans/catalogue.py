@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from rasterloom import config
 from rasterloom.functions import text as T
 from rasterloom.operators import cache, patches, progress, raster, requests, workflow
+from rasterloom.scratch import fresh_folder
 from rasterloom.sources import backend as remote
+from rasterloom.sources import frames
+from rasterloom.streaming import runs
 
 WIDTH, HEIGHT = 640, 480
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,13 +373,6 @@ def workflow_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.literals(workflow.nodes(order_workflows(spark, sf_dir), keys=("o",)), ("o",))
 
 
-@query("SELECT * FROM (VALUES ('7', 'text'), ('30', NULL)) t(node_id, name)")
-def missing_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a template lacks in which one text and one node are missing."""
-    broken = TEMPLATE.replace('"text": "base", ', "").replace('"30"', '"31"')
-    return workflow.missing_bindings(workflow.nodes(spark.range(1).select(F.lit(broken).alias("text"))))
-
-
 SMALL_WIDTH, SMALL_HEIGHT = 96, 64
 #: A mask for each nation, whose pixels are its customers, and an image of a slanted gradient.
 SMALL_PIXELS = """dots AS (SELECT c_nationkey AS id, (c_nationkey * 5) % 70 + c_custkey % 20 AS x, (c_nationkey * 3) % 50 + c_custkey % 11 AS y, 1 + c_custkey % 255 AS v FROM customer),
@@ -467,8 +463,127 @@ def queue_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", remote.queue_payload(document, F.concat(F.lit("c"), "user_id")).alias("payload"))
 
 
-@query("""SELECT page_id, 'http://b:1/view?filename=' || url_encode(url) || '&subfolder=s%2F' || page_id || '&type=output' AS address FROM pages WHERE NOT contains(url, ' ')""")
+@query("""SELECT page_id, 'http://b:1/view?filename=' || replace(url_encode(coalesce(url, '')), '%20', '+') || '&subfolder=s%2F' || page_id || '&type=output' AS address FROM pages""")
 def view_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of result images whose names are urls, as far as these have no blanks."""
-    named = table(spark, sf_dir, "pages").where("not contains(url, ' ')")
-    return named.select("page_id", remote.view_url("http://b:1", F.col("url"), F.concat(F.lit("s/"), "page_id"), F.lit("output")).alias("address"))
+    """Addresses of result images whose names are urls; of a page without a url the name is empty."""
+    return table(spark, sf_dir, "pages").select("page_id", remote.view_url("http://b:1", F.coalesce("url", F.lit("")), F.concat(F.lit("s/"), "page_id"), F.lit("output")).alias("address"))
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> str:
+    """A log of frames in two segments: signups are submissions of runs, one for each user, purchases end them, errors
+    are failures, all else is progress."""
+    kind = F.when(F.col("event_type") == "error", "execution_error").when(F.col("event_type") == "purchase", "executing").when(F.col("event_type") == "signup", "submitted").otherwise("progress")
+    node = F.when(F.col("event_type").isin("purchase", "error", "signup"), "null").otherwise(F.concat(F.lit('"'), "event_id", F.lit('"')))
+    value = F.concat(F.lit('{"type":"'), kind, F.lit('","data":{"node":'), node, F.lit(',"prompt_id":"'), "user_id", F.lit('"}}'))
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("user_id") % 10).alias("channel"), "ts", value.alias("value"), "event_id")
+    folder = fresh_folder(spark)
+    for k in range(2):
+        frames.append_frames(rows.where(F.col("event_id") % 2 == k), folder)
+    return folder
+
+
+@query("""SELECT 'c' || user_id % 10 AS channel, user_id::VARCHAR AS prompt_id, CASE event_type WHEN 'purchase' THEN 'executing' WHEN 'error' THEN 'execution_error' WHEN 'signup' THEN 'submitted' ELSE 'progress' END AS type,
+        CASE WHEN event_type NOT IN ('purchase', 'error', 'signup') THEN event_id::VARCHAR END AS node, epoch_us(ts) AS us FROM events""")
+def frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of a log, streamed from it and parsed."""
+    parsed = progress.parse_messages(frames.read_frames(spark, event_frames(spark, sf_dir)))
+    return runs.collected(parsed.select("channel", "prompt_id", "type", "node", F.unix_micros("ts").alias("us")), fresh_folder(spark), fresh_folder(spark))
+
+
+RUN_HOURS = 6
+
+
+@query(f"""WITH sent AS (SELECT user_id, min(epoch_us(ts)) AS us FROM events WHERE event_type = 'signup' GROUP BY user_id),
+        told AS (SELECT s.user_id, s.us, min((epoch_us(e.ts), CASE event_type WHEN 'purchase' THEN 'ended' ELSE 'failed' END)) AS first FROM sent s
+            LEFT JOIN events e ON e.user_id = s.user_id AND e.event_type IN ('purchase', 'error') AND epoch_us(e.ts) >= s.us GROUP BY ALL),
+        timed AS (SELECT user_id::VARCHAR AS prompt_id, us, us + {RUN_HOURS} * 3600000000 AS until, first[1] AS at_us, first[2] AS outcome, (SELECT max(epoch_us(ts)) FROM events WHERE event_type IN ('signup', 'purchase', 'error')) AS last FROM told)
+    SELECT prompt_id, outcome, us AS submitted_us, at_us FROM timed WHERE at_us <= until
+    UNION ALL SELECT prompt_id, 'silent', us, until FROM timed WHERE at_us > until OR at_us IS NULL AND until <= last
+    UNION ALL SELECT prompt_id, 'late', us, at_us FROM timed WHERE at_us > until""")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each user's run within six hours, by a stream that keeps its state: it ends, fails or is silent,
+    and of silent ones which have a message later."""
+    parsed = progress.parse_messages(frames.read_frames(spark, event_frames(spark, sf_dir)))
+    told = F.when(F.col("type") == "submitted", "submitted").when(F.col("type") == "execution_error", "failed").when(progress.is_end(), "ended")
+    stream = runs.run_outcomes(parsed.select("prompt_id", "ts", told.alias("event")).where("event is not null"), RUN_HOURS * 3600, 1000 * 86400)
+    return runs.collected(stream, fresh_folder(spark), fresh_folder(spark))
+
+
+#: Edges of the part graph and, for parts divisible by 97, one that leads back over three halvings.
+PART_CIRCLES = """edges(src, dst) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey // 8, p_partkey FROM part WHERE p_partkey % 97 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {PART_GRAPH}, reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst)
+    SELECT dst, count(*) AS n, min(src) AS least, max(src) AS most, sum(src)::BIGINT AS total FROM reach GROUP BY dst""")
+def dag_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part, the parts that lead to it over any number of edges."""
+    pairs = workflow.reach(part_graph(spark, sf_dir)[0])
+    return pairs.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("least"), F.max("src").alias("most"), F.sum("src").alias("total"))
+
+
+@query(f"""WITH RECURSIVE {PART_CIRCLES}, reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst)
+    SELECT DISTINCT src AS node_id FROM reach WHERE src = dst""")
+def dag_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts on cycles, where some edges lead back."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    back = parts.where("p % 97 = 0").selectExpr("p div 8 AS src", "p AS dst")
+    return workflow.cycles(parts.where("p >= 2").selectExpr("p AS src", "p div 2 AS dst").union(back))
+
+
+#: How a request is bound into an order's document: its nodes are line items, so short orders lack some.
+ORDER_BINDINGS = (("n1", "seed", "seed"), ("n2", "class", "prompt"), ("n1", "class", "negative_prompt"), ("n3", "image", "source_path"), ("n2", "part", "mask_path"))
+
+
+def order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of order_workflows, with the class as an input of every node too."""
+    return order_workflows(spark, sf_dir).select(F.col("o").alias("template_id"), F.regexp_replace("text", r'"class_type":"(.)","inputs":\{', r'"class_type":"$1","inputs":{"class":"$1",').alias("text"))
+
+
+@query(f"""WITH {ITEMS}, sizes AS (SELECT o, count(*) AS n FROM items GROUP BY o)
+    SELECT o AS template_id, 'n' || k AS node_id, NULL::VARCHAR AS name FROM sizes, range(2, 4) t(k) WHERE k > n""")
+def missing_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order's document lacks of the nodes that a request needs."""
+    return workflow.missing_in_templates(order_templates(spark, sf_dir), bindings=ORDER_BINDINGS)
+
+
+@query(f"""WITH {ITEMS}, sizes AS (SELECT o, count(*) AS n FROM items GROUP BY o),
+    nodes AS (SELECT o, k, '"n' || k || '":{{"class_type":"' || l_returnflag || '","inputs":{{"class":"' || CASE WHEN k = 1 THEN 'no \\"' || o || '\\", ' || l_returnflag WHEN k = 2 AND o_custkey % 3 > 0 THEN o_orderpriority || ', ' || l_returnflag ELSE l_returnflag END
+            || '","part":' || CASE WHEN k = 2 THEN '"m/' || o || '"' ELSE l_partkey::VARCHAR END || CASE WHEN k > 1 THEN ',"from":["n' || (k - 1) || '",' || (l_partkey % 3) || ']' ELSE '' END
+            || CASE k WHEN 1 THEN ',"seed":' || o_custkey WHEN 3 THEN ',"image":"s/' || o || '"' ELSE '' END || '}},"_meta":{{"title":"t' || k || '"}}}}' AS j
+        FROM items JOIN orders ON o_orderkey = o),
+    texts AS (SELECT o, '{{' || string_agg(j, ',' ORDER BY k) || '}}' AS workflow FROM nodes GROUP BY o)
+    SELECT o_orderkey, CASE WHEN n >= 3 THEN workflow END AS workflow,
+        CASE WHEN n IS NULL THEN 'no such template' WHEN n = 1 THEN 'template lacks node n2, node n3' WHEN n = 2 THEN 'template lacks node n3' END AS error
+    FROM orders LEFT JOIN sizes ON sizes.o = o_orderkey LEFT JOIN texts ON texts.o = o_orderkey""")
+def templates_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each order, bound into the order's own document: the documents' whole texts."""
+    key = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(
+        "o_orderkey", key.alias("template_id"), F.col("o_custkey").alias("seed"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("prompt"), F.concat(F.lit('no "'), key, F.lit('"')).alias("negative_prompt"),
+        F.concat(F.lit("s\\"), key).alias("source_path"), F.concat(F.lit("m\\"), key).alias("mask_path"),
+    )
+    return workflow.bind_templates(asked, order_templates(spark, sf_dir), bindings=ORDER_BINDINGS).select("o_orderkey", "workflow", "error")
+
+
+def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw bodies of requests: fields are absent, null or of another type; some bodies are no objects or no JSON."""
+    user, event = F.col("user_id"), F.col("event_id")
+    prompt = F.element_at(F.array(F.concat(F.lit('"prompt":"'), "event_type", F.lit('",')), F.lit('"prompt":null,'), F.lit('"prompt":5,'), F.lit("")), (user % 4 + 1).cast("int"))
+    seed = F.element_at(F.array(F.lit(""), F.lit('"seed":null,'), F.concat(F.lit('"seed":'), user, F.lit(",")), F.concat(F.lit('"seed":"'), user, F.lit('",')), F.lit('"seed":1.5,'), F.lit('"seed":"x",'), F.lit('"seed":[1],')), (event % 7 + 1).cast("int"))
+    body = F.concat(F.lit("{"), prompt, seed, F.lit('"source_id":"s","mask_image_base64":"AA=="}'))
+    return table(spark, sf_dir, "events").select(event.alias("request_id"), F.when(event % 11 == 0, F.lit("[1]")).when(event % 13 == 0, F.lit("{no")).otherwise(body).alias("body"))
+
+
+@query("""WITH fields AS (SELECT event_id AS request_id, event_id % 11 = 0 AS listed, event_id % 13 = 0 AS broken, CASE user_id % 4 WHEN 1 THEN 'string_type' WHEN 2 THEN 'string_type' WHEN 3 THEN 'missing' END AS prompt,
+        CASE event_id % 7 WHEN 1 THEN 'int_type' WHEN 4 THEN 'int_from_float' WHEN 5 THEN 'int_parsing' WHEN 6 THEN 'int_type' END AS seed FROM events)
+    SELECT request_id, NULL::VARCHAR AS field, CASE WHEN listed THEN 'model_type' ELSE 'json_invalid' END AS problem FROM fields WHERE listed OR broken
+    UNION ALL SELECT request_id, 'prompt', prompt FROM fields WHERE NOT listed AND NOT broken AND prompt IS NOT NULL
+    UNION ALL SELECT request_id, 'seed', seed FROM fields WHERE NOT listed AND NOT broken AND seed IS NOT NULL""")
+def rejected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.validated(event_bodies(spark, sf_dir))[1]
+
+
+@query("""SELECT event_id AS request_id, 's' AS source_id, event_type AS prompt, 'blur, low quality, distortion, watermark' AS negative_prompt, 'AA==' AS mask_image_base64,
+        CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id END AS seed FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND user_id % 4 = 0 AND event_id % 7 IN (0, 2, 3)""")
+def accepted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.validated(event_bodies(spark, sf_dir))[0]

@@ -29,6 +29,11 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one, for logs and checkpoints; `drop_written` removes it."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/rasterloom-{spark.sparkContext.applicationId}"
 

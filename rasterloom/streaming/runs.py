@@ -61,10 +61,10 @@ class RunLife(StatefulProcessor):
         out: list[tuple] = []
         for pdf in rows:
             for us, event in zip(pdf.us.tolist(), pdf.event.tolist(), strict=True):
-                if event != "submitted":
+                if event in ("ended", "failed"):
                     self.early.updateValue((us, event), (1,))
                     self._timer(us + self.remember)
-                elif not self.submitted.exists() or us < self.submitted.get()[0]:
+                elif event == "submitted" and (not self.submitted.exists() or us < self.submitted.get()[0]):
                     self.submitted.update((us,))
                     self._timer(us + self.limit)
                     self._timer(us + self.limit + self.remember)

@@ -28,7 +28,35 @@ def test_depths_of_a_ladder(spark):
     assert found == {f"{i}{a}": i for i in range(41) for a in "xy"}
     round_trip = edges.union(spark.createDataFrame([("41z", "1x"), ("40x", "41z")], edges.schema))
     with pytest.raises(ValueError, match="cycle"):
-        workflow.depths(round_trip, nodes, most=60)
+        workflow.depths(round_trip, nodes)
+    assert {r["node_id"] for r in workflow.cycles(round_trip).collect()} == {f"{i}{a}" for i in range(1, 40) for a in "xy"} - {"1y"} | {"40x", "41z"}
+    assert workflow.cycles(edges).collect() == []
+
+
+def test_a_long_chain(spark, monkeypatch):
+    """A chain of 5,000 nodes takes about as many rounds as its length has binary digits, forwards and back."""
+    rounds = []
+    keep = workflow.written
+    monkeypatch.setattr(workflow, "written", lambda df: rounds.append(1) or keep(df))
+    edges = spark.range(4999).selectExpr("id AS src", "id + 1 AS dst")
+    found = workflow.depths(edges, spark.range(5000).withColumnRenamed("id", "node_id"))
+    assert found.where("depth <> node_id").count() == 0 and found.count() == 5000 and len(rounds) <= 32
+    alone = workflow.depths(edges.limit(0), spark.range(3).withColumnRenamed("id", "node_id"))
+    assert [r["depth"] for r in alone.collect()] == [0, 0, 0]
+
+
+def test_closure(spark):
+    rnd = random.Random(7)
+    pairs = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(45)}
+    edges = spark.createDataFrame([*pairs, (None, 3), (4, None)], "src int, dst int")
+    want = set(pairs)
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in want if b == c}
+        if more == want:
+            break
+        want = more
+    assert {tuple(r) for r in workflow.reach(edges).collect()} == want
+    assert {r["node_id"] for r in workflow.cycles(edges).collect()} == {a for a, b in want if a == b}
 
 
 def test_completion_of_many_ends(spark):
