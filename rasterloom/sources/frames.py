@@ -53,7 +53,9 @@ class RowGroups(InputPartition):
     last: int
 
 
-class _Reader(DataSourceReader, DataSourceStreamReader):
+class _Log:
+    """What reading once and streaming share."""
+
     def __init__(self, options: dict):
         self.directory = options["path"]
         self.groups = int(options.get("rowGroupsPerTask", 4))
@@ -67,8 +69,7 @@ class _Reader(DataSourceReader, DataSourceStreamReader):
         known = _segments(self.directory)
         return {"segments": known[-1][0] + 1 if known else 0}
 
-    def partitions(self, start: dict | None = None, end: dict | None = None) -> list[RowGroups]:
-        start, end = start or self.initialOffset(), end or self.latestOffset()
+    def between(self, start: dict, end: dict) -> list[RowGroups]:
         store, out = _at(self.directory)[0], []
         there = dict(_segments(self.directory))
         for k in range(start["segments"], end["segments"]):
@@ -81,12 +82,24 @@ class _Reader(DataSourceReader, DataSourceStreamReader):
                     out += [RowGroups(f.path, i, min(n, i + self.groups)) for i in range(0, n, self.groups)]
         return out
 
-    def read(self, partition: RowGroups) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RowGroups | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty log, read once
+            return
         store, _ = _at(self.directory)
         with store.open_input_file(partition.path) as file:
             for batch in pq.ParquetFile(file).iter_batches(8192, list(range(partition.first, partition.last)), _KINDS.names):
                 yield pa.Table.from_batches([batch]).cast(_KINDS).combine_chunks().to_batches()[0] if batch.num_rows else pa.RecordBatch.from_pylist([], _KINDS)
 
+
+class _Reader(_Log, DataSourceReader):
+    def partitions(self) -> list[RowGroups]:
+        return self.between(self.initialOffset(), self.latestOffset())
+
+
+class _StreamReader(_Log, DataSourceStreamReader):
+    def partitions(self, start: dict, end: dict) -> list[RowGroups]:
+        return self.between(start, end)
+
     def commit(self, end: dict) -> None:
         """With dropCommitted, segments that no later batch can ask for go."""
         if self.drop:
@@ -109,8 +122,8 @@ class FrameSource(DataSource):
     def reader(self, schema) -> _Reader:  # noqa: ANN001
         return _Reader(self.options)
 
-    def streamReader(self, schema) -> _Reader:  # noqa: ANN001, N802
-        return _Reader(self.options)
+    def streamReader(self, schema) -> _StreamReader:  # noqa: ANN001, N802
+        return _StreamReader(self.options)
 
 
 def read_frames(spark: SparkSession, directory: str, **options: str) -> DataFrame:

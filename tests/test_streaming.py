@@ -53,7 +53,7 @@ def test_restarts_lose_and_repeat_nothing(spark, tmp_path):
     assert values(spark, out) == list(range(141))
     assert not (tmp_path / "log/0000000000").exists()
     with pytest.raises(FileNotFoundError, match="is gone"):
-        frames._Reader({"path": log}).partitions({"segments": 0}, {"segments": 2})
+        frames._StreamReader({"path": log}).partitions({"segments": 0}, {"segments": 2})
 
 
 def test_the_log_in_batch_and_empty(spark, tmp_path):
