@@ -506,7 +506,7 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = progress.parse_messages(frames.read_frames(spark, event_frames(spark, sf_dir)))
     told = F.when(F.col("type") == "submitted", "submitted").when(F.col("type") == "execution_error", "failed").when(progress.is_end(), "ended")
     stream = runs.run_outcomes(parsed.select("prompt_id", "ts", told.alias("event")).where("event is not null"), RUN_HOURS * 3600, 1000 * 86400)
-    return runs.collected(stream, fresh_folder(spark), fresh_folder(spark))
+    return runs.collected(stream, fresh_folder(spark), fresh_folder(spark), timers=True)
 
 
 #: Edges of the part graph and, for parts divisible by 97, one that leads back over three halvings.

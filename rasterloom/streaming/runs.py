@@ -104,14 +104,22 @@ def run_outcomes(events: DataFrame, limit_seconds: float, remember_seconds: floa
     return rows.groupBy("prompt_id").transformWithStateInPandas(life, OUTCOME, "append", "EventTime")
 
 
-def collected(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """What a stream gives of all that is there by now, written to a folder; goes on from the checkpoint."""
+def collected(stream: DataFrame, folder: str, checkpoint: str, timers: bool = False) -> DataFrame:
+    """What a stream gives of all that is there by now, written to a folder; goes on from the checkpoint.
+
+    timers: also what timers tell once the watermark has moved, for which Spark runs a batch without data. With
+    availableNow it does so only for some sources, so then the stream runs until it has nothing left to do."""
     spark = stream.sparkSession
     before = spark.conf.get(ROCKSDB[0], None)
     spark.conf.set(*ROCKSDB)
     try:
-        query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+        query = (writer if timers else writer.trigger(availableNow=True)).start()
     finally:
         spark.conf.set(ROCKSDB[0], before) if before else spark.conf.unset(ROCKSDB[0])
-    query.awaitTermination()
+    if timers:
+        query.processAllAvailable()
+        query.stop()
+    else:
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(folder)

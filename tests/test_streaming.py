@@ -86,6 +86,6 @@ def test_runs_across_batches(spark, tmp_path):
     for batch in batches:
         frames.append_frames(spark.createDataFrame(batch, "channel string, s int, value string").select("channel", F.timestamp_seconds("s").alias("ts"), "value"), log)
         events = parse_messages(frames.read_frames(spark, log)).select("prompt_id", "ts", told.alias("event")).where("event is not null and prompt_id is not null")
-        runs.collected(runs.run_outcomes(events, 60, 300, "30 seconds"), out, at)
+        runs.collected(runs.run_outcomes(events, 60, 300, "30 seconds"), out, at, timers=True)
     found = sorted((r["prompt_id"], r["outcome"], r["submitted_us"] // 10**6, r["at_us"] // 10**6) for r in spark.read.parquet(out).collect())
     assert found == [("a", "ended", 100, 110), ("b", "ended", 104, 105), ("bad", "failed", 112, 113), ("last", "ended", 2000, 2002), ("quiet", "silent", 101, 161), ("slow", "late", 102, 180), ("slow", "silent", 102, 162)]
