@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import config
 from rasterloom.functions import text as T
-from rasterloom.operators import cache, patches, progress, raster, requests, workflow
+from rasterloom.operators import cache, patches, progress, raster, requests, tiles, workflow
 from rasterloom.scratch import fresh_folder
 from rasterloom.sources import backend as remote
 from rasterloom.sources import frames
@@ -380,10 +380,13 @@ SMALL_PIXELS = """dots AS (SELECT c_nationkey AS id, (c_nationkey * 5) % 70 + c_
     boxes AS (SELECT id, greatest(0, min(x) - 16) AS x0, greatest(0, min(y) - 16) AS y0, least(96, max(x) + 17) AS x1, least(64, max(y) + 17) AS y1 FROM masks GROUP BY id)"""
 
 
-def nation_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, customer = F.col("c_nationkey"), F.col("c_custkey")
-    dots = table(spark, sf_dir, "customer").select(nation.alias("id"), (nation * 5 % 70 + customer % 20).alias("x"), (nation * 3 % 50 + customer % 11).alias("y"), (1 + customer % 255).alias("v"))
-    return patches.to_images(dots, SMALL_WIDTH, SMALL_HEIGHT)
+    return table(spark, sf_dir, "customer").select(nation.alias("id"), (nation * 5 % 70 + customer % 20).alias("x"), (nation * 3 % 50 + customer % 11).alias("y"), (1 + customer % 255).alias("v"))
+
+
+def nation_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patches.to_images(nation_dots(spark, sf_dir), SMALL_WIDTH, SMALL_HEIGHT)
 
 
 def nation_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -587,3 +590,79 @@ def rejected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id END AS seed FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND user_id % 4 = 0 AND event_id % 7 IN (0, 2, 3)""")
 def accepted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.validated(event_bodies(spark, sf_dir))[0]
+
+
+CONTEXT = """grown AS (SELECT id, greatest(0, x0 - floor((x1 - x0) * 0.5 / 2)) AS x0, greatest(0, y0 - floor((y1 - y0) * 0.5 / 2)) AS y0,
+        least(640, x1 + floor((x1 - x0) * 0.5 / 2)) AS x1, least(480, y1 + floor((y1 - y0) * 0.5 / 2)) AS y1 FROM box),
+    needed AS (SELECT *, least(640, greatest(x1 - x0, ceil((y1 - y0) * 4.0 / 3))) AS w, least(480, greatest(y1 - y0, ceil((x1 - x0) * 3.0 / 4))) AS h FROM grown),
+    placed AS (SELECT id, greatest(0, least(x0 - floor((w - (x1 - x0)) / 2), 640 - w))::INTEGER AS x0, greatest(0, least(y0 - floor((h - (y1 - y0)) / 2), 480 - h))::INTEGER AS y0, w::INTEGER AS w, h::INTEGER AS h FROM needed)"""
+
+
+def context_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the masks' values over 200 on the left half, with half of their size as context, in the aspect of 4 to 3."""
+    boxes = raster.mask_boxes(mask_pixels(spark, sf_dir).where("x % 320 < 40 and y < 200"), WIDTH, HEIGHT, least=200)
+    return raster.context_boxes(boxes, 1.5, (4, 3), WIDTH, HEIGHT)
+
+
+SOME_BOX = """box AS (SELECT id, greatest(0, min(x) - 16) AS x0, greatest(0, min(y) - 16) AS y0, least(640, max(x) + 17) AS x1, least(480, max(y) + 17) AS y1
+        FROM pixels WHERE v > 200 AND x % 320 < 40 AND y < 200 GROUP BY id)"""
+
+
+@query(f"WITH {PIXELS}, {SOME_BOX}, {CONTEXT} SELECT id, x0, y0, (x0 + w)::INTEGER AS x1, (y0 + h)::INTEGER AS y1 FROM placed")
+def context_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_of_masks(spark, sf_dir)
+
+
+@query(f"""WITH {PIXELS}, {SOME_BOX}, {CONTEXT},
+    cut AS (SELECT p.id, x - x0 AS x, y - y0 AS y, v, w, h FROM pixels p JOIN placed b ON b.id = p.id WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h),
+    shares AS (SELECT id, tx::INTEGER AS x, ty::INTEGER AS y, w, h, v * (least((tx + 1) * w, (x + 1) * 40) - greatest(tx * w, x * 40)) * (least((ty + 1) * h, (y + 1) * 30) - greatest(ty * h, y * 30)) AS share
+        FROM cut, range(40) a(tx), range(30) b(ty) WHERE least((tx + 1) * w, (x + 1) * 40) > greatest(tx * w, x * 40) AND least((ty + 1) * h, (y + 1) * 30) > greatest(ty * h, y * 30))
+    SELECT id, x, y, sum(share)::BIGINT AS total, floor((2 * sum(share) + w * h)::DOUBLE / (2 * w * h))::INTEGER AS v FROM shares GROUP BY id, x, y, w, h""")
+def context_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the boxes with context cut out, resized to 40 x 30 by area."""
+    boxes = context_of_masks(spark, sf_dir)
+    sizes = boxes.select("id", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
+    return raster.resize_area(raster.crop(mask_pixels(spark, sf_dir), boxes).join(sizes, "id"), (40, 30))
+
+
+BLEND = 4
+EDGE = f"""{SMALL_PIXELS}, steps AS (SELECT dx, dy, dx * dx + dy * dy AS square FROM range(-{BLEND}, {BLEND} + 1) a(dx), range(-{BLEND}, {BLEND} + 1) b(dy)),
+    edge AS (SELECT m.id, m.x, m.y, least({BLEND * BLEND}, min(square) FILTER (o.id IS NULL))::INTEGER AS square FROM masks m, steps LEFT JOIN masks o ON o.id = m.id AND o.x = m.x + dx AND o.y = m.y + dy GROUP BY ALL)"""
+
+
+@query(f"WITH {EDGE} SELECT * FROM edge")
+def edge_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared distance of each mask's pixels to the nearest place outside of it."""
+    return raster.edge_distances(nation_dots(spark, sf_dir), BLEND)
+
+
+@query(f"""WITH {EDGE}, shares AS (SELECT *, least(1, sqrt(square) / {BLEND}) AS share FROM edge)
+    SELECT n_nationkey AS id, gx::INTEGER AS x, gy::INTEGER AS y, floor(coalesce(share, 0) * 255 + (1 - coalesce(share, 0)) * v + 0.5)::INTEGER AS v
+    FROM (SELECT n_nationkey, gx, gy, (gx + gy + n_nationkey) % 256 AS v FROM nation, range({SMALL_WIDTH}) s(gx), range({SMALL_HEIGHT}) t(gy))
+    LEFT JOIN shares e ON e.id = n_nationkey AND e.x = gx AND e.y = gy""")
+def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A white patch on each nation's gradient, from the corner of its mask, faded at the mask's edge."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    image = raster.blank(nations, SMALL_WIDTH, SMALL_HEIGHT).withColumn("v", (F.col("x") + F.col("y") + F.col("id")) % 256)
+    offsets = nations.select("id", (F.col("id") * 5 % 70).cast("int").alias("x0"), (F.col("id") * 3 % 50).cast("int").alias("y0"))
+    return raster.stitch(image, raster.blank(nations, SMALL_WIDTH, SMALL_HEIGHT, 255), offsets, nation_dots(spark, sf_dir), BLEND)
+
+
+@query(f"WITH {PIXELS} {BOX.format(150)}")
+def tile_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tile_boxes(tiles.to_tiles(mask_pixels(spark, sf_dir)), WIDTH, HEIGHT, least=150)
+
+
+@query(f"""WITH {PIXELS}, {SOME_BOX}, one AS (SELECT id, x, y, max(v) AS v FROM pixels GROUP BY ALL)
+    SELECT one.id, x - x0 AS x, y - y0 AS y, v::INTEGER AS v FROM one JOIN box ON box.id = one.id WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND v > 0""")
+def tile_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padded boxes of some of the masks' values, cut from tiles to tiles."""
+    boxes = raster.mask_boxes(mask_pixels(spark, sf_dir).where("x % 320 < 40 and y < 200"), WIDTH, HEIGHT, least=200)
+    return tiles.to_pixels(tiles.crop(tiles.to_tiles(mask_pixels(spark, sf_dir)), boxes))
+
+
+@query(f"""WITH {SMALL_PIXELS} SELECT id, x + dx AS x, y + dy AS y, max(v)::INTEGER AS v FROM masks, range(-3, 4) a(dx), range(-3, 4) b(dy)
+    WHERE x + dx BETWEEN 0 AND {SMALL_WIDTH - 1} AND y + dy BETWEEN 0 AND {SMALL_HEIGHT - 1} GROUP BY ALL""")
+def tile_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks grown by three pixels over the borders of tiles of 16."""
+    return tiles.to_pixels(tiles.dilate(tiles.to_tiles(nation_dots(spark, sf_dir), 16), SMALL_WIDTH, SMALL_HEIGHT, 3, 16), 16)
