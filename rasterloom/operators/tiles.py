@@ -1,13 +1,14 @@
 """Rasters as tables of tiles, for images that are too large for a row.
 
-A tile is a row (id, ty, tx, v): SIZE x SIZE grey values in order of rows, zero where the image has none. What asks for
-a region reads the tiles that touch it alone; what looks at neighbours gets a halo, which each tile hands to the tiles
-around it. So no row is larger than a tile with its halo, whatever the image's size.
+A tile is a row (id, ty, tx, v): SIZE x SIZE grey values in order of rows, a byte each, zero where the image has none.
+What asks for a region reads the tiles that touch it alone; what looks at neighbours gets a halo, which each tile hands
+to the tiles around it. So no row is larger than a tile with its halo, whatever the image's size. Joins, grouping and
+shuffles are Spark's; numpy works on one tile at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,58 +18,66 @@ from pyspark.sql import functions as F
 from rasterloom.operators.raster import PAD
 
 SIZE = 64
-TILE = "id {}, ty long, tx long, v array<int>"
+_TILE = ("ty long, tx long, v binary", [pa.int64(), pa.int64(), pa.binary()])
+_DOTS = ("x long, y long, v int", [pa.int64(), pa.int64(), pa.int32()])
+_EDGE = ("a long, b long, c long, d long", [pa.int64()] * 4)
 
 
-def to_tiles(pixels: DataFrame, size: int = SIZE) -> DataFrame:
-    """Pixels (id, x, y, v) as tiles; of several values of a pixel the largest counts, those at negative places are
-    left out. Tiles without a pixel have no row."""
-    one = pixels.where("x >= 0 and y >= 0").groupBy("id", "x", "y").agg(F.max(F.col("v").cast("int")).alias("v"))
-    at = ((F.col("y") % size) * size + F.col("x") % size).cast("int")
-    listed = one.groupBy("id", F.floor(F.col("y") / size).alias("ty"), F.floor(F.col("x") / size).alias("tx")).agg(F.collect_list(at).alias("at"), F.collect_list("v").alias("v"))
+def _each(rows: DataFrame, work: Callable[..., Iterable[tuple]], out: tuple[str, list]) -> DataFrame:
+    """Rows (id, and others) to any number of rows (id, and `out`): work takes a row's values after the id."""
+    names = [c.split()[0] for c in out[0].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for places, values in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                tile = np.zeros(size * size, np.int32)
-                tile[places] = values
-                out.append(tile)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _arrays(out, size)], ["id", "ty", "tx", "v"])
+            source, found = [], []
+            for k, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                some = list(work(*values))
+                source += [k] * len(some)
+                found += some
+            columns = list(zip(*found, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, out[1], strict=True))], ["id", *names])
 
-    return listed.mapInArrow(run, TILE.format(pixels.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {out[0]}")
 
 
-def _arrays(tiles: list[np.ndarray], size: int) -> pa.Array:
-    """Tiles as a column."""
-    flat = np.concatenate(tiles) if tiles else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(tiles) + 1) * size * size, pa.int32()), pa.array(flat, pa.int32()))
+def _merged(parts: DataFrame) -> DataFrame:
+    """Parts of tiles, of which a few meet in one, as one tile each: the larger value of each place."""
+    met = parts.groupBy("id", "ty", "tx").agg(F.collect_list("v").alias("vs"))
+    return _each(met, lambda ty, tx, vs: [(ty, tx, np.max([np.frombuffer(v, np.uint8) for v in vs], axis=0).tobytes())], _TILE)
 
 
-def _merged(parts: DataFrame, size: int) -> DataFrame:
-    """Parts of tiles, of which a few meet in one, as one tile each: the larger value of each place."""
+def to_tiles(pixels: DataFrame, size: int = SIZE) -> DataFrame:
+    """Pixels (id, x, y, v from 0 to 255) as tiles; of several values of a pixel the largest counts, those at negative
+    places are left out. Tiles without a pixel have no row."""
+    one = pixels.where("x >= 0 and y >= 0").groupBy("id", "x", "y").agg(F.max(F.col("v").cast("int")).alias("v"))
+    at = ((F.col("y") % size) * size + F.col("x") % size).cast("int")
+    listed = one.groupBy("id", F.floor(F.col("y") / size).alias("ty"), F.floor(F.col("x") / size).alias("tx")).agg(F.collect_list(at).alias("at"), F.collect_list("v").alias("v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.max(np.array(vs, np.int32), axis=0) for vs in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _arrays(out, size)], ["id", "ty", "tx", "v"])
+    def tile(ty: int, tx: int, places: list[int], values: list[int]) -> list[tuple]:
+        out = np.zeros(size * size, np.uint8)
+        out[places] = values
+        return [(ty, tx, out.tobytes())]
 
-    return parts.groupBy("id", "ty", "tx").agg(F.collect_list("v").alias("vs")).mapInArrow(run, TILE.format(parts.schema["id"].dataType.simpleString()))
+    return _each(listed, tile, _TILE)
 
 
 def to_pixels(tiles: DataFrame, size: int = SIZE, least: int = 0) -> DataFrame:
     """The pixels of tiles whose value is over `least`."""
-    rows = tiles.select("id", "ty", "tx", F.posexplode("v").alias("at", "v")).where(F.col("v") > least)
-    return rows.select("id", (F.col("tx") * size + F.col("at") % size).alias("x"), (F.col("ty") * size + F.floor(F.col("at") / size)).alias("y"), "v")
+    def dots(ty: int, tx: int, v: bytes) -> Iterable[tuple]:
+        values = np.frombuffer(v, np.uint8)
+        at = np.flatnonzero(values > least)
+        return zip((tx * size + at % size).tolist(), (ty * size + at // size).tolist(), values[at].tolist(), strict=True)
+
+    return _each(tiles.select("id", "ty", "tx", "v"), dots, _DOTS)
 
 
 def tile_boxes(tiles: DataFrame, width: int, height: int, pad: int = PAD, least: int = 0, size: int = SIZE) -> DataFrame:
     """As raster.mask_boxes: a summary of every tile, then the least and the greatest of an image's tiles."""
-    over = F.filter(F.transform("v", lambda v, i: F.when(v > least, i)), lambda i: i.isNotNull())
-    rows = tiles.select("id", "ty", "tx", over.alias("at")).where(F.size("at") > 0)
-    x, y = F.transform("at", lambda i: i % size), F.transform("at", lambda i: F.floor(i / size))
-    edge = rows.select("id", *[(F.col(t) * size + end(c)).alias(n) for n, t, c, end in (("a", "tx", x, F.array_min), ("b", "ty", y, F.array_min), ("c", "tx", x, F.array_max), ("d", "ty", y, F.array_max))])
-    found = edge.groupBy("id").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("c").alias("c"), F.max("d").alias("d"))
+    def edge(ty: int, tx: int, v: bytes) -> list[tuple]:
+        y, x = np.nonzero(np.frombuffer(v, np.uint8).reshape(size, size) > least)
+        return [(tx * size + int(x.min()), ty * size + int(y.min()), tx * size + int(x.max()), ty * size + int(y.max()))] if len(x) else []
+
+    found = _each(tiles.select("id", "ty", "tx", "v"), edge, _EDGE).groupBy("id").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("c").alias("c"), F.max("d").alias("d"))
     return found.select(
         "id", F.greatest(F.lit(0), F.col("a") - pad).cast("int").alias("x0"), F.greatest(F.lit(0), F.col("b") - pad).cast("int").alias("y0"),
         F.least(F.lit(width), F.col("c") + pad + 1).cast("int").alias("x1"), F.least(F.lit(height), F.col("d") + pad + 1).cast("int").alias("y1"),
@@ -86,57 +95,39 @@ def touching(tiles: DataFrame, boxes: DataFrame, size: int = SIZE) -> DataFrame:
 def crop(tiles: DataFrame, boxes: DataFrame, size: int = SIZE) -> DataFrame:
     """What lies in each image's box, as tiles from its corner: a tile hands its parts to the four at most that they
     come to lie in."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            ids = batch.column(0)
-            for k, (ty, tx, v, x0, y0, x1, y1) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 8)), strict=True)):
-                tile = np.array(v, np.int32).reshape(size, size)
-                left, top = max(x0, tx * size), max(y0, ty * size)
-                right, bottom = min(x1, (tx + 1) * size), min(y1, (ty + 1) * size)
-                for y in range((top - y0) // size, (bottom - 1 - y0) // size + 1):
-                    for x in range((left - x0) // size, (right - 1 - x0) // size + 1):
-                        a, b = max(left, x0 + x * size), min(right, x0 + (x + 1) * size)
-                        c, d = max(top, y0 + y * size), min(bottom, y0 + (y + 1) * size)
-                        part = np.zeros((size, size), np.int32)
-                        part[c - y0 - y * size : d - y0 - y * size, a - x0 - x * size : b - x0 - x * size] = tile[c - ty * size : d - ty * size, a - tx * size : b - tx * size]
-                        out.append((k, y, x, part.ravel()))
-            source, y, x, v = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(source, pa.int64())), pa.array(y, pa.int64()), pa.array(x, pa.int64()), _arrays(list(v), size)], ["id", "ty", "tx", "v"])
-
-    rows = touching(tiles, boxes, size).select("id", "ty", "tx", "v", "x0", "y0", "x1", "y1")
-    parts = rows.mapInArrow(run, TILE.format(tiles.schema["id"].dataType.simpleString()))
-    return _merged(parts, size)  # of one tile they don't overlap
+    def parts(ty: int, tx: int, v: bytes, x0: int, y0: int, x1: int, y1: int) -> Iterable[tuple]:
+        tile = np.frombuffer(v, np.uint8).reshape(size, size)
+        left, top, right, bottom = max(x0, tx * size), max(y0, ty * size), min(x1, (tx + 1) * size), min(y1, (ty + 1) * size)
+        for y in range((top - y0) // size, (bottom - 1 - y0) // size + 1):
+            for x in range((left - x0) // size, (right - 1 - x0) // size + 1):
+                at_x, at_y = x0 + x * size, y0 + y * size
+                a, b, c, d = max(left, at_x), min(right, at_x + size), max(top, at_y), min(bottom, at_y + size)
+                part = np.zeros((size, size), np.uint8)
+                part[c - at_y : d - at_y, a - at_x : b - at_x] = tile[c - ty * size : d - ty * size, a - tx * size : b - tx * size]
+                if part.any():
+                    yield y, x, part.tobytes()
+
+    return _merged(_each(touching(tiles, boxes, size).select("id", "ty", "tx", "v", "x0", "y0", "x1", "y1"), parts, _TILE))
 
 
 def dilate(tiles: DataFrame, width: int, height: int, by: int, size: int = SIZE) -> DataFrame:
     """Masks grown by `by` pixels (at most a tile) in all eight directions, inside the image: each value is the largest
-    of the square around it. A tile hands its rows and columns near an edge to the neighbours there; tiles that had no
-    row come to be where a neighbour's pixels reach."""
+    of the square around it. A tile hands what grows over its edges to the neighbours there; tiles that had no row come
+    to be where a neighbour's pixels reach."""
     if by > size:
         raise ValueError("a halo reaches no farther than the next tile")
-    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    kind = tiles.schema["id"].dataType.simpleString()
 
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each tile to itself and its neighbours, of which each gets the part that is near it, grown already."""
-        for batch in batches:
-            source, ys, xs, vs = [], [], [], []
-            for k, (ty, tx, v) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True)):
-                wide = np.zeros((3 * size, 3 * size), np.int32)
-                wide[size : 2 * size, size : 2 * size] = np.array(v, np.int32).reshape(size, size)
-                for axis in (0, 1):
-                    wide = np.max([np.roll(wide, s, axis) for s in range(-by, by + 1)], axis=0)  # by <= size: nothing comes round
-                for dy, dx in around:
-                    part = wide[(1 + dy) * size : (2 + dy) * size, (1 + dx) * size : (2 + dx) * size].copy()
-                    y, x = (ty + dy) * size, (tx + dx) * size
-                    part[max(0, height - y) :], part[:, max(0, width - x) :] = 0, 0
-                    if y >= 0 and x >= 0 and part.any():
-                        source.append(k)
-                        ys.append(ty + dy)
-                        xs.append(tx + dx)
-                        vs.append(part.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), pa.array(ys, pa.int64()), pa.array(xs, pa.int64()), _arrays(vs, size)], ["id", "ty", "tx", "v"])
-
-    parts = tiles.select("id", "ty", "tx", "v").mapInArrow(strips, TILE.format(kind))
-    return _merged(parts, size)  # nine at most
+    def grown(ty: int, tx: int, v: bytes) -> Iterable[tuple]:
+        wide = np.zeros((3 * size, 3 * size), np.uint8)
+        wide[size : 2 * size, size : 2 * size] = np.frombuffer(v, np.uint8).reshape(size, size)
+        for axis in (0, 1):
+            wide = np.max([np.roll(wide, s, axis) for s in range(-by, by + 1)], axis=0)  # by <= size: nothing comes round
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                part = wide[(1 + dy) * size : (2 + dy) * size, (1 + dx) * size : (2 + dx) * size].copy()
+                y, x = (ty + dy) * size, (tx + dx) * size
+                part[max(0, height - y) :], part[:, max(0, width - x) :] = 0, 0
+                if y >= 0 and x >= 0 and part.any():
+                    yield ty + dy, tx + dx, part.tobytes()
+
+    return _merged(_each(tiles.select("id", "ty", "tx", "v"), grown, _TILE))  # nine parts at most meet
