@@ -7,9 +7,7 @@ way between codewords. If two vectors are linked, their ways to each other's cel
 planes, so the squares of the two distances add up to the squared distance of the vectors at most: one of the two
 finds the other if both visit cells up to REACH of the largest distance that linked vectors can have.
 
-Directions are rarely that unlucky, so the traversal stops earlier where that is known to suffice: a bounded set of
-queries, with ids divisible by QUERY_IDS, is compared with all vectors of its labels, and the reach is the least that
-finds TARGET of those links; with few links to judge by it is REACH, which misses none. Cells with many members or
+Cells with many members or
 visitors are cut into blocks, and every visit compares blocks by exact cosines in double precision. A pair that only
 one of the two finds counts for both. Vectors that are equal number by number are one vector with a count.
 """
@@ -32,12 +30,8 @@ from rasterloom.llm.components import connected_components
 SAMPLE, ROUNDS, FEWEST, MOST = 20_000, 12, 4, 1024
 #: Distinct vectors to a cell of a label, on average, that the number of codewords aims at.
 CELL = 5
-#: Share of the distance of linked vectors within which one of the two finds the other.
+#: Share of the distance of linked vectors within which one of the two always finds the other.
 REACH = 0.5**0.5
-#: Share of the queries' links that a shorter reach must find, and how many links there must be to judge it by.
-TARGET, ENOUGH = 0.999, 1000
-#: Queries at most, by hash, of the vectors with ids divisible by the second; steps of the reach that are told apart.
-QUERIES, QUERY_IDS, STEPS = 1000, 100, 128
 #: Added to the squared distance that linked vectors can have, for rounding.
 ROUNDING = 1e-9
 #: Members, and visitors, of a cell that a task compares at once.
@@ -125,53 +119,6 @@ def _near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((y * y).sum(1)) >= least
 
 
-def _needed(distinct: DataFrame, books: Codebooks, dim: int, kind: str, least: float) -> list[int]:
-    """How many links of the queries need each step of the squared reach, of all up to that of REACH."""
-    picked = distinct.where("query").orderBy(F.xxhash64("vec"), "vec").limit(QUERIES).select("vec", "label", "v").collect()
-    by_label: dict[str, list] = {}
-    for r in picked:
-        by_label.setdefault(r["label"], []).append((r["vec"], bytes(r["v"])))
-    asked = {k: (np.array([i for i, _ in x]), _matrix(pa.array([v for _, v in x]), dim, kind)) for k, x in by_label.items()}
-    held = distinct.sparkSession.sparkContext.broadcast((books, asked))  # QUERIES vectors and 2 * MOST codewords at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, queries = held.value
-        found = np.zeros(STEPS, np.int64)
-        known = {k: (i, x, *b.margins(_unit(x))) for k, (i, x) in queries.items()}
-        for batch in batches:
-            labels = np.array(batch.column(1).to_pylist())
-            for label in set(labels.tolist()) & set(known):
-                part = batch.filter(pa.array(labels == label))
-                q_id, q, q_own, q_far = known[label]
-                for at in range(0, part.num_rows, BLOCK):
-                    some = part.slice(at, BLOCK)
-                    x = _matrix(some.column(2), dim, kind)
-                    near = _near(q, x, least) & (q_id[:, None] != some.column(0).to_numpy())
-                    if near.any():
-                        own, far = b.margins(_unit(x))
-                        way = np.minimum(b.way(q_far, b.cell(own)), b.way(far, b.cell(q_own)).T)[near]
-                        found += np.bincount(np.minimum((way / (1 - least + ROUNDING) * STEPS).astype(int), STEPS - 1), minlength=STEPS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(found)], ["step", "n"])
-
-    counts = distinct.select("vec", "label", "v").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
-    out = [0] * STEPS
-    for r in counts:
-        out[r["step"]] = r["n"]
-    return out
-
-
-def fitted_reach(needed: list[int], least: float, target: float = TARGET) -> tuple[float, float]:
-    """The squared reach that finds `target` of the queries' links, and the share of them that it finds."""
-    total, found = sum(needed), 0
-    if total < ENOUGH:
-        return 1 - least, 1.0
-    for step, n in enumerate(needed):
-        found += n
-        if found >= target * total:
-            break
-    return (1 - least) * (step + 1) / STEPS, found / total
-
-
 def _visits(vectors: DataFrame, books: Codebooks, dim: int, kind: str, reach: float) -> DataFrame:
     """A row for each vector and cell that it visits; own is the cell that it is a member of."""
     held = vectors.sparkSession.sparkContext.broadcast(books)  # 2 * MOST codewords at most
@@ -243,12 +190,12 @@ def _links(rows: DataFrame, books: Codebooks, dim: int, kind: str, least: float,
 
 
 def embedding_components(
-    vectors: DataFrame, least: float = 0.98, reach: float | None = None, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, least: float = 0.98, reach: float = REACH, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """A row for each row of vectors: id, n_links (others linked directly), component_id (smallest id reachable) and kept.
 
-    reach: how far vectors visit cells, as a share of the largest distance that linked vectors can have; by default
-    what finds `target` of the queries' links, REACH at most. Only vectors with equal labels are compared. Vectors
+    reach: how far vectors visit cells, as a share of the largest distance that linked vectors can have. The default
+    finds every link, at every size; a shorter one saves time and loses some. Only vectors with equal labels are compared. Vectors
     that are null, empty or zero, or hold null or infinite numbers or NaN, and those without a label, link with
     nothing. Shorter vectors count as filled up with zeros. Rows with equal ids are kept, and count as others of each
     other; null ids are never a component_id unless a component has no other. Distinct vectors are named by 64-bit
@@ -261,16 +208,15 @@ def embedding_components(
     usable = v.isNotNull() & F.col(label_col).isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
     rows = rows.withColumn("vec", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
-    asked = F.bool_or(F.coalesce(F.col("id") % QUERY_IDS == 0, F.lit(False)))
-    same = rows.where("v is not null").groupBy("vec", "label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"), asked.alias("query"))
+    same = rows.where("v is not null").groupBy("vec", "label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [np.array(x, kind).tobytes() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *batch.columns[1:]], batch.schema.names)
 
-    names = "vec long, label string, n long, first long, query boolean"
-    distinct = written(same.select("v", "vec", "label", "n", "first", "query").mapInArrow(raw, f"v binary, {names}"))
+    names = "vec long, label string, n long, first long"
+    distinct = written(same.select("v", "vec", "label", "n", "first").mapInArrow(raw, f"v binary, {names}"))
     known = distinct.agg(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("bytes"), F.approx_count_distinct("label").alias("labels")).first()
     if not known["n"]:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -279,11 +225,7 @@ def embedding_components(
     size = min(SAMPLE, max(1000, 20 * codewords))
     sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(size).select("v").collect()
     books = learn_codebooks(_unit(_matrix(pa.array([bytes(r["v"]) for r in sample]), dim, kind)), codewords)
-    if reach is None:
-        squared = fitted_reach(_needed(distinct, books, dim, kind, least), least, target)[0]
-    else:
-        squared = reach * reach * max(0.0, 2 - 2 * least)
-    squared += ROUNDING
+    squared = reach * reach * max(0.0, 2 - 2 * least) + ROUNDING
 
     visits = written(_visits(distinct, books, dim, kind, squared))
     home = F.col("cell") == F.col("own")
