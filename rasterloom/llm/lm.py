@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text to a block.
 BLOCK_BYTES = 12_000_000
+#: Bytes of text to a range of hashes: what all blocks ask of a range is in one task's memory, several times as large.
+RANGE_BYTES = 50_000_000
 #: Share of the higher order for frequent contexts, and the count at which a context has half of it: of 20 pairs of
 #: weights, those under which texts of the test tables that the counts leave out are likeliest.
 SHARE, DOUBT = 0.5, 10.0
@@ -216,7 +218,7 @@ def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
 
-def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: a SQL condition; rows where it is true are not learned from (null: they are). A null text counts as
@@ -225,13 +227,14 @@ def lm_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col:
     makes its block as large as itself. An empty table gives no rows. Words and bigrams that share a 64-bit hash would
     count as one.
 
-    Every block asks every range of hashes, and there are as many ranges as the session has shuffle partitions, so
-    the rows of requests grow with the text alone, and a range's share of the counts as any shuffle partition's does.
+    Every block asks every range of hashes. There are as many ranges as the session has shuffle partitions, and more
+    where a range would stand for over range_bytes of text, so a task's memory is bounded at every size; beyond that
+    the rows of requests are as many as blocks times ranges, and grow with the square of the text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = int(size // block_bytes) + 1
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // range_bytes))
     dealt = _dealt(rows, blocks)
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

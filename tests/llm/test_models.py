@@ -74,13 +74,14 @@ def slow_lm(texts, learn):
     return out, (one, two, p)
 
 
-@pytest.mark.parametrize("block", [2000, 10**9])
+@pytest.mark.parametrize(("block", "ranges"), [(2000, 10**9), (10**9, 10**9), (50_000, 9000)])
 @pytest.mark.parametrize("rule", ["doc_id % 3 = 0", "true"])
-def test_lm(odd_docs, no_docs, block, rule):
+def test_lm(odd_docs, no_docs, block, ranges, rule):
+    """In small blocks and in one, and with more ranges of hashes than shuffle partitions."""
     rows = odd_docs.select("doc_id", "text").collect()
     learn = [rule != "true" and not (r["doc_id"] is not None and r["doc_id"] % 3 == 0) for r in rows]
     want, _ = slow_lm([r["text"] for r in rows], learn)
-    found = sorted(lm.lm_scores(odd_docs, rule, block_bytes=block).collect(), key=lambda r: (str(r[0]), r["n_tokens"], r["score"]))
+    found = sorted(lm.lm_scores(odd_docs, rule, block_bytes=block, range_bytes=ranges).collect(), key=lambda r: (str(r[0]), r["n_tokens"], r["score"]))
     want = sorted(((r["doc_id"], not k, *w) for r, k, w in zip(rows, learn, want, strict=True)), key=lambda r: (str(r[0]), r[2], r[6]))
     for a, b in zip(found, want, strict=True):
         assert tuple(a[:5]) == tuple(b[:5])
