@@ -46,33 +46,47 @@ class RunLife(StatefulProcessor):
         self.told.update((outcome,))
         return (key, outcome, self.submitted.get()[0], at)
 
-    def _message(self, key: str, us: int, event: str) -> list[tuple]:
-        """The first end or failure within the limit counts; behind it the run was silent, and what comes is late."""
-        start = self.submitted.get()[0]
-        told = self.told.get()[0] if self.told.exists() else None
-        if us < start or told in ("ended", "failed", "late"):
-            return []
-        if us <= start + self.limit and told is None:
-            return [self._outcome(key, event, us)]
-        silent = [self._outcome(key, "silent", start + self.limit)] if told is None else []
-        return [*silent, self._outcome(key, "late", us)]
+    def _messages(self, key: str, messages: list[tuple]) -> list[tuple]:
+        """The first end or failure within the limit counts; behind it the run was silent, and what comes is late.
+        messages: (us, event) in order of time."""
+        start, told, out = self.submitted.get()[0], self.told.get()[0] if self.told.exists() else None, []
+        for us, event in messages:
+            if us < start or told in ("ended", "failed", "late"):
+                continue
+            if us <= start + self.limit and told is None:
+                told = event
+            else:
+                if told is None:
+                    out.append((key, "silent", start, start + self.limit))
+                told = "late"
+            out.append((key, told, start, us))
+        if out:
+            self.told.update((told,))
+        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         out: list[tuple] = []
+        messages: set[tuple] = set()
+        first = None
         for pdf in rows:
-            for us, event in zip(pdf.us.tolist(), pdf.event.tolist(), strict=True):
-                if event in ("ended", "failed"):
-                    self.early.updateValue((us, event), (1,))
-                    self._timer(us + self.remember)
-                elif event == "submitted" and (not self.submitted.exists() or us < self.submitted.get()[0]):
-                    self.submitted.update((us,))
-                    self._timer(us + self.limit)
-                    self._timer(us + self.limit + self.remember)
-        if self.submitted.exists():
-            # all that is known of the run by now, in order of time
-            for us, event in sorted(tuple(k) for k in self.early.keys()):
-                out += self._message(key[0], us, event)
-            self.early.clear()
+            messages |= {(us, e) for us, e in zip(pdf.us.tolist(), pdf.event.tolist(), strict=True) if e in ("ended", "failed")}
+            sent = pdf.us[pdf.event == "submitted"]
+            first = min(filter(None.__ne__, (first, int(sent.min()) if len(sent) else None)), default=None)
+        known = self.submitted.get()[0] if self.submitted.exists() else None
+        if first is not None and (known is None or first < known):
+            self.submitted.update((first,))
+            self._timer(first + self.limit)
+            self._timer(first + self.limit + self.remember)
+            if known is None:
+                messages |= {tuple(k) for k in self.early.keys()}
+                self.early.clear()
+            known = first
+        if known is not None:
+            out = self._messages(key[0], sorted(messages))
+        else:  # only what comes before its submission is kept
+            for us, event in messages:
+                self.early.updateValue((us, event), (1,))
+                self._timer(us + self.remember)
         yield pd.DataFrame(out, columns=["prompt_id", "outcome", "submitted_us", "at_us"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
