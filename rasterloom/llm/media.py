@@ -139,7 +139,8 @@ def from_npy(data: bytes) -> np.ndarray:
 
 def media_tiles(images: DataFrame, id_col: str = "id", media_col: str = "media", height: int = SIDE, width: int = SIDE) -> DataFrame:
     """A row for each row of images (binary Netpbm or BMP): the id, source height and width, the grey NPY tile of the
-    asked size, its difference hash, and error: null, or why the bytes can't be decoded (then the rest is null)."""
+    asked size, its difference hash, and error: null, or why the bytes can't be decoded (then the rest is null), as null
+    and empty ones can't. Rows with equal or null ids are kept; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
