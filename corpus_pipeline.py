@@ -22,7 +22,10 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from labels, predicts as good; without labels, all of them."""
+    """Documents that the quality classifier, learned from labels, predicts as good; without labels, all of them.
+
+    A score of 0.3 is good. Null texts are scored as empty ones; rows with equal or null ids are judged one by one; an
+    empty table gives no rows."""
     small_batches(spark)
     voters = fit_voters(labelled_quality(docs, table(spark, sf_dir, "labels")))
     score, good = (free_name(docs, c) for c in ("score", "predicted"))
@@ -31,7 +34,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier, learned from lang, doesn't reject; without any to learn from, all of them."""
+    """Documents whose language the classifier, learned from lang, doesn't reject; without any to learn from, all of them.
+
+    Null texts and texts without a letter are rejected, whatever their lang says. A confidence at the threshold is
+    enough; rows with equal or null ids are judged one by one; an empty table gives no rows."""
     small_batches(spark)
     model = fit_language(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
     if model is None:
