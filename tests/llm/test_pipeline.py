@@ -13,7 +13,7 @@ def test_sql(spark):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in llm.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in llm.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(llm.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
