@@ -130,7 +130,7 @@ def train(x: np.ndarray, labels: list[str | None], texts: np.ndarray, seed: int
         rate = RATE * (1 - epoch / EPOCHS)
         for _ in range(0, len(learn), MINI):
             rows = rng.choice(learn, min(MINI, len(learn)), replace=False)
-            a, t = x[rows], y[rows]
+            a, t = x[rows].astype(np.float32), y[rows]
             hidden = a @ embedding
             p = _softmax(hidden @ weights + bias)
             p[np.arange(len(t)), t] -= 1
@@ -140,7 +140,7 @@ def train(x: np.ndarray, labels: list[str | None], texts: np.ndarray, seed: int
             bias -= rate * p.sum(0)
             embedding -= rate * 50 * (a.T @ back)  # a bucket's share is small, so its embedding moves more
     logits = embedding @ weights
-    z = x[held] @ logits + bias
+    z = x[held].astype(np.float32) @ logits + bias
 
     # where no row is wrong, one that isn't there counts as such, or confidence would have no end
     target = np.full(z.shape, 1 / (len(held) + 2) / none)
@@ -152,7 +152,7 @@ def train(x: np.ndarray, labels: list[str | None], texts: np.ndarray, seed: int
 
     model = LanguageModel(languages, logits, bias, float(min(np.geomspace(0.02, 50, 81), key=loss)), 0.0)
     first = np.r_[True, texts[1:] != texts[:-1]]
-    p = model.probabilities(x[held])
+    p = model.probabilities(x[held].astype(np.float32))
     whole, strange = first[held], y[held] == none
     return model._replace(reject_below=_threshold(p[whole].max(1), p[strange].max(1)))
 
@@ -164,17 +164,20 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | N
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 made = examples(text.as_py().decode(errors="replace"))
-                x = [_shares(t.encode()).astype(np.float16).tobytes() for t, _ in made]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.binary())), pa.array([label])], ["x", "label"])
+                x = [zlib.compress(_shares(t.encode()).astype(np.float16).tobytes(), 1) for t, _ in made]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array([label if own else None for _, own in made], pa.string()), pa.array([k == 0 for k in range(len(made))])], ["x", "label", "first"])
 
     rows = labelled.where("label is not null").select("id", F.col("text").cast("binary").alias("text"), F.col("label").cast("string").alias("label"))
     picked = hash_sample(rows, sample, "id", F.xxhash64("text"), "label").where("text is not null").select("text", "label")
-    found = picked.mapInArrow(run, "x array<binary>, label string").collect()  # bounded by the sample
+    found = picked.mapInArrow(run, "x binary, label string, first boolean").collect()  # bounded by the sample
     if not found:
         return None
-    x = np.array([np.frombuffer(v, np.float16) for r in found for v in r["x"]], np.float32)
-    labels = [label for r in found for label in (r["label"], r["label"], None)]
-    return train(x, labels, np.repeat(np.arange(len(found)), 3))
+    x = np.empty((len(found), 1 << BITS), np.float16)  # stays in half precision
+    for k, r in enumerate(found):
+        x[k] = np.frombuffer(zlib.decompress(r["x"]), np.float16)
+    labels, texts = [r["label"] for r in found], np.cumsum([r["first"] for r in found]) - 1
+    del found  # or the driver holds everything twice while it learns
+    return train(x, labels, texts)
 
 
 def identify_language(
