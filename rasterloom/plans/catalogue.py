@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from rasterloom import config
 from rasterloom.functions import text as T
-from rasterloom.operators import cache, patches, progress, raster, requests, tiles, workflow
-from rasterloom.scratch import fresh_folder
+from rasterloom.operators import cache, metrics, patches, progress, raster, requests, tiles, workflow
+from rasterloom.scratch import forget, fresh_folder, written
 from rasterloom.sources import backend as remote
 from rasterloom.sources import frames
 from rasterloom.streaming import runs
@@ -241,6 +241,17 @@ def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.stage_times(events.select((F.col("user_id") % 100).alias("request_id"), F.col("event_type").alias("stage"), "ts"))
 
 
+@query("""SELECT CASE WHEN stage IN ('signup', 'purchase', 'error') THEN stage END AS stage, count(*) AS n, sum(micros)::BIGINT AS micros, max(micros) AS longest
+    FROM (SELECT user_id % 100 AS request_id, event_type AS stage, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM events GROUP BY ALL) GROUP BY 1""")
+def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of stages, told while their times are written."""
+    figures = metrics.StageFigures(["signup", "purchase", "error"])
+    times, told = metrics.watched(stage_times(spark, sf_dir), figures)
+    forget(written(times))
+    figures.add(told.get)
+    return figures.table(spark)
+
+
 @query("""SELECT event_id, CASE user_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 422 WHEN 2 THEN 404 WHEN 3 THEN 502 ELSE 500 END AS status_code FROM events""")
 def error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit(None), *[F.lit(x) for x in ("invalid", "not_found", "connection", "image")]), (F.col("user_id") % 5 + 1).cast("int"))
