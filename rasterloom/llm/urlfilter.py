@@ -7,13 +7,15 @@ keys of the corpus that level 1 lets through wrongly; level 3 the listed keys th
 until a level lets nothing through wrongly. As the levels were built over every candidate key of the corpus itself,
 the depth at which a key first fails tells exactly whether it is listed. The first level has so many bits that it
 lets through about as many keys as are listed, so every level stays as small as the list, times the logarithm of
-the corpus at most, and stands in the expression as a literal: no join and no broadcast table.
+the corpus at most, and stands in the expression as a literal: no join and no broadcast table. Lists too long for one
+expression are told in shares, one pass each.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import forget, written
 
+#: Listed keys of a verdict whose filters stand in one plan.
+KEYS_A_PASS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,7 +115,17 @@ def member(key: Column, levels: list[Level]) -> Column:
     return found
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _cascades(keys: DataFrame, listed: dict[str, DataFrame], n: int) -> dict[str, list[Level]]:
+    """The cascade of each verdict's keys, from one pass over the candidate keys, of which there are n at most."""
+    firsts = {v: first_level(x, n) for v, x in listed.items()}
+    through = {v: passes(F.col("key"), level) if level else F.lit(False) for v, level in firsts.items()}
+    passed = written(keys.select("key", *[c.alias(v) for v, c in through.items()]).where("allow or block").distinct())
+    found = {v: with_further_levels(x, firsts[v], passed.where(v).select("key")) for v, x in listed.items()}
+    forget(passed)
+    return found
+
+
+def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", keys_a_pass: int = KEYS_A_PASS) -> DataFrame:
     """A row for each row of pages: the id, host, path, rule (host and path of the longest that fits, else null) and verdict.
 
     rules has string columns verdict (allow or block), host and path; a key listed under both counts as allow, and of
@@ -120,7 +134,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_
     may be of any length; an empty table gives no rows.
 
     The filters' words, about log2(candidates / listed keys) / 0.7 bits for each listed key, pass through the driver
-    and stand in the plan as literals, which bounds a list to some 100,000 keys; split longer ones by host first.
+    and stand in the plan as literals. So that those stay bounded, a list of more than `keys_a_pass` keys is dealt by
+    hash into shares of about as many. Each share has cascades of its own over the candidates with such hashes, and a
+    pass that notes which of a url's candidates it lists; passes grow with the list, memory doesn't.
     """
     # as many rows as there are kinds of rules
     shapes = rules.where("host is not null and path is not null").select(F.size(F.split("host", "\\.")).alias("labels"), F.char_length("path").alias("length")).distinct().collect()
@@ -129,15 +145,33 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_
     # an upper bound, so that pages needn't be parsed to be counted
     n = pages.count() * max(1, len(counts)) * max(1, len(lengths))
     listed = {v: written(rules.where(F.col("verdict") == v).select(F.concat("host", "path").alias("key")).where("key is not null").distinct()) for v in ("allow", "block")}
-    firsts = {v: first_level(x, n) for v, x in listed.items()}
-    # one pass over the pages gives what either first level lets through
-    key = F.col("key")
-    through = {v: passes(key, level) if level else F.lit(False) for v, level in firsts.items()}
-    keys = parts.select(F.explode(candidates(F.col("host"), F.col("path"), counts, lengths)).alias("key"))
-    passed = written(keys.select("key", *[c.alias(v) for v, c in through.items()]).where("allow or block").distinct())
-    allow, block = (with_further_levels(listed[v], firsts[v], passed.where(v).select("key")) for v in ("allow", "block"))
-    forget(passed, *listed.values())
-    fits = F.filter(candidates(F.col("host"), F.col("path"), counts, lengths), lambda k: member(k, allow) | member(k, block))
+    shares = max(1, *[-(-x.count() // keys_a_pass) for x in listed.values()])
+    tried = candidates(F.col("host"), F.col("path"), counts, lengths)
+    if shares == 1:
+        levels = _cascades(parts.select(F.explode(tried).alias("key")), listed, n)
+        lists = {v: partial(member, levels=x) for v, x in levels.items()}
+    else:
+        parts, lists = _noted(parts, tried, listed, n, shares)
+    forget(*listed.values())
+    fits = F.filter(tried, lambda k: lists["allow"](k) | lists["block"](k))
     longest = F.aggregate(fits, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.char_length(b) > F.char_length(a)), b).otherwise(a))
     judged = parts.withColumn("rule", longest)
-    return judged.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(member(F.col("rule"), allow), "allow").otherwise("block"))
+    verdict = F.when(F.col("rule").isNull(), default).when(lists["allow"](F.col("rule")), "allow").otherwise("block")
+    return judged.withColumn("verdict", verdict).select(id_col, "host", "path", "rule", "verdict")
+
+
+def _noted(parts: DataFrame, tried: Column, listed: dict[str, DataFrame], n: int, shares: int) -> tuple[DataFrame, dict[str, Callable[[Column], Column]]]:
+    """The rows with what is listed of their candidates, share by share, and for each verdict the test of a key by it.
+
+    A row's notes are some of its own candidates, so they don't grow with the lists."""
+    share = lambda k: F.pmod(F.xxhash64(k), F.lit(shares))
+    notes = {v: f"__{v}" for v in listed}
+    parts = written(parts.withColumns({c: F.array().cast("array<string>") for c in notes.values()}))
+    for s in range(shares):
+        keys = parts.select(F.explode(tried).alias("key")).where(share(F.col("key")) == s)
+        levels = _cascades(keys, {v: x.where(share(F.col("key")) == s) for v, x in listed.items()}, -(-n // shares))
+        tests = {v: partial(member, levels=x) for v, x in levels.items()}
+        mine = F.filter(tried, lambda k: share(k) == s)
+        before, parts = parts, written(parts.withColumns({c: F.concat(c, F.filter(mine, lambda k: tests[v](k))) for v, c in notes.items()}))  # noqa: B023  called at once
+        forget(before)
+    return parts, {v: lambda k, c=c: F.array_contains(F.col(c), k) for v, c in notes.items()}

@@ -115,3 +115,20 @@ def test_a_long_list(spark):
     for r in found:
         host = r["host"].removeprefix("www.")
         assert r["rule"] == (f"{host}/" if host in verdict else None) and r["verdict"] == verdict.get(host, "allow")
+    # the same in four passes
+    shared = urlfilter.url_verdicts(pages, rules, keys_a_pass=25_000)
+    assert sorted(map(tuple, shared.collect()), key=str) == sorted(map(tuple, found), key=str)
+
+
+def test_shares_of_a_list(spark):
+    """Rules told one or two a pass, of both verdicts, with paths, ties and shares that list nothing."""
+    urls = [None, "x://com", "x://www.example.com/en/a", "x://example.com/en/", "x://a.example.com/en/", "x://a.net/es/", "x://net/fr", "x://b.c/de/", "x://c/de/", "x://org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    # b.c/d and c/de/ have the same length; com/ is listed twice
+    rules = spark.createDataFrame([*RULES, ("block", "com", "/"), ("block", "c", "/de/"), ("allow", "b.c", "/d")], "verdict string, host string, path string")
+    want = sorted(map(tuple, urlfilter.url_verdicts(pages, rules).collect()))
+    assert [r[3] for r in want if r[0] in (7, 8)] == ["b.c/d", "c/de/"]
+    for n in (1, 2, 5):
+        found = urlfilter.url_verdicts(pages, rules, keys_a_pass=n)
+        assert found.columns == ["page_id", "host", "path", "rule", "verdict"] and sorted(map(tuple, found.collect())) == want
+    assert urlfilter.url_verdicts(pages.limit(0), rules, keys_a_pass=2).collect() == []
