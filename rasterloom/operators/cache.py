@@ -26,12 +26,20 @@ GROUP = 1000
 
 
 def blob_index(spark: SparkSession, directory: str) -> DataFrame:
-    """(source_id, path, length, last_access, position_at) of a folder: of files with one stem, the one modified last;
-    position_at is when the stem's first file was modified, by which a restarted cache orders its entries. Contents
-    are not read; names that start with a dot or an underscore are skipped."""
-    files = spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime").withColumn("source_id", stem(F.col("path")))
-    first = files.groupBy("source_id").agg(F.min("modificationTime").alias("position_at"))
-    return latest(files, "source_id", "modificationTime", ["path", "length"]).join(first, "source_id")
+    """(source_id, path, length, last_access, position_at) of a folder: of entries with one stem, the one modified last;
+    position_at is when the stem's first file was modified, by which a restarted cache orders its entries. A folder in
+    it, as a table of several files is one, is an entry with the length and the times of its files; empty ones aren't
+    seen. Contents are not read; names that start with a dot or an underscore are skipped."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    inside = F.substring_index(F.substr("path", F.lit(len(root) + 1)), "/", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path", "length", "modificationTime")
+    # a pattern of folders has no common root: its files are the entries
+    entry = F.when(F.col("path").startswith(root), F.concat(F.lit(root), inside)).otherwise(F.col("path"))
+    entries = files.groupBy(entry.alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"), F.min("modificationTime").alias("first"))
+    entries = entries.withColumn("source_id", stem(F.col("path")))
+    first = entries.groupBy("source_id").agg(F.min("first").alias("position_at"))
+    return latest(entries, "source_id", "modificationTime", ["path", "length"]).join(first, "source_id")
 
 
 def latest(rows: DataFrame, key: str, at: str, values: list[str], as_at: str = "last_access") -> DataFrame:

@@ -127,6 +127,18 @@ def test_folder(spark, tmp_path):
         write_blobs(spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary"), folder)
 
 
+def test_folders_in_a_folder(spark, tmp_path):
+    """A table of several files is one entry; hidden files aren't any."""
+    folder = tmp_path / "with space"
+    for i, name in enumerate(["a.png", "t.parquet/part-0", "t.parquet/k=1/part-1", "t.parquet/_SUCCESS", ".hidden", "t.old"]):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"x" * (i + 1))
+        os.utime(folder / name, (2000 - i, 2000 - i))
+    for at in (str(folder), f"file://{folder}/"):
+        index = {r["source_id"]: (r["path"].rpartition("/")[2], r["length"], r["last_access"].timestamp(), r["position_at"].timestamp()) for r in cache.blob_index(spark, at).collect()}
+        assert index == {"a": ("a.png", 1, 2000, 2000), "t": ("t.parquet", 5, 1999, 1995)}
+
+
 class PlainCache:
     """The described behaviour over a pretended folder, step by step."""
 
