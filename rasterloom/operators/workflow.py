@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from rasterloom.scratch import forget, written
 
 #: Where a template binds a request: (node, input, what). Fixed values of the served template's layout.
 BINDINGS = (("28", "seed", "seed"), ("7", "text", "prompt"), ("8", "text", "negative_prompt"), ("30", "image", "source_path"), ("47", "image", "mask_path"))
+#: Edges of ways that a closure takes one at a time before it doubles them.
+STEPS = 32
+#: From so many pairs on, more joins of edges cost less than pairs that are made several times.
+MANY = 1_000_000
 
 
 def read_workflow(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +92,10 @@ def bind(requests: DataFrame, template: str) -> DataFrame:
     return requests.select("*", F.concat(*pieces).alias("workflow"), F.lit(None).cast("string").alias("error"))
 
 
+def _named(found_edges: DataFrame) -> DataFrame:
+    return found_edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
 def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Written, and the number of its rows, which the same job counts."""
     seen = Observation()
@@ -120,7 +129,7 @@ def depths(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
     Ways of 1, 2, 4, ... edges are worked out from each other; then, from the longest down, every node goes back by
     them as far as it can. So the rounds are twice the depth's binary digits, however deep the graph is."""
     nodes = written(found_nodes.select("node_id").distinct())
-    powers, circle = _powers(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct(), max(1, nodes.count()))
+    powers, circle = _powers(_named(found_edges), max(1, nodes.count()))
     if circle:
         forget(nodes, *powers)
         raise ValueError("the graph has a cycle")
@@ -141,17 +150,36 @@ def depths(found_edges: DataFrame, found_nodes: DataFrame) -> DataFrame:
     return out
 
 
-def reach(found_edges: DataFrame) -> DataFrame:
-    """(src, dst) of all nodes that a path of one edge or more leads between. A round joins the pairs so far with
-    themselves and doubles the length of the paths that are known."""
-    pairs, n = _counted(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+def reach(found_edges: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(src, dst) of all nodes that a path of one edge or more leads between.
+
+    Ways of 1, 2, 3, ... edges are taken one edge at a time, so that a pair is made once for each edge its ways begin
+    with, and are brought together at the end. If there still are ways after `steps` edges, or after 4 where pairs are
+    few, pairs of up to n edges and ways of n edges double from there, so that the rounds stay few however long the ways
+    are."""
+    edges, n = _counted(_named(found_edges))
+    ways, length, made = [edges], 1, n
+    while n and length < steps and (length < 4 or made >= MANY):
+        step, n = _counted(_twice(edges, ways[-1]))
+        ways.append(step)
+        length, made = length + 1, made + n
+    pairs = reduce(DataFrame.union, ways).distinct()
+    if not n:
+        return pairs
+    pairs, m = _counted(pairs)
+    step = ways.pop()
+    forget(*ways)
     while n:
-        more, m = _counted(pairs.union(_twice(pairs, pairs)).distinct())
+        more, total = _counted(pairs.union(_twice(pairs, step)).distinct())
         forget(pairs)
         pairs = more
-        if m == n:
+        if total == m:
             break
-        n = m
+        m = total
+        longer, n = _counted(_twice(step, step))
+        forget(step)
+        step = longer
+    forget(step)
     return pairs
 
 

@@ -59,6 +59,26 @@ def test_closure(spark):
     assert {r["node_id"] for r in workflow.cycles(edges).collect()} == {a for a, b in want if a == b}
 
 
+def test_closure_makes_few_pairs(spark, monkeypatch):
+    """Of a graph with many ways between two nodes, joins make a few pairs for each of the closure, not one for every
+    node between; long ways double after the first steps."""
+    made, keep = [], workflow._twice
+
+    def counted(step, other):
+        made.append(step.join(other.selectExpr("src AS dst", "dst AS to"), "dst").count())
+        return keep(step, other)
+
+    monkeypatch.setattr(workflow, "_twice", counted)
+    edges = spark.range(2, 400).selectExpr("id AS src", "explode(array(id div 2, id div 3)) AS dst").where("dst > 0")
+    monkeypatch.setattr(workflow, "MANY", 0)
+    n = workflow.reach(edges).count()
+    assert sum(made) < 3 * n
+    made.clear()
+    chain = spark.range(150).selectExpr("id AS src", "id + 1 AS dst")
+    found = workflow.reach(chain, 4)
+    assert found.count() == found.where("src < dst").count() == 150 * 151 // 2 and len(made) <= 16
+
+
 def test_completion_of_many_ends(spark):
     rnd = random.Random(1)
     sent = [(f"p{rnd.randrange(3)}", rnd.randrange(100)) for _ in range(30)] + [("none", 5)]
