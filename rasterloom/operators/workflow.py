@@ -183,18 +183,34 @@ def reach(found_edges: DataFrame, steps: int = STEPS) -> DataFrame:
     return pairs
 
 
+def _trimmed(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Edges without those from where none leads to or to where none leads from, and their number: again and again,
+    as long as a round takes a twentieth of them, so that all rounds together cost about as much as a few."""
+    pairs, n = _counted(pairs)
+    while n:
+        froms, tos = pairs.select(F.col("src").alias("node")).distinct(), pairs.select(F.col("dst").alias("node")).distinct()
+        kept, m = _counted(pairs.join(tos.withColumnRenamed("node", "src"), "src", "left_semi").join(froms.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        forget(pairs)
+        pairs, before, n = kept, n, m
+        if 20 * n > 19 * before:
+            break
+    return pairs, n
+
+
 def cycles(found_edges: DataFrame) -> DataFrame:
-    """(node_id) of the nodes that are on a cycle. First all that no long way leads to or from are trimmed, by ways of
-    1, 2, 4, ... edges; what stays lies on cycles or between them, and of that the closure tells who reaches itself."""
-    pairs = written(found_edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    nodes = pairs.select(F.col("src").alias("node_id")).union(pairs.select("dst")).distinct().count()
+    """(node_id) of the nodes that are on a cycle. First all that no long way leads to or from are trimmed, edge by edge
+    while that takes many, then by ways of 1, 2, 4, ... edges; what stays lies on cycles or between them, and of that
+    the closure tells who reaches itself."""
+    pairs, n = _trimmed(_named(found_edges))
+    nodes = n and pairs.select(F.col("src").alias("node_id")).union(pairs.select("dst")).distinct().count()
     powers, circle = _powers(pairs, max(1, nodes))
     if not circle:
         forget(*powers)
         return pairs.select(F.col("src").alias("node_id")).limit(0)
     core = powers[-1].select(F.col("src").alias("node_id")).intersect(powers[-1].select(F.col("dst").alias("node_id")))
     inside = pairs.join(core.withColumnRenamed("node_id", "src"), "src", "left_semi").join(core.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    out = written(reach(inside).where("src = dst").select(F.col("src").alias("node_id")))
+    # of cycles no way is the longest, so single edges would only delay the doubling
+    out = written(reach(inside, 1).where("src = dst").select(F.col("src").alias("node_id")))
     forget(pairs, *powers)
     return out
 

@@ -79,6 +79,26 @@ def test_closure_makes_few_pairs(spark, monkeypatch):
     assert found.count() == found.where("src < dst").count() == 150 * 151 // 2 and len(made) <= 16
 
 
+def test_cycles_trim_trees_first(spark, monkeypatch):
+    """Of a tree of a thousand nodes with one cycle, only what is near the cycle is walked by ways that double."""
+    walked, keep = [], workflow._powers
+    monkeypatch.setattr(workflow, "_powers", lambda pairs, nodes: walked.append(pairs.count()) or keep(pairs, nodes))
+    tree = spark.range(2, 1000).selectExpr("id AS src", "id div 2 AS dst")
+    back = spark.range(100, 101).selectExpr("id div 8 AS src", "id AS dst")
+    assert {r["node_id"] for r in workflow.cycles(tree.union(back)).collect()} == {100, 50, 25, 12}
+    assert walked[0] <= 10
+
+
+def test_cycles_trim_trees_first(spark, monkeypatch):
+    """Of a tree of a thousand nodes with one cycle, only what is near the cycle is walked by ways that double."""
+    walked, keep = [], workflow._powers
+    monkeypatch.setattr(workflow, "_powers", lambda pairs, nodes: walked.append(pairs.count()) or keep(pairs, nodes))
+    tree = spark.range(2, 1000).selectExpr("id AS src", "id div 2 AS dst")
+    back = spark.range(100, 101).selectExpr("id div 8 AS src", "id AS dst")
+    assert {r["node_id"] for r in workflow.cycles(tree.union(back)).collect()} == {100, 50, 25, 12}
+    assert walked[0] <= 10
+
+
 def test_completion_of_many_ends(spark):
     rnd = random.Random(1)
     sent = [(f"p{rnd.randrange(3)}", rnd.randrange(100)) for _ in range(30)] + [("none", 5)]
