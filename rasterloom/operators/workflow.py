@@ -264,17 +264,20 @@ def rewritten(text: Column, changes: Column) -> Column:
         more = F.filter(F.map_entries(new), lambda e: ~F.array_contains(F.map_keys(old["raw"]), e["key"]))
         return _object(F.concat(kept, F.transform(more, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))))
 
-    def fields_of(node: Column, fields: Column, typed: Column, new: Column) -> Column:
+    def fields_of(fields: Column, typed: Column, new: Column) -> Column:
         def one(f: Column) -> Column:
             changed = F.concat(F.lit('"inputs":'), _with(_parsed(f["value"], "map<string, {}>"), lambda old: inputs_of(old, new)))
             return F.when((f["key"] == "inputs") & f["value"].startswith("{") & new.isNotNull(), changed).otherwise(_member(f["key"], f["value"], typed[f["key"]]))
 
         return _object(F.transform(F.map_entries(fields), one))
 
-    def document(found: Column) -> Column:
-        return _object(F.transform(F.map_entries(found["raw"]), lambda n: F.concat(quoted(n["key"]), F.lit(":"), fields_of(n["key"], n["value"], found["typed"][n["key"]], F.try_element_at(changes, n["key"])))))
+    def document(at: Column) -> Column:
+        found, new = at["found"], at["changes"]
+        one = lambda n: _with(F.struct(n.alias("n"), F.try_element_at(new, n["key"]).alias("new")), lambda x: F.concat(quoted(x["n"]["key"]), F.lit(":"), fields_of(x["n"]["value"], found["typed"][x["n"]["key"]], x["new"])))
+        return F.when(found["raw"].isNotNull(), _object(F.transform(F.map_entries(found["raw"]), one)))
 
-    return _with(_parsed(text, "map<string, map<string, {}>>"), document)
+    # the changes too are worked out once: they may be made of the document, and every node and input asks for them
+    return _with(F.struct(_parsed(text, "map<string, map<string, {}>>").alias("found"), changes.alias("changes")), document)
 
 
 def lacking(text: Column, bindings: tuple = BINDINGS) -> Column:

@@ -40,6 +40,15 @@ def test_templates(spark):
     assert missing == {("b", "47", None), ("b", "8", "text"), *(("f", n, None) for n in ("28", "7", "8", "30", "47"))}
 
 
+def test_changes_are_worked_out_once(spark):
+    """However many nodes and inputs ask for them, what is bound into a document stands in the expression once."""
+    rows = spark.createDataFrame([(json.dumps(DOCUMENT), {"7": {"text": "1"}}), (None, {"7": {"text": "1"}})], "t string, marked map<string, map<string, string>>")
+    found = rows.select(workflow.rewritten(rows["t"], rows["marked"]).alias("w"))
+    assert found._jdf.queryExecution().analyzed().expressions().toString().count("marked#") == 1
+    one, none = (r["w"] for r in found.collect())
+    assert none is None and json.loads(one)["7"]["inputs"] == {"text": 1, "clip": ["1", 1]} and json.loads(one)["28"] == DOCUMENT["28"]
+
+
 GOOD = {"source_id": "s", "prompt": "p", "mask_image_base64": "m"}
 
 
