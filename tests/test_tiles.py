@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterloom.operators import raster, tiles
@@ -29,6 +31,18 @@ def test_tiles_are_the_pixels(spark):
     assert tiles.to_tiles(pixels.limit(0), 16).collect() == []
 
 
+def test_tiles_of_a_batch_are_one_array():
+    """Many tiles at once, without a Python object for each: slices of Arrow columns are views of the same bytes."""
+    v = np.arange(7 * 9, dtype=np.uint8).reshape(7, 9)
+    packed = tiles._packed(v)
+    assert packed.to_pylist() == [row.tobytes() for row in v]
+    for a, b in ((0, 7), (2, 5), (6, 7), (3, 3)):
+        some = tiles._stacked(packed.slice(a, b - a))
+        assert len(some) == b - a and (not len(some) or ((some == v[a:b]).all() and not some.flags.owndata))
+    lists = pa.ListArray.from_arrays(pa.array([0, 2, 3, 7], pa.int32()), packed)
+    assert (tiles._stacked(lists.slice(1).flatten()) == v[2:]).all()
+
+
 @pytest.mark.parametrize("box", [(0, 0, 50, 37), (3, 5, 4, 6), (15, 16, 33, 37), (7, 1, 40, 30)])
 def test_crop(spark, box):
     pixels, kept = dots(spark)
@@ -94,6 +108,14 @@ def test_area(spark, target):
     assert found == {k: (t, (2 * t + area) // (2 * area)) for k, t in want.items()}
 
 
+def test_boxes_are_hashed(spark):
+    """Whole tiles aren't sorted to meet their boxes."""
+    pixels, _ = dots(spark)
+    boxes = spark.createDataFrame([(1, 3, 5, 40, 30)], "id int, x0 int, y0 int, x1 int, y1 int")
+    plan = tiles.touching(tiles.to_tiles(pixels, 16), boxes, 16)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_context(spark):
     boxes = spark.createDataFrame([(1, 10, 10, 20, 14), (2, 0, 0, 4, 30), (3, 90, 90, 100, 100), (4, 0, 0, 100, 5)], "id int, x0 int, y0 int, x1 int, y1 int")
     found = {r["id"]: tuple(r)[1:] for r in raster.context_boxes(boxes, 1.5, (1, 1), 100, 100).collect()}
