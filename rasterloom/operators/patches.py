@@ -51,34 +51,41 @@ def cut_patch(image: bytes, mask: bytes, pad: int = PAD) -> dict:
 
 
 def alpha_masks(mask: Column) -> Column:
-    """Struct (content, error) of a binary mask column: `alpha_png`, or why it can't be made."""
+    """Struct (content, error) of a binary mask column: `alpha_png`, or why it can't be made. Of masks that occur several
+    times in a batch each is drawn once."""
 
     @pandas_udf("content binary, error string")
     def run(masks: pd.Series) -> pd.DataFrame:
-        out = []
+        out, made = [], {}
         for m in masks:
-            try:
-                out.append((alpha_png(bytes(m)) if m is not None else None, None if m is not None else "no mask"))
-            except ValueError as e:
-                out.append((None, str(e)))
+            if m not in made:
+                try:
+                    made[m] = (alpha_png(bytes(m)) if m is not None else None, None if m is not None else "no mask")
+                except ValueError as e:
+                    made[m] = (None, str(e))
+            out.append(made[m])
         return pd.DataFrame(out, columns=["content", "error"])
 
     return run(mask)
 
 
 def patches(image: Column, mask: Column, pad: int = PAD) -> Column:
-    """Struct of a patch and error (null, or why there is none) of binary columns."""
+    """Struct of a patch and error (null, or why there is none) of binary columns. Of images and masks that occur
+    together several times in a batch each patch is cut once."""
 
     @pandas_udf(f"{PATCH}, error string")
     def run(images: pd.Series, masks: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, m in zip(images, masks, strict=True):
-            try:
-                if i is None or m is None:
-                    raise ValueError("no image" if i is None else "no mask")
-                out.append(cut_patch(bytes(i), bytes(m), pad) | {"error": None})
-            except ValueError as e:
-                out.append(dict.fromkeys(["x", "y", "width", "height", "color", "mask"]) | {"error": str(e)})
+        out, made = [], {}
+        for pair in zip(images, masks, strict=True):
+            if pair not in made:
+                i, m = pair
+                try:
+                    if i is None or m is None:
+                        raise ValueError("no image" if i is None else "no mask")
+                    made[pair] = cut_patch(bytes(i), bytes(m), pad) | {"error": None}
+                except ValueError as e:
+                    made[pair] = dict.fromkeys(["x", "y", "width", "height", "color", "mask"]) | {"error": str(e)}
+            out.append(made[pair])
         frame = pd.DataFrame(out, columns=["x", "y", "width", "height", "color", "mask", "error"])
         return frame.astype(dict.fromkeys(["x", "y", "width", "height"], "Int32"))
 

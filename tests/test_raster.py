@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,3 +123,20 @@ def test_patches(spark):
     assert (png.decode(bytes(sent[0]["s"]["content"])) == np.dstack([np.zeros((40, 60, 3), np.uint8), mask])).all()
     assert sent[4]["s"]["error"] == "no mask" and alpha_png(png.encode(mask)) == bytes(sent[0]["s"]["content"])
     assert cut_patch(png.encode(image), png.encode(mask))["width"] == 38
+
+
+def test_repeated_bytes_are_drawn_once(monkeypatch):
+    """Of rows of one batch with the same bytes, each mask is drawn and each patch cut once."""
+    from rasterloom.operators import patches as module
+
+    drawn, cut = [], []
+    monkeypatch.setattr(module, "alpha_png", lambda m: drawn.append(m) or b"png" + m)
+    monkeypatch.setattr(module, "cut_patch", lambda i, m, pad: cut.append((i, m)) or dict.fromkeys(["x", "y", "width", "height"], len(cut)) | {"color": "c", "mask": "m"})
+    made = {}
+    monkeypatch.setattr(module, "pandas_udf", lambda kind: lambda run: made.setdefault(kind, run) and (lambda *columns: None))
+    alpha_masks(None), patches(None, None)
+    alpha, patch = made.values()
+    masks = pd.Series([b"a", None, b"b", b"a", None, b"a"])
+    assert alpha(masks)["content"].tolist() == [b"pnga", None, b"pngb", b"pnga", None, b"pnga"] and drawn == [b"a", b"b"]
+    found = patch(pd.Series([b"i", b"i", None, b"j", b"i", b"i"]), masks)
+    assert cut == [(b"i", b"a"), (b"j", b"a")] and found["x"].fillna(0).tolist() == [1, 0, 0, 2, 0, 1] and found["error"].tolist() == [None, "no mask", "no image", None, "no mask", None]
