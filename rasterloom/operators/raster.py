@@ -141,17 +141,16 @@ def resize_area(pixels: DataFrame, target: tuple[int, int]) -> DataFrame:
     any of the image's touch. total is the sum of values times shares of width * height parts; v is the mean, rounded.
     Pixels that are missing count as zero.
 
-    A source pixel meets one target column or two, or several in a row where the image grows, so an axis is one
-    projection and one sum, in whole numbers."""
+    A source pixel meets one target column or two, or several in a row where the image grows, and rows alike; both
+    are projections, and one sum in whole numbers follows, so a task holds the target's pixels in one aggregate."""
     def shared(at: str, size: str, to: int) -> Column:
         i, n = F.col(at), F.col(size)
         columns = F.sequence(F.floor(i * to / n), F.floor(((i + 1) * to - 1) / n))
         return F.explode(F.transform(columns, lambda t: F.struct(t.alias("t"), (F.least((t + 1) * n, (i + 1) * to) - F.greatest(t * n, i * to)).alias("share"))))
 
-    across = pixels.select("id", "y", "v", "width", "height", shared("x", "width", target[0]).alias("p"))
-    rows = across.groupBy("id", "width", "height", "y", F.col("p.t").alias("x")).agg(F.sum(F.col("v") * F.col("p.share")).alias("v"))
-    down = rows.select("id", "x", "v", "width", "height", shared("y", "height", target[1]).alias("p"))
-    found = down.groupBy("id", "width", "height", "x", F.col("p.t").alias("y")).agg(F.sum(F.col("v") * F.col("p.share")).alias("total"))
+    across = pixels.select("id", "y", "width", "height", "v", shared("x", "width", target[0]).alias("a"))
+    both = across.select("id", "width", "height", F.col("a.t").alias("x"), (F.col("v") * F.col("a.share")).alias("v"), shared("y", "height", target[1]).alias("b"))
+    found = both.groupBy("id", "width", "height", "x", F.col("b.t").alias("y")).agg(F.sum(F.col("v") * F.col("b.share")).alias("total"))
     area = F.col("width") * F.col("height")
     return found.select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "total", F.floor((2 * F.col("total") + area) / (2 * area)).cast("int").alias("v"))
 

@@ -108,6 +108,13 @@ def test_area(spark, target):
     assert found == {k: (t, (2 * t + area) // (2 * area)) for k, t in want.items()}
 
 
+def test_area_is_one_aggregate(spark):
+    """A task holds one map of target pixels, on either side of the only shuffle."""
+    pixels, _ = dots(spark)
+    plan = raster.resize_area(pixels.selectExpr("*", f"{WIDTH} AS width", f"{HEIGHT} AS height"), (4, 3))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2
+
+
 def test_boxes_are_hashed(spark):
     """Whole tiles aren't sorted to meet their boxes."""
     pixels, _ = dots(spark)
